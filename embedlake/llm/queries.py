@@ -23,6 +23,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from embedlake.llm.substring import removal_report
+
+    return removal_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,5 +45,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op6_bpe_roundtrip, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op4_substring_dedup, op6_bpe_roundtrip, op7_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
