@@ -45,5 +45,28 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op4_substring_dedup, op6_bpe_roundtrip, op7_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from embedlake.llm.embed_join import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op4_substring_dedup, op6_bpe_roundtrip, op7_token_counts, op10_embedding_near_dedup)}
+ORACLE_SQL: dict[str, str] = {
+    "op10_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+        ), ok AS (
+            SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach(x, y) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+        ), comp AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+        n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+        SELECT c.x AS vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.x = c.component_id AS kept
+        FROM comp c LEFT JOIN n ON c.x = n.x
+    """,
+}
