@@ -45,13 +45,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from embedlake.llm.quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from embedlake.llm.embed_join import near_vectors
 
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op4_substring_dedup, op6_bpe_roundtrip, op7_token_counts, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op4_substring_dedup, op6_bpe_roundtrip, op7_token_counts, op9_quality_rules, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op10_embedding_near_dedup": """
         WITH RECURSIVE v AS (
