@@ -43,13 +43,13 @@ class Workspace:
             p.getFileSystem(conf).delete(p, True)
 
 
-def bounded_ids(df: DataFrame, column: str, bits: int = 1 << 23) -> bytearray:
+def bounded_ids(df: DataFrame, column: str, bits: int = 1 << 23, slot_of=None) -> bytearray:
     """A bit per hashed id of ``df``: a set membership filter of a fixed size (``bits`` / 8 bytes).
 
     False positives only let rows through to the exact join behind it, so the size never has to grow.
     """
     per = 32768
-    slot = F.pmod(F.xxhash64(column), F.lit(bits))
+    slot = slot_of(column) if slot_of else F.pmod(F.xxhash64(column), F.lit(bits))
     rows = (
         df.select(slot.alias("slot"))
         .groupBy(F.floor(F.col("slot") / per).cast("long").alias("bucket"))

@@ -23,12 +23,33 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from embedlake.llm import warc
+    from embedlake.llm._work import shared_dir
+
+    folder = f"{shared_dir(spark)}/embedlake/archives-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    found = warc.read_archives(spark, folder, payload=False)
+    number = lambda c: F.substring_index(c, ":", -1).cast("bigint")
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "digest_ok")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from embedlake.llm.substring import removal_report
 
     return removal_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from embedlake.llm.lines import drop_report
+
+    return drop_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,7 +89,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op4_substring_dedup, op6_bpe_roundtrip, op7_token_counts, op8_toxicity, op9_quality_rules, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_warc, op4_substring_dedup, op5_line_dedup, op6_bpe_roundtrip, op7_token_counts, op8_toxicity, op9_quality_rules, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op10_embedding_near_dedup": """
         WITH RECURSIVE v AS (
