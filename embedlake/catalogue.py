@@ -1,6 +1,420 @@
-"""The queries of the library, and their SQL."""
+"""The library's queries over the test tables, and SQL for DuckDB with the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from embedlake import config as C
+from embedlake.functions import models, providers
+from embedlake.functions import vector as V
+from embedlake.functions.template import format_column
+from embedlake.operators import chunk, ivf, knn
+from embedlake.plans import cdc
+from embedlake.plans.pipeline import embedding_view, plan, with_column
+from embedlake.semantic.catalog import content
+from embedlake.sources import dataset, loading
+from embedlake.streaming.worker import windowed_counts
+
+#: The query vector of the single-query searches: component i is (i % 7 - 3) / 3.
+QUERY = [(i % 7 - 3) / 3 for i in range(64)]
+Q = "(SELECT list_transform(range(64), lambda i: (i % 7 - 3) / 3.0::DOUBLE))"
+E64 = "embedding::DOUBLE[]"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query by its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _topk(spark: SparkSession, d: str, metric: str, **more) -> DataFrame:
+    found = knn.top_k(table(spark, d, "embeddings"), QUERY, 10, ["vec_id"], metric=metric, **more)
+    return found.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+def _topk_sql(distance: str, where: str = "true") -> str:
+    return f"SELECT vec_id, round({distance}, 6) AS distance FROM embeddings WHERE embedding IS NOT NULL AND {where} ORDER BY {distance}, vec_id LIMIT 10"
+
+
+COSINE = f"list_cosine_distance({E64}, {Q})"
+
+
+@query(_topk_sql(COSINE))
+def vec_cosine_topk(spark, d):
+    return _topk(spark, d, "vector_cosine_ops")
+
+
+@query(_topk_sql(f"list_distance({E64}, {Q})"))
+def vec_l2_topk(spark, d):
+    return _topk(spark, d, "vector_l2_ops")
+
+
+@query(_topk_sql(f"list_negative_inner_product({E64}, {Q})"))
+def vec_ip_topk(spark, d):
+    return _topk(spark, d, "vector_ip_ops")
+
+
+@query(_topk_sql(f"list_sum(list_transform(list_zip({E64}, {Q}), lambda x: abs(x[1] - x[2])))"))
+def vec_l1_topk(spark, d):
+    return _topk(spark, d, "vector_l1_ops")
+
+
+@query(_topk_sql(COSINE, "label = 3"))
+def vec_filter_label(spark, d):
+    return _topk(spark, d, "vector_cosine_ops", where="label = 3")
+
+
+@query(_topk_sql(COSINE, "vec_id NOT IN (1, 2, 3, 5, 8, 13, 21)"))
+def vec_exclude_ids(spark, d):
+    return _topk(spark, d, "vector_cosine_ops", exclude=[1, 2, 3, 5, 8, 13, 21])
+
+
+@query(f"SELECT vec_id, label, round({COSINE}, 6) AS distance FROM embeddings WHERE {COSINE} <= 0.9")
+def vec_threshold(spark, d):
+    e = table(spark, d, "embeddings").withColumn("distance", V.cosine_distance("embedding", QUERY))
+    return e.where("distance <= 0.9").select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
+@query("""
+    WITH p AS (SELECT a.vec_id AS query_vec_id, b.vec_id, list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist
+               FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_vec_id ORDER BY dist, vec_id) AS rn FROM p)
+    SELECT query_vec_id, vec_id, round(dist, 6) AS distance, rn::INT AS rank FROM r WHERE rn <= 5""")
+def vec_batch_knn(spark, d):
+    e = table(spark, d, "embeddings")
+    found = knn.batch_top_k(e, e.where("vec_id % 20 = 0"), 5, "vec_id", "vec_id", skip_same=True)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query("""
+    WITH p AS (SELECT a.vec_id AS q, a.label AS ql, b.label AS bl, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rn
+               FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+    SELECT ql AS label, round(avg(CASE WHEN ql = bl THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n_queries FROM p WHERE rn = 1 GROUP BY ql""")
+def vec_hit_rate_by_label(spark, d):
+    e = table(spark, d, "embeddings")
+    near = knn.batch_top_k(e, e.where("vec_id % 20 = 0"), 1, "vec_id", "vec_id", skip_same=True)
+    named = near.join(e.select("vec_id", F.col("label").alias("near_label")), "vec_id")
+    own = e.select(F.col("vec_id").alias("query_vec_id"), "label")
+    hit = F.avg((F.col("label") == F.col("near_label")).cast("double"))
+    return named.join(own, "query_vec_id").groupBy("label").agg(F.round(hit, 6).alias("hit_rate"), F.count("*").alias("n_queries"))
+
+
+@query("SELECT label, count(*) AS n, round(avg(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))), 6) AS mean_norm, round(max(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))), 6) AS max_norm FROM embeddings GROUP BY label")
+def vec_norm_stats(spark, d):
+    e = table(spark, d, "embeddings").select("label", V.norm("embedding").alias("n"))
+    return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("n"), 6).alias("mean_norm"), F.round(F.max("n"), 6).alias("max_norm"))
+
+
+@query("SELECT label, pos, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding)))::INT AS pos FROM embeddings) GROUP BY label, pos")
+def vec_centroid_by_label(spark, d):
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
+    return e.groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@query()
+def vec_ivf_search(spark, d):
+    """Approximate search by cells; recall is measured in the tests."""
+    import uuid
+
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/embedlake'}/ivf-{uuid.uuid4().hex}"
+    e = table(spark, d, "embeddings")
+    ivf.build(e, path)
+    return ivf.search(spark, path, QUERY, 10, ["vec_id"], probes=8).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+MD5_4 = "round(((('0x' || substr(md5(coalesce(text, '') || ':0'), 1, 8))::UBIGINT / 2147483647.5::DOUBLE) - 1)::FLOAT::DOUBLE, 4)"
+
+
+def _none_config(schema) -> dict:
+    return C.vectorizer("default.documents", schema, ["doc_id"], C.loading_column("text"), C.embedding_hash(8), chunking=C.chunking_none(), formatting=C.formatting_python_template("$chunk"))
+
+
+def _store(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return plan(docs, _none_config(docs.schema))
+
+
+@query(f"SELECT doc_id, 0 AS chunk_seq, length(text) AS n_chunk, 8 AS n_dims, {MD5_4} AS e0 FROM documents WHERE coalesce(text, '') <> ''")
+def emb_store_none(spark, d):
+    return _store(spark, d).select("doc_id", "chunk_seq", F.length("chunk").cast("bigint").alias("n_chunk"), F.size("embedding").alias("n_dims"), F.round(F.col("embedding")[0].cast("double"), 4).alias("e0"))
+
+
+@query(f"SELECT lang, source, count(*) AS n, round(min({MD5_4}), 4) AS least FROM documents WHERE coalesce(text, '') <> '' GROUP BY lang, source")
+def emb_view_left_join(spark, d):
+    docs = table(spark, d, "documents")
+    view = embedding_view(_store(spark, d).drop("chunk"), docs, ["doc_id"])
+    return view.groupBy("lang", "source").agg(F.count("*").alias("n"), F.round(F.min(F.round(F.col("embedding")[0].cast("double"), 4)), 4).alias("least"))
+
+
+@query(f"SELECT doc_id, lang, CASE WHEN lang = 'en' AND coalesce(text, '') <> '' THEN {MD5_4} END AS e0 FROM documents")
+def emb_column_dest(spark, d):
+    docs = table(spark, d, "documents")
+    new = plan(docs.where("lang = 'en'"), _none_config(docs.schema))
+    return with_column(docs, new, ["doc_id"], "emb").select("doc_id", "lang", F.round(F.col("emb")[0].cast("double"), 4).alias("e0"))
+
+
+#: Greedy words of at most 80 characters; lines are kept together by a control character.
+CHUNK_SQL = """
+    WITH w AS (SELECT doc_id, lang, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL AND length(text) < 2000),
+    c AS (SELECT doc_id, lang, string_split(list_reduce(ws, lambda acc, x: CASE WHEN length(list_last(string_split(acc, chr(1)))) + 1 + length(x) <= 80 THEN acc || ' ' || x ELSE acc || chr(1) || x END), chr(1)) AS cs FROM w WHERE len(ws) > 0),
+    u AS (SELECT doc_id, lang, unnest(cs) AS raw, unnest(range(len(cs))) AS seq FROM c),
+    t AS (SELECT doc_id, lang, seq, regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '') AS chunk FROM u)
+"""
+
+
+def _short_chunks(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").where("length(text) < 2000")
+    return chunk.explode_chunks(docs, "text", "character_text_splitter", chunk_size=80, chunk_overlap=0, separator=" ")
+
+
+@query(CHUNK_SQL + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1)::INT AS chunk_seq, chunk FROM t WHERE chunk <> ''")
+def chunk_char_words(spark, d):
+    return _short_chunks(spark, d).select("doc_id", "chunk_seq", "chunk")
+
+
+@query(CHUNK_SQL + "SELECT lang, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, max(length(chunk)) AS longest FROM t WHERE chunk <> '' GROUP BY lang")
+def chunk_counts_by_lang(spark, d):
+    return _short_chunks(spark, d).groupBy("lang").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.max(F.length("chunk")).cast("bigint").alias("longest"))
+
+
+@query()
+def chunk_recursive(spark, d):
+    """Recursive chunks with the defaults; a scan by hand checks them in the tests."""
+    return chunk.explode_chunks(table(spark, d, "documents"), "text").select("doc_id", "chunk_seq", "chunk")
+
+
+@query("SELECT doc_id, 'id ' || doc_id || ' [' || coalesce(lang, 'None') || '] costs $: ' || coalesce(text, '') AS formatted FROM documents")
+def fmt_template(spark, d):
+    docs = table(spark, d, "documents").withColumn("chunk", F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", format_column(docs, "id $doc_id [${lang}] costs $$: $chunk").alias("formatted"))
+
+
+@query("SELECT doc_id, octet_length(encode(coalesce(text, ''))) * 0.25::DOUBLE AS tokens, octet_length(encode(coalesce(text, ''))) * 0.25 > 8191 AS truncated FROM documents")
+def batch_token_estimate(spark, d):
+    tokens = F.octet_length(F.coalesce("text", F.lit(""))) * 0.25
+    return table(spark, d, "documents").select("doc_id", tokens.cast("double").alias("tokens"), (tokens > providers.OPENAI_CONTEXT).alias("truncated"))
+
+
+def _changes(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select("user_id", (F.col("event_id") % 8).cast("int").alias("loading_retries"), F.when(F.col("event_id") % 5 == 0, F.col("ts")).alias("loading_retry_after"))
+
+
+CHANGES = "(SELECT user_id, (event_id % 8)::INT AS loading_retries, CASE WHEN event_id % 5 = 0 THEN ts END AS loading_retry_after FROM events)"
+
+
+@query(f"SELECT user_id, max(loading_retries) AS loading_retries FROM {CHANGES} WHERE loading_retry_after IS NULL OR loading_retry_after < TIMESTAMP '2024-01-15' GROUP BY user_id")
+def queue_dedupe(spark, d):
+    return cdc.claim(_changes(spark, d), ["user_id"], F.lit("2024-01-15").cast("timestamp_ntz"))
+
+
+@query(f"""
+    SELECT event_id, 'retry' AS state, event_id % 8 + 1 AS retries, strftime(TIMESTAMP '2024-01-01' + to_minutes(3 * (event_id % 8 + 1)), '%Y-%m-%d %H:%M:%S') AS after FROM events WHERE event_id % 8 < 6
+    UNION ALL SELECT event_id, 'dead', event_id % 8, NULL FROM events WHERE event_id % 8 >= 6""")
+def queue_retry_split(spark, d):
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 8).alias("loading_retries"))
+    again, dead = cdc.settle(e, ["event_id"], now=F.lit("2024-01-01").cast("timestamp"))
+    a = again.select("event_id", F.lit("retry").alias("state"), F.col("loading_retries").alias("retries"), F.date_format("loading_retry_after", "yyyy-MM-dd HH:mm:ss").alias("after"))
+    return a.unionByName(dead.select("event_id", F.lit("dead").alias("state"), (F.col("event_id") % 8).alias("retries"), F.lit(None).cast("string").alias("after")))
+
+
+@query("SELECT CASE WHEN n > 10000 THEN 9223372036854775807 ELSE n END AS pending FROM (SELECT count(*) AS n FROM (SELECT 1 FROM events LIMIT 10001))")
+def queue_pending_capped(spark, d):
+    n = table(spark, d, "events").limit(cdc.PENDING_CAP + 1).agg(F.count("*").alias("n"))
+    return n.select(F.when(F.col("n") > cdc.PENDING_CAP, cdc.PENDING_MANY).otherwise(F.col("n")).alias("pending"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'delete' WHEN o_orderkey % 7 = 0 THEN 'update' ELSE 'same' END AS op FROM orders
+    UNION ALL SELECT o_orderkey + 100000000, 'insert' FROM orders WHERE o_orderkey % 13 = 0""")
+def cdc_diff_ops(spark, d):
+    old = table(spark, d, "orders")
+    new = old.where("o_orderkey % 11 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    new = new.unionByName(old.where("o_orderkey % 13 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 100000000))
+    return cdc.diff(old, new, ["o_orderkey"])
+
+
+@query("SELECT user_id, event_id, event_type, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def cdc_apply_latest(spark, d):
+    return cdc.latest(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query("SELECT e.event_id, c.c_name AS name FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey WHERE e.event_type = 'error'")
+def errors_view_join(spark, d):
+    e = table(spark, d, "events").where("event_type = 'error'")
+    return e.join(table(spark, d, "customer"), e["user_id"] == F.col("c_custkey"), "left").select("event_id", F.col("c_name").alias("name"))
+
+
+@query("SELECT user_id, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END)::BIGINT AS success_count, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS error_count FROM events GROUP BY user_id")
+def worker_progress_agg(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("success_count"), F.count_if(F.col("event_type") == "error").alias("error_count"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def dechunk_conversation(spark, d):
+    return dataset.dechunk(table(spark, d, "conversations").where("text is not null"), ["conv_id"], "text", "turn")
+
+
+@query(f"SELECT label, '[' || string_agg(vec_id::VARCHAR, ',' ORDER BY dist, vec_id) || ']' AS context FROM (SELECT label, vec_id, dist, row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) AS rn FROM (SELECT label, vec_id, {COSINE} AS dist FROM embeddings)) WHERE rn <= 3 GROUP BY label")
+def rag_context_agg(spark, d):
+    e = table(spark, d, "embeddings").select("label", "vec_id", V.cosine_distance("embedding", QUERY).alias("dist"))
+    top = e.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("dist", "vec_id"))).where("rn <= 3")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("dist", "vec_id"))), lambda x: x["vec_id"])
+    return top.groupBy("label").agg(F.to_json(ordered).alias("context"))
+
+
+@query("SELECT doc_id, CASE WHEN lower(text) LIKE '%kill%' OR lower(text) LIKE '%hate%' OR lower(text) LIKE '%attack%' THEN 'flagged' ELSE 'approved' END AS status FROM documents WHERE text IS NOT NULL")
+def moderate_rule(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    answer = models.call(F.to_json(F.struct(F.col("text").alias("input"))), {"implementation": "hash"}, "moderate")
+    return docs.select("doc_id", models.moderation_status(answer).alias("status"))
+
+
+@query("SELECT d.lang, CASE WHEN l.toxic = 1 THEN 'flagged' WHEN l.toxic = 0 THEN 'approved' ELSE 'pending' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1, 2")
+def moderation_status_counts(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    status = F.when(F.col("toxic") == 1, "flagged").when(F.col("toxic") == 0, "approved").otherwise("pending")
+    return docs.join(labels, "doc_id", "left").groupBy("lang", status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH q AS (SELECT list_distinct(string_split(lower('the of and to in'), ' ')) AS ws),
+    s AS (SELECT item_id, len(list_intersect(ws, string_split(lower(text), ' ')))::DOUBLE / len(ws) AS relevance_score FROM benchmark, q)
+    SELECT item_id, round(relevance_score, 6) AS relevance_score FROM s ORDER BY relevance_score DESC, item_id LIMIT 10""")
+def rerank_overlap(spark, d):
+    ws = F.array(*[F.lit(w) for w in ("the", "of", "and", "to", "in")])
+    score = F.size(F.array_intersect(ws, F.split(F.lower("text"), " "))) / F.size(ws)
+    return knn.rerank(table(spark, d, "benchmark"), score, 10, ["item_id"]).select("item_id", F.round("relevance_score", 6).alias("relevance_score"))
+
+
+@query("""
+    SELECT lang, prediction, count(*) AS n FROM (SELECT lang, CASE WHEN (text LIKE '% der %' OR text LIKE '% und %') THEN 'de' WHEN text LIKE '% les %' OR text LIKE '% le %' THEN 'fr'
+        WHEN text LIKE '% los %' OR text LIKE '% el %' THEN 'es' ELSE 'en' END AS prediction FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2""")
+def classify_lang_rule(spark, d):
+    has = lambda *w: F.col("text").rlike("|".join(f" {x} " for x in w))
+    guess = F.when(has("der", "und"), "de").when(has("les", "le"), "fr").when(has("los", "el"), "es").otherwise("en")
+    return table(spark, d, "documents").where("text is not null").groupBy("lang", guess.alias("prediction")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages WHERE html IS NOT NULL")
+def extract_title(spark, d):
+    return table(spark, d, "pages").where("html is not null").select("page_id", loading.title("html").alias("title"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href'))::INT AS n_links FROM pages WHERE html IS NOT NULL")
+def html_links_count(spark, d):
+    return table(spark, d, "pages").where("html is not null").select("page_id", F.regexp_count("html", F.lit(r"(?i)<a\s[^>]*href")).alias("n_links"))
+
+
+@query()
+def html_text(spark, d):
+    """Visible text of pages, parsed as documents."""
+    pages = table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    text = F.arrow_udf(_arrow_text, "string")
+    return pages.select("page_id", text("content").alias("text"))
+
+
+def _arrow_text(batch: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else loading.parse_document(x, "html") for x in batch.to_pylist()], pa.string())
+
+
+@query("SELECT page_id, nullif(lower(regexp_extract(regexp_extract(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*|[?#].*$', '', 'g'), '[^/]*$'), '[^.]\\.([^.]+)$', 1)), '') AS ext FROM pages")
+def filetype_sniff(spark, d):
+    return table(spark, d, "pages").select("page_id", loading.extension("url").alias("ext"))
+
+
+@query("SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY md5(text)")
+def dedupe_exact(spark, d):
+    return table(spark, d, "documents").where("text is not null").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def json_props_extract(spark, d):
+    return table(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey AS id, 'tpch.' || lower(n_name) || CASE WHEN n_nationkey % 2 = 0 THEN '(int, text)' ELSE '' END || ' nation of region ' || n_regionkey AS content FROM nation")
+def catalog_content_rule(spark, d):
+    rows = table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("id"), F.lit("tpch").alias("schema_name"), F.lower("n_name").alias("name"), F.lit(None).cast("string").alias("column_name"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("int"), F.lit("text"))).otherwise(F.array().cast("array<string>")).alias("args"), F.concat(F.lit("nation of region "), F.col("n_regionkey").cast("string")).alias("description"),
+    )
+    return rows.select("id", content("objects").alias("content"))
+
+
+@query("SELECT c_custkey, count(*) AS usage FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey ORDER BY usage DESC, c_custkey LIMIT 20")
+def usage_topn(spark, d):
+    used = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey").agg(F.count("*").alias("usage"))
+    return used.orderBy(F.desc("usage"), "c_custkey").limit(20)
+
+
+@query(f"""
+    SELECT vec_id AS id FROM (SELECT vec_id FROM embeddings ORDER BY {COSINE}, vec_id LIMIT 20)
+    UNION SELECT doc_id FROM (SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\\blicense\\b') ORDER BY doc_id LIMIT 20)""")
+def hybrid_union(spark, d):
+    near = knn.top_k(table(spark, d, "embeddings"), QUERY, 20, ["vec_id"]).select(F.col("vec_id").alias("id"))
+    words = table(spark, d, "documents").where(F.col("text").rlike(r"(?i)\blicense\b")).orderBy("doc_id").limit(20).select(F.col("doc_id").alias("id"))
+    return near.union(words).distinct()
+
+
+@query("""
+    WITH p AS (SELECT a.vec_id AS q, a.vec_id % 5 AS question_type, b.vec_id AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rn
+               FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+    h AS (SELECT q, question_type, max(CASE WHEN rn <= 10 AND hit = q THEN 1.0 ELSE 0.0 END) AS found FROM p GROUP BY q, question_type)
+    SELECT question_type, round(avg(found), 6) AS hit_rate, count(*) AS n_queries FROM h GROUP BY question_type""")
+def hit_rate_by_type(spark, d):
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 20 = 0")
+    found = knn.batch_top_k(e, asked, 10, "vec_id", "vec_id")
+    truth = asked.select(F.col("vec_id").alias("query_vec_id"), "vec_id", (F.col("vec_id") % 5).alias("question_type"))
+    out = knn.hit_rate(found, truth, "query_vec_id", ["vec_id"], ["question_type"])
+    return out.withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+@query(f"""
+    SELECT c_custkey, n_name, o_orderkey, round({COSINE}, 6) AS distance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN embeddings ON vec_id = c_custkey
+    WHERE o_orderstatus = 'O' AND {COSINE} IS NOT NULL ORDER BY {COSINE}, o_orderkey LIMIT 25""")
+def business_join_topk(spark, d):
+    c, n, o, e = (table(spark, d, t) for t in ("customer", "nation", "orders", "embeddings"))
+    joined = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(o.where("o_orderstatus = 'O'"), F.col("o_custkey") == F.col("c_custkey")).join(e, F.col("vec_id") == F.col("c_custkey"))
+    return knn.top_k(joined, QUERY, 25, ["o_orderkey"]).select("c_custkey", "n_name", "o_orderkey", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_window(spark, d):
+    out = windowed_counts(table(spark, d, "events"), "ts", "event_type", "value")
+    return out.select(F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""
+    WITH e AS (SELECT * FROM (VALUES ('the', 'WORD'), ('thea', 'LONG')) t(name, type))
+    SELECT item_id, regexp_replace(regexp_replace(text, '(?i)\\bthea\\b', '[LONG]', 'g'), '(?i)\\bthe\\b', '[WORD]', 'g') AS text FROM benchmark WHERE NOT regexp_matches(text, '[^ -~\\n]')""")
+def anonymize_entities(spark, d):
+    found = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in (("the", "WORD"), ("thea", "LONG"))])
+    b = table(spark, d, "benchmark").where(~F.col("text").rlike(r"[^ -~\n]")).withColumn("entities", found)
+    return b.select("item_id", models.anonymize(b, "text", "entities").alias("text"))
+
+
+@query()
+def pipeline_recursive(spark, d):
+    """The whole chain with default chunking and a template, embedded offline."""
+    docs = table(spark, d, "documents")
+    config = C.vectorizer("default.documents", docs.schema, ["doc_id"], C.loading_column("text"), C.embedding_hash(16), formatting=C.formatting_python_template("title: $source $chunk"))
+    return plan(docs, config).select("doc_id", "chunk_seq", F.length("chunk").alias("n_chars"), F.round(F.col("embedding")[0].cast("double"), 4).alias("e0"))
