@@ -64,6 +64,8 @@ class Coder:
     def _segments(self, data: np.ndarray, offsets: np.ndarray):
         cut = self.cuts(data)
         begin = T._starts(offsets)
+        if self.drop_blank:  # a row's last byte is no blank between two characters
+            cut[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = False
         cut[begin] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
