@@ -107,25 +107,19 @@ def _tiles(spread: DataFrame, threshold: float) -> DataFrame:
         vec = _unit(_matrix(table.column("vec").combine_chunks()))
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         n = np.zeros(len(a), np.int64)
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        every = np.unique(ids)
+        place, label = np.searchsorted(every, ids), np.arange(len(every))
         for at in range(0, len(a), 256):
             own = a[at : at + 256]
             hit = vec[own] @ vec[b].T >= threshold
             hit &= ids[own][:, None] != ids[b][None, :]
             n[at : at + 256] = hit.sum(axis=1)
-            i, j = np.nonzero(hit)
-            for x, y in zip(ids[own[i]].tolist(), ids[b[j]].tolist(), strict=True):
-                x, y = find(x), find(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-        links = [(x, find(x)) for x in list(parent) if find(x) != x]
+            for k in np.flatnonzero(n[at : at + 256]).tolist():
+                found = np.unique(label[np.append(place[b[hit[k]]], place[own[k]])])
+                if len(found) > 1:  # so at most once for every row of the tile
+                    label[np.isin(label, found)] = found[0]
+        joined = np.flatnonzero(label != np.arange(len(every)))
+        links = list(zip(every[joined].tolist(), every[label[joined]].tolist(), strict=True))
         some = np.flatnonzero(n)
         return pa.Table.from_arrays(
             [
