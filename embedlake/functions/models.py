@@ -98,8 +98,56 @@ def client_config(**options) -> str:
     return json.dumps({k: v for k, v in options.items() if v is not None}, sort_keys=True)
 
 
+def _table_function(kind: str, task: str):
+    """Rows of a provider's answer, as a table function."""
+    name = task.removesuffix("_simple")
+
+    class Rows:
+        def eval(self, request: str):
+            answer = P.provider({"implementation": kind}).call(name, json.loads(request or "{}"))
+            if name == "rerank":
+                for r in answer["results"]:
+                    yield int(r["index"]), r.get("document"), float(r["relevance_score"])
+            elif name == "classify":
+                for r in answer["classifications"]:
+                    yield r["input"], r["prediction"], float(r["confidence"])
+            else:
+                for m in answer.get("models") or answer.get("data") or []:
+                    yield m.get("id") or m.get("name"), str(m.get("created") or m.get("created_at") or m.get("modified_at") or ""), m.get("owned_by")
+
+    return Rows
+
+
+def _embed_many(kind: str):
+    class Rows:
+        def eval(self, model: str, texts: list, dimensions: int):
+            source = P.provider({"implementation": kind, "model": model, "dimensions": dimensions})
+            for k, v in enumerate(P.embed_batches(source, list(texts or []), P.limits({"implementation": kind, "model": model or ""}))):
+                yield k, [float(x) for x in v]
+
+    return Rows
+
+
+#: Columns of the table functions; fixed values.
+ROWS = {"rerank_simple": "index int, document string, relevance_score double", "classify_simple": "input string, prediction string, confidence double", "models": "id string, created string, owned_by string"}
+
+
+def table_functions() -> dict:
+    """``ai_<provider>_rerank_simple``, ``_classify_simple``, ``_models`` (request) and ``_embed_many(model, texts, dimensions)``."""
+    out = {}
+    for kind, tasks in TASKS.items():
+        for task, name in (("rerank", "rerank_simple"), ("classify", "classify_simple"), ("list_models", "models")):
+            if task in tasks:
+                out[f"ai_{kind}_{name}"] = F.udtf(_table_function(kind, task if name == "models" else name), returnType=ROWS[name])
+        if kind != "anthropic":
+            out[f"ai_{kind}_embed_many"] = F.udtf(_embed_many(kind), returnType="index int, embedding array<double>")
+    return out
+
+
 def register(spark: SparkSession) -> None:
-    """``ai_<provider>_embed(model, text, dimensions)`` and ``ai_<provider>_<task>(request)``."""
+    """``ai_<provider>_embed(model, text, dimensions)``, ``ai_<provider>_<task>(request)`` and the table functions."""
+    for name, f in table_functions().items():
+        spark.udtf.register(name, f)
     for kind in SQL_PROVIDERS:
         if kind != "anthropic":
             spark.udf.register(f"ai_{kind}_embed", _sql_embed(kind))

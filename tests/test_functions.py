@@ -48,6 +48,9 @@ def test_distances(spark):
     register_all(spark)
     r = spark.sql("SELECT ai_cosine_distance(array(1D, 0D), array(1D, 1D)) AS c, ai_l2_distance(array(0D, 0D), array(3D, 4D)) AS l, ai_hash_embed('m', 'x', 4) AS e").first()
     assert abs(r["c"] - 0.29289321881) < 1e-9 and r["l"] == 5 and len(r["e"]) == 4
+    r = spark.sql("""SELECT * FROM ai_hash_rerank_simple('{"query": "a b", "documents": ["b c", "a b"]}')""").collect()
+    assert [(x["index"], x["relevance_score"]) for x in r] == [(1, 1.0), (0, 0.5)]
+    assert spark.sql("SELECT * FROM ai_hash_embed_many('m', array('x', 'y'), 3)").count() == 2 and spark.sql("SELECT id FROM ai_hash_models('{}')").first()["id"] == "hash"
     with pytest.raises(Exception, match="expected 3 dimensions"):
         spark.range(1).select(V.vector(V.F.lit("[1,2]"), 3)).collect()
 
