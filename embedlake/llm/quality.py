@@ -27,6 +27,8 @@ MIN_GROUP = 30
 SALTS = 16
 #: A figure beyond its group's third quartile by so many interquartile ranges is out of range.
 FENCE = 6.0
+#: Lines that are added to a document's own for its share of repeated ones, so that one of three is no fault.
+FEW_LINES = 3
 #: Floors: the share of symbols a word character, of repeated lines a line, of repeated words a word.
 FLOORS = {"symbol_share": 0.05, "dup_line_share": 0.3, "repeat_share": 0.3, "long_words": 15.0}
 
@@ -93,7 +95,7 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
 def _shares() -> dict[str, Column]:
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return {
-        "symbol_share": part("n_symbols", "word_chars"), "dup_line_share": part("n_dup_lines", "n_lines"),
+        "symbol_share": part("n_symbols", "word_chars"), "dup_line_share": F.col("n_dup_lines") / (F.col("n_lines") + FEW_LINES),
         "repeat_share": part("n_repeat_words", "n_words"), "long_words": part("word_chars", "n_words"),
     }
 
