@@ -49,8 +49,8 @@ def scheduling_default() -> dict:
     return _config("scheduling", "default")
 
 
-def scheduling_timescaledb(schedule_interval: str = "5m", initial_start: str | None = None, fixed_schedule: bool | None = None, timezone: str | None = None) -> dict:
-    return _config("scheduling", "timescaledb", schedule_interval=schedule_interval, initial_start=initial_start, fixed_schedule=fixed_schedule, timezone=timezone)
+def scheduling_periodic(schedule_interval: str = "5m", initial_start: str | None = None, fixed_schedule: bool | None = None, timezone: str | None = None) -> dict:
+    return _config("scheduling", "periodic", schedule_interval=schedule_interval, initial_start=initial_start, fixed_schedule=fixed_schedule, timezone=timezone)
 
 
 def embedding_openai(model: str, dimensions: int, chat_user: str | None = None, api_key_name: str = "OPENAI_API_KEY", base_url: str | None = None) -> dict:
@@ -141,7 +141,7 @@ def destination_column(embedding_column: str) -> dict:
 KINDS = {
     "chunking": (("character_text_splitter", "recursive_character_text_splitter", "none"), "invalid chunking config implementation", "invalid chunking config implementation"),
     "formatting": (("python_template", "chunk_value"), "unrecognized formatting implementation", "unrecognized formatting implementation"),
-    "scheduling": (("none", "timescaledb"), "scheduling implementation not specified", 'unrecognized scheduling implementation: "{}"'),
+    "scheduling": (("none", "periodic"), "scheduling implementation not specified", 'unrecognized scheduling implementation: "{}"'),
     "embedding": (("openai", "ollama", "voyageai", "litellm", "sentence_transformers", "hash"), "embedding implementation not specified", 'invalid embedding implementation: "{}"'),
     "indexing": (("none", "diskann", "hnsw"), "indexing implementation not specified", 'invalid indexing implementation: "{}"'),
     "processing": (("default",), "processing implementation not specified", 'unrecognized processing implementation: "{}"'),
@@ -233,7 +233,7 @@ def resolve(config: dict, defaults: dict[str, str] | None = None) -> dict:
     settings = defaults or {}
     if config.get("implementation") != "default" or config.get("config_type") not in ("indexing", "scheduling"):
         return config
-    named = {"indexing_diskann": indexing_diskann, "indexing_hnsw": indexing_hnsw, "scheduling_timescaledb": scheduling_timescaledb}
+    named = {"indexing_diskann": indexing_diskann, "indexing_hnsw": indexing_hnsw, "scheduling_periodic": scheduling_periodic}
     kind = config["config_type"]
     maker = named.get(settings.get(f"{kind}_default", ""))
     return maker() if maker else _config(kind, "none")
@@ -274,7 +274,7 @@ def vectorizer(
     for kind in KINDS:
         validate(kind, out[kind], schema, out["loading"], out["chunking"])
     if out["scheduling"]["implementation"] == "none" and out["indexing"]["implementation"] != "none":
-        raise ConfigError("automatic indexing is not supported without scheduling. set indexing=>ai.indexing_none() when scheduling=>ai.scheduling_none()")
+        raise ConfigError("automatic indexing is not supported without scheduling. use indexing_none() with scheduling_none()")
     space, _, table = source.rpartition(".")
     out["destination"] = evaluate_destination(out["destination"], space or "default", table)
     where = out["destination"]

@@ -111,9 +111,7 @@ def render_relation(r: Relation) -> str:
     if r.description is not None:
         out.append(f"COMMENT ON {word} {full} IS {_quoted(r.description)};")
     out += [f"COMMENT ON COLUMN {full}.{c.name} IS {_quoted(c.description)};" for c in r.columns if c.description is not None]
-    for k, d in enumerate(r.dimensions):
-        size = d.get("interval") or d.get("number")
-        out.append(f"SELECT {'add_dimension' if k else 'create_hypertable'}('{full}', {d['builder']}('{d['column']}', {size}));")
+    out += [f"/* partitioned {d['builder']}({d['column']}, {d.get('interval') or d.get('number')}) */" for d in r.dimensions]
     if r.sample:
         out.append(r.sample)
     return "\n".join([*out, f"</{r.kind}>"])
