@@ -11,7 +11,8 @@ the sets themselves.
 
 Equal sets are one node. Within a meeting point, nodes are first tried against its smallest node only; the
 rest of the pairs is tried only between nodes that are still in different components, so groups of copies
-cost a line each and no link between components is lost. Nothing that grows with the data is broadcast.
+cost a line each and no link between components is lost. That rest is compared in tiles of bounded size, a
+matrix of sketches at a time, and only pairs that pass leave a task. Nothing that grows with the data is broadcast.
 
 Cases: null, empty or wordless text has an empty set and no links; fewer than ``n`` words are one shingle;
 a null id is kept, but such rows are never the smallest id; repeated rows link to each other; an empty
@@ -30,13 +31,15 @@ from pyspark.sql import functions as F
 from embedlake.llm import _text as T
 from embedlake.llm._work import Workspace, bounded_ids, connected_components
 
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: Counters of the table that orders block contents by how common their tokens are: 1 MB whatever the input.
 COUNTERS = 1 << 18
 PARTS = 64
 _LOW48 = np.uint64((1 << 48) - 1)
-#: Bits a token of the Hamming sketch, at least.
-BITS_PER_TOKEN = 4
+#: Bits a token of the Hamming sketch, at least; in tiles, where a sketch travels to each meeting point.
+BITS_PER_TOKEN, TILE_BITS = 4, 1
+#: Rounds in which a meeting point's rows are tried against its smallest node, which then leaves.
+STAR_ROUNDS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -182,9 +185,9 @@ def meeting_points(sets: DataFrame, table: bytes, num: int, den: int) -> DataFra
     return sets.select("node", "grams").mapInArrow(run, "key bigint, node bigint, n int")
 
 
-def hamming_sketch(h: np.ndarray) -> bytes:
+def hamming_sketch(h: np.ndarray, per_token: int = BITS_PER_TOKEN) -> bytes:
     """A bit toggled by each token; a power of two of bits, so that sketches fold onto smaller ones."""
-    bits = max(256, 1 << (BITS_PER_TOKEN * len(h) - 1).bit_length())
+    bits = max(256, 1 << (per_token * len(h) - 1).bit_length())
     odd = np.bincount((T.mix(h ^ T.K3) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -238,12 +241,78 @@ def _pairs_with(pairs: DataFrame, details: DataFrame, name: str, keep, extra: st
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+#: Rows of a side of a tile.
+TILE = 512
+
+
+def _fold(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, folded onto the shortest."""
+    least = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0) for x in sketches])
+
+
+def _close_in_tiles(ws: Workspace, met: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of nodes that meet, in different components, with sketches near enough.
+
+    A meeting point's rows fall into blocks of ``TILE`` or so, and a tile holds two of its blocks; a task
+    compares sketches as matrices and gives only the pairs that pass.
+    """
+    blocks = ws.save(met.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nb")).where("nb > 1"), "tile-blocks")
+    own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
+    placed = met.join(blocks, "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    tiled = placed.withColumn("with", other).select(
+        "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "n", "comp", "sketch"
+    )
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def close(rows: list[tuple], seen: set) -> list[tuple[int, int]]:
+        i, j = rows[0][1], rows[0][2]
+        if len({r[6] for r in rows}) < 2:
+            return []
+        words = _fold([r[7] for r in rows])
+        n, comp, side = (np.array([r[k] for r in rows], np.int64) for k in (5, 6, 3))
+        out = []
+        for k in range(len(rows)) if i == j else np.flatnonzero(side == i).tolist():
+            rest = np.arange(k + 1, len(rows)) if i == j else np.flatnonzero(side == j)
+            m = n[rest]
+            rest = rest[(comp[rest] != comp[k]) & (n[k] * den >= m * num) & (m * den >= n[k] * num)]
+            if not len(rest):
+                continue
+            apart = np.bitwise_count(words[rest] ^ words[k]).sum(axis=1, dtype=np.int64)
+            for q in rest[apart * (den + num) <= (den - num) * (n[rest] + n[k])].tolist():
+                pair = (min(rows[k][4], rows[q][4]), max(rows[k][4], rows[q][4]))
+                if pair not in seen:
+                    seen.add(pair)
+                    out.append(pair)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = [], set()
+        make = lambda pairs: pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    out += close(held, seen)
+                    held = []
+                held.append(row)
+            if out:
+                yield make(out)
+            if len(seen) > 1_000_000:
+                seen.clear()  # pairs seen again are made distinct later
+        if held and (out := close(held, seen)):
+            yield make(out)
+
+    return tiled.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
+
+
 def similar_sets(ws: Workspace, sets: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """(node, comp) of nodes with links: ``den`` * intersection >= ``num`` * union, over components."""
     hits = meeting_points(sets.where("node is not null"), frequency_table(sets.where("node is not null")), num, den)
     w = Window.partitionBy("key")
     met = hits.withColumn("rep", F.min(F.struct("node", "n")).over(w)).withColumn("top", F.max("node").over(w)).where("rep.node <> top")
-    met = ws.save(met.select("key", "node", "n", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n")), "hits")
+    met = ws.save(met.select("key", "node", "n", F.col("node").alias("comp"), F.struct("rep.node", "rep.n", F.col("rep.node").alias("comp")).alias("rep")), "met-0")
     fits = lambda n, m: (F.col(n) * den >= F.col(m) * num) & (F.col(m) * den >= F.col(n) * num)
 
     def near(x: bytes, n: int, y: bytes, m: int) -> bool:
@@ -253,37 +322,38 @@ def similar_sets(ws: Workspace, sets: DataFrame, num: int = 80, den: int = 100)
         both = len(np.intersect1d(_unpack48(x), _unpack48(y), assume_unique=True))
         return den * both >= num * (n + m - both)
 
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        pairs = ws.save(pairs, f"{tag}-pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-        sketches = ws.save(_details(sets, nodes, lambda raw: hamming_sketch(_unpack48(raw)), "sketch"), f"{tag}-sketch")
-        close = ws.save(_pairs_with(pairs, sketches, "sketch", near), f"{tag}-close")
-        ws.drop(f"{tag}-sketch", f"{tag}-pairs")
+    def exact(close: DataFrame, tag: str) -> DataFrame:
+        close = ws.save(close, f"{tag}-close")
         nodes = close.select(F.col("a").alias("node")).union(close.select("b"))
-        exact = ws.save(_details(sets, nodes, lambda raw: raw, "grams"), f"{tag}-grams")
-        links = ws.save(_pairs_with(close, exact, "grams", alike), f"{tag}-links")
+        held = ws.save(_details(sets, nodes, lambda raw: raw, "grams"), f"{tag}-grams")
+        links = ws.save(_pairs_with(close, held, "grams", alike), f"{tag}-links")
         ws.drop(f"{tag}-grams", f"{tag}-close")
         return links
 
-    stars = met.where("node <> rep").where(fits("n", "rep_n")).select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(stars, "star")
-    comps = connected_components(ws, links, "cc1")
-    # what the stars leave: pairs that meet, in different components so far
-    labelled = met.join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    mixed = labelled.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo <> hi").select("key", "node", "n", "comp")
-    mixed = ws.save(mixed, "mixed")
-    ws.drop("hits")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    rest = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & fits("x.n", "y.n"))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
-    more = verified(rest, "rest")
-    ws.drop("mixed")
+    def sketched(nodes: DataFrame, tag: str, per_token: int) -> DataFrame:
+        return ws.save(_details(sets, nodes, lambda raw: hamming_sketch(_unpack48(raw), per_token), "sketch"), tag)
+
+    links = comps = None
+    for k in range(STAR_ROUNDS):
+        untried = (F.col("node") != F.col("rep.node")) & (F.col("comp") != F.col("rep.comp")) & fits("n", "rep.n")
+        stars = ws.save(met.where(untried).select(F.col("rep.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+        sketches = sketched(stars.select(F.col("a").alias("node")).union(stars.select("b")), "star-sketch", BITS_PER_TOKEN)
+        found = exact(_pairs_with(stars, sketches, "sketch", near), f"star-{k}")
+        ws.drop("stars", "star-sketch")
+        links = found if links is None else links.union(found)
+        comps = connected_components(ws, links, f"cc{k}")
+        # what is left: pairs that meet in different components so far; each point's smallest node has been tried
+        rest = met.where(F.col("node") != F.col("rep.node")).select("key", "node", "n").join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        mixed = rest.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("rep", F.min(F.struct("node", "n", "comp")).over(w))
+        met = ws.save(mixed.where("lo <> hi").select("key", "node", "n", "comp", "rep"), f"met-{k + 1}")
+        ws.drop(f"met-{k}")
+    met = met.select("key", "node", "n", "comp")
+    sketches = sketched(met.select("node"), "rest-sketch", TILE_BITS).drop("n")
+    more = exact(_close_in_tiles(ws, met.join(sketches, "node"), num, den).distinct(), "rest")
+    ws.drop("rest-sketch", "tile-blocks", f"met-{STAR_ROUNDS}")
     if more.isEmpty():
         return comps
-    return connected_components(ws, links.union(more), "cc2")
+    return connected_components(ws, links.union(more), "cc-last")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,5 +376,5 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
     """
     ws = Workspace(docs.sparkSession, "keep-one")
     found = jaccard_components(docs, n, num, den, id_col, text_col)
-    gone = ws.save(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = ws.save(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
