@@ -14,10 +14,10 @@ import numpy as np
 
 from embedlake.llm import _text as T
 
-#: Encoded segments that a worker keeps, in tokens; beyond it the table starts anew.
-KEEP_TOKENS = 6_000_000
+#: Encoded segments that a worker keeps; beyond it the table starts anew.
+KEEP_SEGMENTS = 400_000
 #: Text bytes handled at once.
-SLICE = 3 << 20
+SLICE = 2 << 20
 
 
 def cuts_bpe(data: np.ndarray) -> np.ndarray:
@@ -100,7 +100,7 @@ class Coder:
         """Tokens of each row."""
         total = np.zeros(len(offsets), np.int64)
         if len(data):
-            if len(self.size) > KEEP_TOKENS // 3:
+            if len(self.size) > KEEP_SEGMENTS:
                 self.clear()
             starts, inner, ends = self._segments(data, offsets)
             seg = self._index(data, inner, ends)
@@ -112,7 +112,7 @@ class Coder:
         """Ids of all rows, and where each row's begin (with a closing entry)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if len(self.ids) > KEEP_TOKENS:
+        if len(self.size) > KEEP_SEGMENTS:
             self.clear()
         starts, inner, ends = self._segments(data, offsets)
         seg = self._index(data, inner, ends)

@@ -37,7 +37,9 @@ MAX_DOCS, MAX_CHARS, MAX_FEATURES = 3000, 20_000, 20_000
 LEAST_TEXTS, LEAST_ODDS, MARGIN = 3, 2.5, 0.0
 PREFIXES = (4, 5, 6)
 ROUNDS, RATE, DECAY = 40, 0.3, 1e-3
-SLICE = 3 << 20
+SLICE = 1 << 20
+#: Words whose potentials a task keeps.
+KEEP_WORDS = 200_000
 _STRIP = string.punctuation + "«»“”„…¡¿–—"
 
 
@@ -245,7 +247,7 @@ class Scorer:
             return np.zeros(n), [[] for _ in range(n)]
         starts, ends, first = T.words(data, offsets)
         key, at, back = np.unique(T.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.memo) > 2_000_000:
+        if len(self.memo) > KEEP_WORDS:
             self.memo = {}
         get, raw, own = self.memo.get, data.tobytes(), np.empty(len(key))
         for k, h in enumerate(key.tolist()):
