@@ -20,6 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column has it, in any case of letters."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 class Workspace:
     """Scratch Parquet tables. They survive the loss of executors and cut lineage."""
 
