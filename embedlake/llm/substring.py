@@ -160,7 +160,7 @@ def _searched(docs: DataFrame, id_col: str, text_col: str, window: int, prefix:
     return dealt.join(flags, "_row", "left")
 
 
-def _apply(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int, full: bool) -> DataFrame:
+def _apply(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int, full: bool, counts: tuple[str, str] = ("", "")) -> DataFrame:
     found = _searched(docs, id_col, text_col, window, prefix)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = f"_id {kinds[id_col]}, n_words bigint, n_removed bigint, " + ("kept_text string" if full else "kept_sha256 string")
@@ -198,7 +198,7 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int
     rest_type = found.schema["_rest"].dataType.simpleString()
     whole = found.select("_id", "_text", "_flagged", "_rest").mapInArrow(run, f"{schema}, _rest {rest_type}")
     named = {id_col: F.col("_id"), text_col: F.col("kept_text")}
-    return whole.select(*[named.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns], F.col("n_words").alias("_n_words"), F.col("n_removed").alias("_n_removed"))
+    return whole.select(*[named.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns], F.col("n_words").alias(counts[0]), F.col("n_removed").alias(counts[1]))
 
 
 def removal_report(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
@@ -206,6 +206,9 @@ def removal_report(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     return _apply(docs, id_col, text_col, window, prefix, False)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
-    """``docs`` with the kept words as text, and _n_words and _n_removed. Texts that lose nothing stay as they are."""
-    return _apply(docs, id_col, text_col, window, prefix, True)
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, counts: tuple[str, str] = ("_n_words", "_n_removed")) -> DataFrame:
+    """``docs`` with the kept words as text, and the numbers of words and of removed ones under the names ``counts``.
+
+    Texts that lose nothing stay as they are; a null text that does is empty.
+    """
+    return _apply(docs, id_col, text_col, window, prefix, True, counts)
