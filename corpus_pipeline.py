@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedlake.llm import lines, ngram_join, packing, substring, toxicity
-from embedlake.llm._work import Workspace
+from embedlake.llm._work import Workspace, fresh
 
 #: SQL can express neither the field model of the first stage nor its successors' digests; see the tests.
 ORACLE_SQL = None
@@ -23,18 +23,18 @@ def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model)
 
 
-def _fitting(docs: DataFrame) -> DataFrame:
+def _fitting(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of ``documents`` with n_chars of the text as it is now."""
-    columns = [c for c in docs.columns if not c.startswith("_")]
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return docs.select(*columns)
+    return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: recurring lines go; so do documents of which nothing is left."""
-    kept = lines.drop_recurring(docs)
-    return _fitting(kept.where((F.col("_n_dropped") == 0) | (F.trim("text") != "")))
+    n, gone = fresh("_n_lines", docs.columns), fresh("_n_dropped", docs.columns)
+    kept = lines.drop_recurring(docs, counts=(n, gone))
+    return _fitting(kept.where((F.col(gone) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,9 @@ def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: passages that an earlier document has go; so do documents of which nothing is left."""
-    kept = substring.remove_repeats(docs)
-    return _fitting(kept.where((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_words"))))
+    n, gone = fresh("_n_words", docs.columns), fresh("_n_removed", docs.columns)
+    kept = substring.remove_repeats(docs, counts=(n, gone))
+    return _fitting(kept.where((F.col(gone) == 0) | (F.col(gone) < F.col(n))), docs.columns)
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
