@@ -137,6 +137,29 @@ def test_lines(spark, docs, none):
     assert {r["_row"]: r["text"] for r in out.collect()} == {k: r[1] for k, r in enumerate(rows())}
 
 
+def test_lines_of_banners(spark):
+    """Headers, footers and banners of several lines go wherever they stand; copies and near copies lose nothing."""
+    banner = ["Terms of the public archive apply here", "Please keep this notice with every copy", "Contact the archive for other uses"]
+    body = lambda k: [prose(k + 40 * j, 15) for j in range(1, 4)]
+    docs = {}
+    for k in range(12):
+        docs[k] = ["All pages of the open library", *body(k)]  # header
+        docs[100 + k] = [*body(1000 + k), "Licensed under the open library terms"]  # footer
+        docs[200 + k] = [*banner, *body(2000 + k)]  # banner at the top
+        docs[300 + k] = body(3000 + k)[:2] + ["First of a middle banner of two", "Second of a middle banner of two"] + body(4000 + k)[:2]
+        docs[400 + k] = ["Head line over every short note", prose(5000 + k, 9), "Foot line under every short note"]
+        docs[500 + k] = body(6000)  # copies
+        near = [prose(7000 + j, 20).split() for j in range(6)]
+        near[k % 6][k] = f"changed{k}"
+        docs[600 + k] = [" ".join(x) for x in near]  # near copies
+    want = {}
+    for i, own in docs.items():
+        first, kind = i % 100 == 0, i // 100
+        want[i] = 0 if first else (1, 1, 3, 2, 2, 0, 0)[kind]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: r["n_dropped"] for r in lines.drop_report(df).collect()} == want
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     center = rng.normal(size=(3, 8))
