@@ -194,6 +194,24 @@ def chunk_counts_by_lang(spark, d):
     return _short_chunks(spark, d).groupBy("lang").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.max(F.length("chunk")).cast("bigint").alias("longest"))
 
 
+#: The same over texts of any length.
+CHUNK_WHOLE_SQL = CHUNK_SQL.replace(" AND length(text) < 2000", "")
+
+
+def _whole_chunks(spark, d) -> DataFrame:
+    return chunk.explode_chunks(table(spark, d, "documents"), "text", "character_text_splitter", chunk_size=80, chunk_overlap=0, separator=" ")
+
+
+@query(CHUNK_WHOLE_SQL + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1)::INT AS chunk_seq, chunk FROM t WHERE chunk <> ''")
+def chunk_char_words_whole(spark, d):
+    return _whole_chunks(spark, d).select("doc_id", "chunk_seq", "chunk")
+
+
+@query(CHUNK_WHOLE_SQL + "SELECT lang, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, max(length(chunk)) AS longest FROM t WHERE chunk <> '' GROUP BY lang")
+def chunk_counts_by_lang_whole(spark, d):
+    return _whole_chunks(spark, d).groupBy("lang").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.max(F.length("chunk")).cast("bigint").alias("longest"))
+
+
 @query()
 def chunk_recursive(spark, d):
     """Recursive chunks with the defaults; a scan by hand checks them in the tests."""
