@@ -6,14 +6,16 @@ import json
 import math
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from embedlake.operators.knn import top_k
+from embedlake.operators.knn import QUERY_BYTES, top_k
 
 #: Rows that centroids are fitted on, at most; every row is indexed.
 SAMPLE = 100_000
 MAX_CELLS = 4096
+#: Probes are chosen at the build so that this share of the nearest rows of sampled queries is found.
+RECALL, ASKED, NEAREST = 0.97, 256, 10
 
 
 def _kmeans(x, k: int, rounds: int = 8):
@@ -42,6 +44,22 @@ def _unit(x):
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
+def _probes(x, centroids, cosine: bool) -> int:
+    """The fewest cells that hold ``RECALL`` of the ``NEAREST`` other rows of up to ``ASKED`` sampled rows."""
+    import numpy as np
+
+    x = _unit(x) if cosine else x
+    at, need = _assign(x, centroids), []
+    q = x[np.random.default_rng(11).permutation(len(x))[:ASKED]]
+    c2, x2 = (centroids * centroids).sum(axis=1), (x * x).sum(axis=1)
+    for v in q:
+        d = x2 - 2 * (x @ v)
+        near = np.argsort(d, kind="stable")[1 : NEAREST + 1]
+        rank = np.argsort(np.argsort(c2 - 2 * (centroids @ v), kind="stable"))
+        need += list(rank[at[near]] + 1)
+    return int(np.sort(need)[int(math.ceil(RECALL * len(need))) - 1]) if need else len(centroids)
+
+
 def build(store: DataFrame, path: str, vector_col: str = "embedding", cells: int | None = None, metric: str = "vector_cosine_ops", sample: int = SAMPLE) -> dict:
     """Write ``store`` to ``path`` by cell. Centroids come from a bounded sample; all rows are assigned."""
     import numpy as np
@@ -66,24 +84,76 @@ def build(store: DataFrame, path: str, vector_col: str = "embedding", cells: int
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in store.schema) + ", cell int"
     celled = live.mapInArrow(run, schema)
     celled.repartition(max(1, min(cells, 1 + n // 50_000)), "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
-    meta = {"metric": metric, "rows": n, "cells": len(centroids), "centroids": [[float(v) for v in c] for c in centroids]}
+    meta = {"metric": metric, "rows": n, "cells": len(centroids), "probes": _probes(x, centroids, cosine), "centroids": [[float(v) for v in c] for c in centroids]}
     store.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return meta
 
 
-def search(spark: SparkSession, path: str, query: Sequence[float], k: int, keys: Sequence[str], probes: int = 8, vector_col: str = "embedding", **more) -> DataFrame:
-    """The nearest rows in the ``probes`` cells nearest to ``query``; only their files are read."""
+def search(spark: SparkSession, path: str, query: Sequence[float], k: int, keys: Sequence[str], probes: int | None = None, vector_col: str = "embedding", **more) -> DataFrame:
+    """The nearest rows in the ``probes`` cells nearest to ``query`` (the index's own number if none is given); only their files are read."""
     import numpy as np
 
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     q = np.array([query], float)
     c = np.array(meta["centroids"])
     d = (c * c).sum(axis=1) - 2 * ((_unit(q) if meta["metric"] == "vector_cosine_ops" else q) @ c.T)[0]
-    near = [int(j) for j in np.argsort(d, kind="stable")[:probes]]
+    near = [int(j) for j in np.argsort(d, kind="stable")[: probes or meta["probes"]]]
     cells = spark.read.parquet(f"{path}/cells").where(F.col("cell").isin(near))
     return top_k(cells, query, k, keys, vector_col, meta["metric"], **more)
 
 
+def search_many(spark: SparkSession, path: str, queries: DataFrame, k: int, key: str, query_key: str, probes: int | None = None, vector_col: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, key, distance, rank): for each query the ``k`` nearest rows in its own nearest cells; ties by key.
+
+    Queries are held in blocks of at most ``query_bytes``; a task compares a cell's rows with the queries that probe it.
+    """
+    import numpy as np
+
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    c, metric, p = np.array(meta["centroids"]), meta["metric"], probes or meta["probes"]
+    cells = spark.read.parquet(f"{path}/cells")
+    qk, sk = queries.schema[query_key].dataType.simpleString(), cells.schema[key].dataType.simpleString()
+
+    def scan(block: list) -> DataFrame:
+        qids, q = [r[0] for r in block], np.array([r[1] for r in block], float)
+        near = np.argsort((c * c).sum(axis=1)[None, :] - 2 * (_unit(q) if metric == "vector_cosine_ops" else q) @ c.T, axis=1, kind="stable")[:, :p]
+        asks = {int(j): np.flatnonzero((near == j).any(axis=1)) for j in np.unique(near)}
+
+        def run(batches: Iterator) -> Iterator:
+            import pandas as pd
+
+            best: dict[int, list] = {}
+            for pdf in batches:
+                for cell, own in pdf.groupby("cell"):
+                    x, ids, asked = np.stack(own[vector_col].to_numpy()).astype(float), own[key].to_numpy(), asks.get(int(cell), ())
+                    for i in asked:
+                        if metric == "vector_cosine_ops":
+                            with np.errstate(all="ignore"):
+                                d = 1 - (x @ q[i]) / (np.linalg.norm(x, axis=1) * np.linalg.norm(q[i]))
+                        elif metric == "vector_ip_ops":
+                            d = -(x @ q[i])
+                        elif metric == "vector_l1_ops":
+                            d = np.abs(x - q[i]).sum(axis=1)
+                        else:
+                            d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
+                        top = [j for j in np.lexsort((ids, d))[:k] if np.isfinite(d[j])]
+                        best[i] = sorted(best.get(i, []) + [(float(d[j]), ids[j]) for j in top])[:k]
+            yield pd.DataFrame([(qids[i], j, d) for i, b in best.items() for d, j in b], columns=["_q", "_k", "distance"])
+
+        return cells.where(F.col("cell").isin(list(asks))).select(key, vector_col, "cell").mapInPandas(run, f"_q {qk}, _k {sk}, distance double")
+
+    found, block, held = spark.createDataFrame([], f"_q {qk}, _k {sk}, distance double"), [], 0
+    for row in queries.select(query_key, vector_col).where(F.col(vector_col).isNotNull()).toLocalIterator():
+        block.append(tuple(row))
+        held += 8 * len(row[1]) + 64
+        if held >= query_bytes:
+            found, block, held = found.unionByName(scan(block)), [], 0
+    if block:
+        found = found.unionByName(scan(block))
+    rank = F.row_number().over(Window.partitionBy("_q").orderBy("distance", "_k"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias("query_id"), F.col("_k").alias(key), "distance", "rank")
+
+
 def may_build(rows: int, pending: int, exists: bool, min_rows: int = 100_000, create_when_queue_empty: bool = True) -> bool:
     """The policy for building an index: none yet, an empty queue if asked for, and rows enough."""
     return not exists and not (create_when_queue_empty and pending > 0) and rows >= min_rows

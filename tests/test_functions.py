@@ -81,6 +81,19 @@ def test_ivf_recall(spark, folder):
     assert ivf.may_build(100_000, 1, False, create_when_queue_empty=False)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_ivf_recall(spark, sf):
+    from embedlake.catalogue import QUERIES
+
+    d = f"/root/testdata/{sf}"
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    exact = {(r["query_id"], r["vec_id"]) for r in knn.batch_top_k(e, e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10, "vec_id", "query_id").collect()}
+    got = {(r["query_vec_id"], r["vec_id"]) for r in QUERIES["vec_ivf_search"](spark, d).collect()}
+    assert len(got) == len(exact) == 10 * e.where("vec_id % 20 = 0").count()
+    print(sf, "recall", len(got & exact) / len(exact))
+    assert len(got & exact) >= 0.9 * len(exact)
+
+
 def test_template(spark):
     df = spark.sql("SELECT 1 AS id, CAST(NULL AS STRING) AS t, true AS b, timestamp'2024-01-06 00:00:00' AS at, 1.5D AS f, 'x' AS chunk")
     assert df.select(template.format_column(df, "$id ${t} $b $at $f $$ $chunk")).first()[0] == "1 None True 2024-01-06 00:00:00+00:00 1.5 $ x"
