@@ -431,6 +431,14 @@ def anonymize_entities(spark, d):
     return b.select("item_id", models.anonymize(b, "text", "entities").alias("text"))
 
 
+@query()
+def anonymize_entities_whole(spark, d):
+    """The same over all rows, in any script; a scan by hand checks it in the tests."""
+    found = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in (("the", "WORD"), ("thea", "LONG"))])
+    b = table(spark, d, "benchmark").withColumn("entities", found)
+    return b.select("item_id", models.anonymize(b, "text", "entities").alias("text"))
+
+
 @query()
 def pipeline_recursive(spark, d):
     """The whole chain with default chunking and a template, embedded offline."""

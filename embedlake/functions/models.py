@@ -77,9 +77,9 @@ def extract(answer: Column, schema: str) -> Column:
 
 
 def anonymize(df: DataFrame, text_col: str, entities_col: str) -> Column:
-    """Names of entities (array of struct name, type) replaced by ``[type]``, longest first, as whole words in any case."""
+    """Names of entities (array of struct name, type) replaced by ``[type]``, longest first, as whole words of any script in any case."""
     ordered = F.array_sort(F.col(entities_col), lambda a, b: F.coalesce(F.nullif(F.length(b["name"]) - F.length(a["name"]), F.lit(0)), F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)))
-    quoted = lambda name: F.concat(F.lit(r"(?i)(?<!\w)\Q"), name, F.lit(r"\E(?!\w)"))
+    quoted = lambda name: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}_])\Q"), name, F.lit(r"\E(?![\p{L}\p{M}\p{N}_])"))
     return F.aggregate(ordered, F.col(text_col), lambda acc, e: F.regexp_replace(acc, quoted(e["name"]), F.concat(F.lit("["), e["type"], F.lit("]"))))
 
 

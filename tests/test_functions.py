@@ -114,6 +114,38 @@ def test_models(spark):
     assert got["classifications"][0]["prediction"] == "p"
 
 
+def by_hand(text: str, names: dict[str, str]) -> str:
+    """Whole words replaced, found letter by letter; a word's characters are letters, marks, numbers and underscores."""
+    import unicodedata
+
+    word = lambda c: c == "_" or unicodedata.category(c)[0] in "LMN"
+    for name, kind in names.items():
+        out, k = [], 0
+        while k < len(text):
+            end = k + len(name)
+            if text[k:end].lower() == name and not (k and word(text[k - 1])) and not (end < len(text) and word(text[end])):
+                out.append(f"[{kind}]")
+                k = end
+            else:
+                out.append(text[k])
+                k += 1
+        text = "".join(out)
+    return text
+
+
+def test_anonymize_any_script(spark):
+    from embedlake.catalogue import QUERIES
+
+    texts = ["the éthe theé thé THE", "ÜBER über überall", "thë the\u0301 the", "中the the中 «the»", None]
+    df = spark.createDataFrame([(k, t, [("the", "WORD"), ("über", "PREP")]) for k, t in enumerate(texts)], "id int, t string, e array<struct<name: string, type: string>>")
+    got = [r["x"] for r in df.select("id", models.anonymize(df, "t", "e").alias("x")).orderBy("id").collect()]
+    assert got == ["[WORD] éthe theé thé [WORD]", "[PREP] [PREP] überall", "thë the\u0301 [WORD]", "中the the中 «[WORD]»", None]
+    d = "/root/testdata/sf0.1"
+    want = {r["item_id"]: r["text"] and by_hand(r["text"], {"thea": "LONG", "the": "WORD"}) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    assert {r["item_id"]: r["text"] for r in QUERIES["anonymize_entities_whole"](spark, d).collect()} == want
+    assert len(want) == 200
+
+
 def test_loading(spark, tmp_path):
     assert loading.sniff(b"%PDF-1.4") == "pdf" and loading.sniff(b"text", "s3://b/a.TXT?x=1") == "txt" and loading.sniff(b"text") is None
     assert loading.html_text("<head><title>t</title></head><p>a <b>b</b></p><script>x</script><p>c") == "a b\nc"
