@@ -32,8 +32,6 @@ from embedlake.llm._work import Workspace
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 18
-#: Bytes of a candidate that are decoded, at most, to find a WARC header.
-PROBE = 1 << 16
 LEVEL = 4
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
@@ -147,7 +145,7 @@ def _member(view: _Range, at: int) -> tuple[bytes, int] | None:
 
 def parse(content: bytes) -> dict | None:
     """Header fields (lower case), payload and payload length of a record; None if the header isn't whole."""
-    end = content.find(b"\r\n\r\n", 0, PROBE)
+    end = content.find(b"\r\n\r\n")
     if end < 0:
         return None
     head = {}

@@ -37,6 +37,12 @@ def test_warc(spark, folder):
     assert warc.write_archives(pages.where("false"), f"{folder}/none") == [] and warc.read_archives(spark, f"{folder}/none").count() == 0
 
 
+def test_warc_keeps_very_long_urls():
+    blob = b"".join(warc.record(f"urn:x-page:{k}", "http://a/" + "u" * n, b"text", None, "d") for k, n in enumerate((10, 200_000, 10)))
+    got = [r["head"]["warc-target-uri"] for _, r in warc.records_in(io.BytesIO(blob), 0, len(blob))]
+    assert [len(u) for u in got] == [19, 200_009, 19]
+
+
 def test_warc_skips_what_is_broken():
     one = [warc.record(f"urn:x-page:{k}", "u", (f"text {k} " * 50).encode() + warc.MAGIC, None, "d") for k in range(4)]
     broken = bytearray(one[1])
