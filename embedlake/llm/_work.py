@@ -71,43 +71,43 @@ def bounded_ids(df: DataFrame, column: str, bits: int = 1 << 23, slot_of=None) -
     return out
 
 
+#: Ids that are broadcast at most: 16 MB or so.
+BROADCAST_IDS = 1_000_000
+
+
+def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is in ``ids``: by broadcast if these are few, else by a shuffle of both."""
+    ids = ids.select(column).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
+
+
 def connected_components(ws: Workspace, edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, comp) for each node of ``edges`` (a, b); comp is the smallest node that links reach.
 
     Rounds of hooking to the smallest neighbour, pointer doubling and contraction. Every round is a few
     joins on even keys; neither links nor labels are gathered anywhere.
     """
-    spark = ws.spark
-    live = ws.save(
-        edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-        f"{tag}-e0",
-    )
-    nodes = ws.save(live.select(F.col("a").alias("node")).union(live.select("b")).distinct(), f"{tag}-n0")
-    labels = nodes.select("node", F.col("node").alias("comp"))
-    k = 0
+    oriented = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    live = first = ws.save(oriented, f"{tag}-e0")
+    hooks, k = [], 0
+
+    def jump(near: DataFrame, far: DataFrame) -> DataFrame:
+        """Each node's pointer, moved on by ``far`` where that has the node it points to."""
+        far = far.select(F.col("node").alias("mid"), F.col("up").alias("top"))
+        return near.join(far, F.col("up") == F.col("mid"), "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
+
     while not live.isEmpty():
-        hook = live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
-        hook = ws.save(hook, f"{tag}-h{k}-0")
+        hook = ws.save(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), f"{tag}-h{k}-0")
         j = 0
         while True:
-            far = hook.alias("h").join(
-                hook.select(F.col("node").alias("mid"), F.col("up").alias("top")), F.col("up") == F.col("mid"), "left"
-            )
-            hook2 = ws.save(
-                far.select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")),
-                f"{tag}-h{k}-{j + 1}",
-            )
-            more = not hook2.where("moved").isEmpty()
+            twice = jump(hook, hook)
+            far = ws.save(jump(twice, twice), f"{tag}-h{k}-{j + 1}")
             ws.drop(f"{tag}-h{k}-{j}")
-            hook, j = hook2.select("node", "up"), j + 1
-            if not more:
+            hook, j = far.select("node", "up"), j + 1
+            if far.where("moved").isEmpty():
                 break
-        labels2 = ws.save(
-            labels.join(hook.select(F.col("node").alias("comp"), "up"), "comp", "left").select(
-                "node", F.coalesce("up", "comp").alias("comp")
-            ),
-            f"{tag}-l{k + 1}",
-        )
+        hooks.append(hook)
         step = live.join(hook.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a", "left").join(
             hook.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b", "left"
         )
@@ -116,6 +116,10 @@ def connected_components(ws: Workspace, edges: DataFrame, tag: str = "cc") -> Da
             step.where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(),
             f"{tag}-e{k + 1}",
         )
-        ws.drop(f"{tag}-e{k}", f"{tag}-h{k}-{j}", *([f"{tag}-l{k}"] if k else []))
-        labels, live, k = labels2, live2, k + 1
-    return labels
+        if k:
+            ws.drop(f"{tag}-e{k}")
+        live, k = live2, k + 1
+    labels = first.select(F.col("a").alias("node")).union(first.select("b")).distinct().withColumn("up", F.col("node"))
+    for hook in hooks:
+        labels = jump(labels, hook).select("node", "up")
+    return labels.withColumnRenamed("up", "comp") if not hooks else ws.save(labels.withColumnRenamed("up", "comp"), f"{tag}-labels")

@@ -9,10 +9,13 @@ by many documents hardly ever bring pairs together. Pairs that meet are cut by a
 token toggled, whose Hamming distance never exceeds the symmetric difference; what is left is verified on
 the sets themselves.
 
-Equal sets are one node. Within a meeting point, nodes are first tried against its smallest node only; the
-rest of the pairs is tried only between nodes that are still in different components, so groups of copies
-cost a line each and no link between components is lost. That rest is compared in tiles of bounded size, a
-matrix of sketches at a time, and only pairs that pass leave a task. Nothing that grows with the data is broadcast.
+Equal sets are one node. Meeting points are read as sorted streams: a task holds one point's smallest node
+and its last one, never the point. Points whose contents are estimated to be in more than ``SPLIT`` sets are
+split by a salt, and the smallest nodes of the salts meet in a second step. Links are found in three rounds:
+each node of a point against the point's smallest; then, where a point still holds different components, a
+forest of close pairs; then all close pairs that are left between different components. The last two rounds
+compare sketches as matrices in tiles of bounded size, of each set of nodes that meet in one point only. So
+groups of copies cost a line each, and no link between components is lost.
 
 Cases: null, empty or wordless text has an empty set and no links; fewer than ``n`` words are one shingle;
 a null id is kept, but such rows are never the smallest id; repeated rows link to each other; an empty
@@ -25,21 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedlake.llm import _text as T
-from embedlake.llm._work import Workspace, bounded_ids, connected_components
+from embedlake.llm._work import Workspace, connected_components, only_ids
 
 SLICE = 2 << 20
 #: Counters of the table that orders block contents by how common their tokens are: 1 MB whatever the input.
 COUNTERS = 1 << 18
 PARTS = 64
 _LOW48 = np.uint64((1 << 48) - 1)
-#: Bits a token of the Hamming sketch, at least; in tiles, where a sketch travels to each meeting point.
-BITS_PER_TOKEN, TILE_BITS = 4, 1
-#: Rounds in which a meeting point's rows are tried against its smallest node, which then leaves.
-STAR_ROUNDS = 2
+#: Bits a token of the Hamming sketch, at least.
+BITS_PER_TOKEN = 4
+#: Sets that a meeting point, or a salt of it, gathers by estimate. The estimate is of the point's own tokens.
+SPLIT = 200_000
+#: Rows of a side of a tile.
+TILE = 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -78,18 +83,22 @@ def _arrow(column: pa.Array) -> Iterator[bytes]:
 
 
 def sets_of(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, node, grams): ``grams`` holds 6 bytes a shingle."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_shingles bigint, node bigint, grams binary"
+    """(id, n_shingles, node, sketch, grams): ``grams`` holds 6 bytes a shingle. Both are null where a task has had the node before."""
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_shingles bigint, node bigint, sketch binary, grams binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for a, b, data, offsets in T.slices(batch.column(1), SLICE):
                 sets = shingle_sets(data, offsets, n)
+                nodes = [_node(x) if len(x) else None for x in sets]
+                first = [k is not None and k not in seen and not seen.add(k) for k in nodes]
                 columns = [
-                    batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([_node(x) if len(x) else None for x in sets], pa.int64()), pa.array([_pack48(x) for x in sets], pa.binary()),
+                    batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()),
+                    pa.array([hamming_sketch(x) if f else None for x, f in zip(sets, first, strict=True)], pa.binary()),
+                    pa.array([_pack48(x) if f else None for x, f in zip(sets, first, strict=True)], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_shingles", "node", "grams"])
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_shingles", "node", "sketch", "grams"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -118,15 +127,15 @@ def frequency_table(sets: DataFrame) -> bytes:
                 total += np.frombuffer(raw, "<i8")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
 
-    partial = sets.select("grams").mapInArrow(count, "part int, counts binary")
+    partial = sets.where("grams is not null").select("grams").mapInArrow(count, "part int, counts binary")
     out = np.zeros(COUNTERS, np.int64)
     for r in partial.groupBy("part").applyInArrow(add, "part int, counts binary").collect():
         out[r["part"] * per : (r["part"] + 1) * per] = np.frombuffer(r["counts"], "<i8")
     return np.ceil(np.log2(out + 1)).astype(np.uint8).tobytes()
 
 
-def _block_keys(h: np.ndarray, rarity: np.ndarray, band: int, prefix: int) -> np.ndarray:
-    """The first ``prefix`` occupied blocks of the band's parity sketch, rarest contents first, as keys."""
+def _block_keys(h: np.ndarray, rarity: np.ndarray, band: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``prefix`` occupied blocks of the band's parity sketch, rarest contents first: keys, and how common their contents are."""
     blocks = np.uint64(1 << (band + 2))
     at = T.mix(h ^ T.K2) & (blocks - np.uint64(1))
     order = np.argsort(at, kind="stable")
@@ -136,34 +145,36 @@ def _block_keys(h: np.ndarray, rarity: np.ndarray, band: int, prefix: int) -> np
     common = np.minimum.reduceat(rarity[order], begin).astype(np.uint64)
     key = T.mix(T.mix(at[begin] * K_BAND + np.uint64(band)) ^ parity)
     if len(key) < prefix:  # more tokens share blocks than the bound allows for: such sets also meet each other
-        return np.append(key, T.mix(np.array([band], np.uint64)))
+        return np.append(key, T.mix(np.array([band], np.uint64))), np.append(common, np.uint64(0))
     rank = (common << np.uint64(56)) | (key >> np.uint64(8))
-    return key[np.argpartition(rank, prefix - 1)[:prefix]]
+    first = np.argpartition(rank, prefix - 1)[:prefix]
+    return key[first], common[first]
 
 
 K_BAND = np.uint64(0x100000001B3)
 
 
-def meeting_points(sets: DataFrame, table: bytes, num: int, den: int) -> DataFrame:
-    """(key, node, n): the blocks by which sets can meet others at least ``num``/``den`` alike."""
+def meeting_points(sets: DataFrame, table: bytes, num: int, den: int, split: int = SPLIT) -> DataFrame:
+    """(key, salt, node, n): the blocks by which sets can meet others at least ``num``/``den`` alike.
+
+    ``salt`` is -1, or for keys whose contents are in more than ``split`` sets by estimate, a part of the key.
+    Equal contents have equal tokens, so all sets that have them know the same number of parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = np.frombuffer(table, np.uint8), set()
+        rank = np.frombuffer(table, np.uint8)
         for batch in batches:
-            keys, nodes, sizes = [], [], []
+            out, nodes, sizes, held = [], [], [], 0
 
             def flush():
-                size = np.array([len(k) for k in keys], np.int64)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), size)), pa.array(np.repeat(np.array(sizes, np.int32), size))],
-                    ["key", "node", "n"],
-                )
+                many = np.array([len(k) for k, _ in out], np.int64)
+                node = np.repeat(np.array(nodes, np.int64), many)
+                parts = -(-(1 << np.concatenate([c for _, c in out]).astype(np.int64)) // split)
+                salt = np.where(parts > 1, (T.mix(node.view(np.uint64)) >> np.uint64(1)).astype(np.int64) % parts, -1).astype(np.int32)
+                columns = [np.concatenate([k for k, _ in out]).view(np.int64), salt, node, np.repeat(np.array(sizes, np.int32), many)]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "salt", "node", "n"])
 
-            held = 0
             for node, raw in zip(batch.column(0).to_pylist(), _arrow(batch.column(1)), strict=True):
-                if not raw or node in seen:
-                    continue
-                seen.add(node)
                 h = _unpack48(raw)
                 n = len(h)
                 rarity = rank[_counter_slot(h)]
@@ -172,17 +183,54 @@ def meeting_points(sets: DataFrame, table: bytes, num: int, den: int) -> DataFra
                 differ = max((den - num) * n // num, 2 * n * (den - num) // (den + num))
                 low = [band - 1] if band and n * num <= den * ((1 << band) - 1) else []
                 for b in (band, *low):
-                    keys.append(_block_keys(h, rarity, b, differ + 1))
+                    out.append(_block_keys(h, rarity, b, differ + 1))
                     nodes.append(node)
                     sizes.append(n)
-                    held += len(keys[-1])
+                    held += len(out[-1][0])
                 if held > 200_000:
                     yield flush()
-                    keys, nodes, sizes, held = [], [], [], 0
-            if keys:
+                    out, nodes, sizes, held = [], [], [], 0
+            if out:
                 yield flush()
 
-    return sets.select("node", "grams").mapInArrow(run, "key bigint, node bigint, n int")
+    return sets.where("grams is not null").select("node", "grams").mapInArrow(run, "key bigint, salt int, node bigint, n int")
+
+
+def gathered(hits: DataFrame) -> DataFrame:
+    """(key, salt, node, n, rep, rep_n) of the points at which different nodes meet; ``rep`` is the smallest node.
+
+    A stream over sorted rows: what is kept between batches is the open point's smallest and last node. Parts of
+    split keys are returned even if they hold one node.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point, rep, told, last = None, (0, 0), True, 0  # of the open point: (key, salt), (smallest node, n), whether it is out, last node
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, s, x, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            new = np.append(point != (int(k[0]), int(s[0])), (k[1:] != k[:-1]) | (s[1:] != s[:-1]))
+            begin = np.flatnonzero(new)
+            group = np.cumsum(new) - (1 if new[0] else 0)  # with the open point, if it goes on, as group 0
+            lead = x[begin] if new[0] else np.append(rep[0], x[begin])
+            lead_n = n[begin] if new[0] else np.append(np.array([rep[1]], n.dtype), n[begin])
+            other = x != lead[group]
+            other[1:] &= new[1:] | (x[1:] != x[:-1])  # repeated rows of a node stand together
+            other[0] &= bool(new[0]) or int(x[0]) != last
+            plural = np.bincount(group[other], minlength=len(lead)) > 0
+            at = np.flatnonzero(new & (plural[group] | (s >= 0)))
+            rows = np.append(at, np.flatnonzero(other))
+            columns = [k[rows], s[rows], x[rows], n[rows], lead[group[rows]], lead_n[group[rows]]]
+            if not new[0] and plural[0] and not told:
+                columns = [np.append(c, np.array([v], c.dtype)) for c, v in zip(columns, (*point, rep[0], rep[1], rep[0], rep[1]), strict=True)]
+            told = bool(plural[-1]) or int(s[-1]) >= 0 or (len(lead) == 1 and not new[0] and told)
+            point, rep, last = (int(k[-1]), int(s[-1])), (int(lead[-1]), int(lead_n[-1])), int(x[-1])
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "salt", "node", "n", "rep", "rep_n"])
+
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = hits.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "node")
+    return dealt.mapInArrow(run, "key bigint, salt int, node bigint, n int, rep bigint, rep_n int")
 
 
 def hamming_sketch(h: np.ndarray, per_token: int = BITS_PER_TOKEN) -> bytes:
@@ -200,32 +248,13 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _details(sets: DataFrame, nodes: DataFrame, make, name: str) -> DataFrame:
-    """(node, n, ``name``) of the wanted nodes only. A filter of fixed size goes ahead of the exact join."""
-    wanted = bytes(bounded_ids(nodes, "node"))
+def _details(sets: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """(node, n, ``name``) of the wanted nodes only."""
+    found = only_ids(sets.where("grams is not null").select("node", F.col("n_shingles").alias("n"), name), nodes, "node")
+    return found.groupBy("node").agg(F.first("n").alias("n"), F.first(name).alias(name))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(wanted, np.uint8), set()
-        for batch in batches:
-            slot = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-            node, n, raw = batch.column(0), batch.column(1), batch.column(3)
-            rows = []
-            for k in hit.tolist():
-                own = node[k].as_py()
-                if own is not None and own not in seen:
-                    seen.add(own)
-                    rows.append((own, n[k].as_py(), make(raw[k].as_py())))
-            for at in range(0, len(rows), 2000):
-                part = rows[at : at + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.binary())], ["node", "n", name])
-
-    slot = F.pmod(F.xxhash64("node"), F.lit(len(wanted) * 8))
-    found = sets.where("node is not null").select("node", "n_shingles", slot.alias("slot"), "grams").mapInArrow(run, f"node bigint, n bigint, {name} binary")
-    return found.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first(name).alias(name))
-
-
-def _pairs_with(pairs: DataFrame, details: DataFrame, name: str, keep, extra: str = "") -> DataFrame:
+
+def _pairs_with(pairs: DataFrame, details: DataFrame, name: str, keep) -> DataFrame:
     """Pairs (a, b) that ``keep(x, n, y, m)`` holds for, given the details of both."""
     left = details.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(name).alias("xa"))
     right = details.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col(name).alias("xb"))
@@ -241,25 +270,21 @@ def _pairs_with(pairs: DataFrame, details: DataFrame, name: str, keep, extra: st
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-#: Rows of a side of a tile.
-TILE = 512
-
-
 def _fold(sketches: list[bytes]) -> np.ndarray:
     """Sketches as rows of words, folded onto the shortest."""
     least = min(map(len, sketches))
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0) for x in sketches])
 
 
-def _close_in_tiles(ws: Workspace, met: DataFrame, num: int, den: int) -> DataFrame:
+def _close_in_tiles(met: DataFrame, blocks: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """(a, b) of nodes that meet, in different components, with sketches near enough.
 
-    A meeting point's rows fall into blocks of ``TILE`` or so, and a tile holds two of its blocks; a task
-    compares sketches as matrices and gives only the pairs that pass.
+    A point's rows fall into ``nb`` blocks of ``TILE`` or so, and a tile holds two of its blocks; a task compares
+    sketches as matrices and gives only pairs that pass. ``forest``: of those, only such that join two components
+    that no pair before them in the tile has joined.
     """
-    blocks = ws.save(met.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nb")).where("nb > 1"), "tile-blocks")
     own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    placed = met.join(blocks, "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("own", own)
+    placed = met.join(blocks, "key").withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     tiled = placed.withColumn("with", other).select(
         "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "n", "comp", "sketch"
@@ -280,7 +305,12 @@ def _close_in_tiles(ws: Workspace, met: DataFrame, num: int, den: int) -> DataFr
             if not len(rest):
                 continue
             apart = np.bitwise_count(words[rest] ^ words[k]).sum(axis=1, dtype=np.int64)
-            for q in rest[apart * (den + num) <= (den - num) * (n[rest] + n[k])].tolist():
+            rest = rest[apart * (den + num) <= (den - num) * (n[rest] + n[k])]
+            if forest and len(rest):
+                joined, one = np.unique(comp[rest], return_index=True)
+                rest = rest[one]
+                comp[np.isin(comp, joined)] = comp[k]
+            for q in rest.tolist():
                 pair = (min(rows[k][4], rows[q][4]), max(rows[k][4], rows[q][4]))
                 if pair not in seen:
                     seen.add(pair)
@@ -307,12 +337,20 @@ def _close_in_tiles(ws: Workspace, met: DataFrame, num: int, den: int) -> DataFr
     return tiled.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_sets(ws: Workspace, sets: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+def _still_mixed(ws: Workspace, met: DataFrame, comps: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """(key, node, n, comp) of points with different components, one for each set of nodes, and (key, nb)."""
+    now = met.select("key", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    now = ws.save(now.distinct(), f"{tag}-now")
+    h = F.xxhash64("node")
+    sums = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.sum(F.xxhash64(h, "node").cast("decimal(20,0)")).alias("s"))
+    one = sums.where("lo <> hi").groupBy("m", "x", "s").agg(F.min("key").alias("key"))
+    blocks = ws.save(one.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("nb")), f"{tag}-blocks")
+    return now, blocks
+
+
+def similar_sets(ws: Workspace, sets: DataFrame, num: int = 80, den: int = 100, split: int = SPLIT) -> DataFrame:
     """(node, comp) of nodes with links: ``den`` * intersection >= ``num`` * union, over components."""
-    hits = meeting_points(sets.where("node is not null"), frequency_table(sets.where("node is not null")), num, den)
-    w = Window.partitionBy("key")
-    met = hits.withColumn("rep", F.min(F.struct("node", "n")).over(w)).withColumn("top", F.max("node").over(w)).where("rep.node <> top")
-    met = ws.save(met.select("key", "node", "n", F.col("node").alias("comp"), F.struct("rep.node", "rep.n", F.col("rep.node").alias("comp")).alias("rep")), "met-0")
+    met = ws.save(gathered(meeting_points(sets, frequency_table(sets), num, den, split)), "met")
     fits = lambda n, m: (F.col(n) * den >= F.col(m) * num) & (F.col(m) * den >= F.col(n) * num)
 
     def near(x: bytes, n: int, y: bytes, m: int) -> bool:
@@ -325,35 +363,29 @@ def similar_sets(ws: Workspace, sets: DataFrame, num: int = 80, den: int = 100)
     def exact(close: DataFrame, tag: str) -> DataFrame:
         close = ws.save(close, f"{tag}-close")
         nodes = close.select(F.col("a").alias("node")).union(close.select("b"))
-        held = ws.save(_details(sets, nodes, lambda raw: raw, "grams"), f"{tag}-grams")
-        links = ws.save(_pairs_with(close, held, "grams", alike), f"{tag}-links")
-        ws.drop(f"{tag}-grams", f"{tag}-close")
+        links = ws.save(_pairs_with(close, _details(sets, nodes, "grams"), "grams", alike), f"{tag}-links")
+        ws.drop(f"{tag}-close")
         return links
 
-    def sketched(nodes: DataFrame, tag: str, per_token: int) -> DataFrame:
-        return ws.save(_details(sets, nodes, lambda raw: hamming_sketch(_unpack48(raw), per_token), "sketch"), tag)
-
-    links = comps = None
-    for k in range(STAR_ROUNDS):
-        untried = (F.col("node") != F.col("rep.node")) & (F.col("comp") != F.col("rep.comp")) & fits("n", "rep.n")
-        stars = ws.save(met.where(untried).select(F.col("rep.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-        sketches = sketched(stars.select(F.col("a").alias("node")).union(stars.select("b")), "star-sketch", BITS_PER_TOKEN)
-        found = exact(_pairs_with(stars, sketches, "sketch", near), f"star-{k}")
-        ws.drop("stars", "star-sketch")
-        links = found if links is None else links.union(found)
-        comps = connected_components(ws, links, f"cc{k}")
-        # what is left: pairs that meet in different components so far; each point's smallest node has been tried
-        rest = met.where(F.col("node") != F.col("rep.node")).select("key", "node", "n").join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        mixed = rest.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("rep", F.min(F.struct("node", "n", "comp")).over(w))
-        met = ws.save(mixed.where("lo <> hi").select("key", "node", "n", "comp", "rep"), f"met-{k + 1}")
-        ws.drop(f"met-{k}")
-    met = met.select("key", "node", "n", "comp")
-    sketches = sketched(met.select("node"), "rest-sketch", TILE_BITS).drop("n")
-    more = exact(_close_in_tiles(ws, met.join(sketches, "node"), num, den).distinct(), "rest")
-    ws.drop("rest-sketch", "tile-blocks", f"met-{STAR_ROUNDS}")
-    if more.isEmpty():
-        return comps
-    return connected_components(ws, links.union(more), "cc-last")
+    sketches = ws.save(_details(sets, met.select("node"), "sketch"), "sketches")
+    stars = met.where((F.col("node") != F.col("rep")) & fits("n", "rep_n")).select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    parts = met.where("salt >= 0 and node = rep").select("key", "rep", "rep_n")
+    first = parts.groupBy("key").agg(F.min(F.struct("rep", "rep_n")).alias("first")).select("key", F.col("first.rep").alias("first"), F.col("first.rep_n").alias("first_n"))
+    across = parts.join(first, "key").where((F.col("rep") != F.col("first")) & fits("rep_n", "first_n")).select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    links = exact(_pairs_with(stars.union(across).distinct(), sketches, "sketch", near), "star")
+    comps = connected_components(ws, links, "cc0")
+    for tag, forest in (("forest", True), ("rest", False)):
+        now, blocks = _still_mixed(ws, met, comps, tag)
+        if blocks.isEmpty():
+            break
+        rows = only_ids(now, blocks, "key").join(sketches.select("node", "sketch"), "node")
+        more = exact(_close_in_tiles(rows, blocks, num, den, forest).distinct(), tag)
+        ws.drop(f"{tag}-now", f"{tag}-blocks")
+        if not more.isEmpty():
+            links = links.union(more)
+            comps = connected_components(ws, links, f"cc-{tag}")
+    ws.drop("met", "sketches")
+    return comps
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
