@@ -1,11 +1,15 @@
 """Operator 9: quality rules with adaptive thresholds. DataFrame functions only.
 
 Base figures come from one pass over the texts. In place of fixed cutoffs, each figure of a document is held
-against fences that its own language and source set: quantiles of mergeable sketches (KLL, merged across
-tasks), one per group and figure. A document that passes the base rules is rejected if a figure lies beyond
-the upper fence of its group and also beyond a floor below which no figure is a fault, so groups of clean
-documents lose none. Groups with fewer than ``MIN_GROUP`` documents take the fences of their language, and
-those of rare languages the fences of all.
+against the fence that its own language and source set: the third quartile of the group and ``FENCE``
+interquartile ranges beyond it, both from mergeable sketches (KLL, merged across tasks), one per group and
+figure. Quartiles of mostly clean groups hardly move with their bad documents. Where three quarters of a
+group share one value the fence is that value, so a document counts as beyond a fence only if it is so by
+more than ``ERRORS`` standard errors of its own figure: one repeated line of ten says little, a third of
+symbols among a thousand characters much. No figure has a cutoff of its own.
+A document that passes the base rules is rejected if any figure lies beyond its fence; ``beyond`` names them.
+Groups with fewer than ``MIN_GROUP`` documents take the fences of their language, and those of rare languages
+the fences of all.
 
 Sketches are built from partial aggregates, so a hot source is summed before it moves. Fences join by group
 and salt, so that no task gets a hot group whole.
@@ -25,12 +29,13 @@ SPACES = " \t\n\u000b\f\r"
 WORD, SYMBOLS = r"[^\x20\x09-\x0D]", "#*$%&|<>"
 MIN_GROUP = 30
 SALTS = 16
-#: A figure beyond its group's third quartile by so many interquartile ranges is out of range.
-FENCE = 6.0
-#: Lines that are added to a document's own for its share of repeated ones, so that one of three is no fault.
-FEW_LINES = 3
-#: Floors: the share of symbols a word character, of repeated lines a line, of repeated words a word.
-FLOORS = {"symbol_share": 0.05, "dup_line_share": 0.3, "repeat_share": 0.3, "long_words": 15.0}
+#: Interquartile ranges beyond the third quartile of its group, and standard errors beyond that, that a figure may have.
+FENCE, ERRORS = 3.0, 3.0
+#: Size of the sketches: quantiles are exact up to so many documents of a group, and within 0.3 % of rank beyond.
+SKETCH = 1024
+#: Words of the smallest repeat (a window of three, twice): they count as one event.
+REPEAT_WORDS = 6
+FIGURES = ("symbol_share", "dup_line_share", "repeat_share", "long_words")
 
 
 def _let(value: Column, body) -> Column:
@@ -93,40 +98,48 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
 
 
 def _shares() -> dict[str, Column]:
+    """Symbols a word character, repeated lines a line, repeated words a word, word characters a word."""
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return {
-        "symbol_share": part("n_symbols", "word_chars"), "dup_line_share": F.col("n_dup_lines") / (F.col("n_lines") + FEW_LINES),
+        "symbol_share": part("n_symbols", "word_chars"), "dup_line_share": part("n_dup_lines", "n_lines"),
         "repeat_share": part("n_repeat_words", "n_words"), "long_words": part("word_chars", "n_words"),
     }
 
 
+def _errors() -> dict[str, Column]:
+    """Standard errors of the figures: of a share of so many events, and of a mean of so many counts."""
+    events = {"symbol_share": F.col("word_chars"), "dup_line_share": F.col("n_lines"), "repeat_share": F.col("n_words") / REPEAT_WORDS}
+    share = lambda x, n: F.sqrt(F.greatest(F.col(x) * (1 - F.col(x)), F.lit(0.0)) / F.greatest(n.cast("double"), F.lit(1.0)))
+    mean = F.sqrt(F.col("long_words") / F.greatest(F.col("n_words").cast("double"), F.lit(1.0)))
+    return {x: share(x, n) for x, n in events.items()} | {"long_words": mean}
+
+
 def fences(measured: DataFrame, keys: list[str]) -> DataFrame:
     """A row per group with the upper fence of each figure; coarser groups stand in for small ones.
 
     ``measured`` has the keys and the figures of ``_shares``. Sketches of the finest groups are merged into
     those of coarser ones; the texts are not read again.
     """
-    names = list(FLOORS)
-    fine = measured.groupBy(*keys).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(x).alias(x) for x in names])
+    names = list(FIGURES)
+    fine = measured.groupBy(*keys).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(x, SKETCH).alias(x) for x in names])
 
     def coarser(by: list[str], tag: str) -> DataFrame:
-        return fine.groupBy(*by).agg(F.sum("n").alias(f"n_{tag}"), *[F.kll_merge_agg_double(x).alias(f"{x}_{tag}") for x in names])
+        return fine.groupBy(*by).agg(F.sum("n").alias(f"n_{tag}"), *[F.kll_merge_agg_double(x, SKETCH).alias(f"{x}_{tag}") for x in names])
 
     out, mid, all_ = fine, coarser(keys[:1], "mid"), coarser([], "all")
-    same = F.lit(True)
-    out = out.alias("f").join(F.broadcast(all_), same)
+    out = out.alias("f").join(F.broadcast(all_), F.lit(True))  # one row
     out = out.join(mid.withColumnRenamed(keys[0], "_mid"), F.col(keys[0]).eqNullSafe(F.col("_mid")), "left").drop("_mid")
 
     def fence(x: str) -> Column:
         sketch = F.when(F.col("n") >= MIN_GROUP, F.col(x)).when(F.col("n_mid") >= MIN_GROUP, F.col(f"{x}_mid")).otherwise(F.col(f"{x}_all"))
         q = lambda p: F.kll_sketch_get_quantile_double(sketch, F.lit(p))
-        return F.greatest(q(0.75) + FENCE * (q(0.75) - q(0.25)), F.lit(FLOORS[x])).alias(f"max_{x}")
+        return (q(0.75) + FENCE * (q(0.75) - q(0.25))).alias(f"max_{x}")
 
     return out.select(*keys, *[fence(x) for x in names])
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """id, the base figures, base_failed and kept of each row of ``docs``."""
+    """id, the base figures, base_failed, kept, and ``beyond``, the figures beyond their fences, of each row of ``docs``."""
     ws = Workspace(docs.sparkSession, "quality")
     ks = [f"_k{i}" for i in range(len(keys))]
     base = ws.save(figures(docs, id_col, text_col, keys), "figures")
@@ -137,14 +150,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
     spread = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     key = lambda cols: F.xxhash64(*cols)
     left = rows.withColumn("_salt", F.pmod(F.xxhash64("_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).withColumn("_g", key(ks))
-    right = spread.withColumn("_g", key(ks)).select("_g", "_salt", *[F.col(k).alias(f"_f{k}") for k in ks], *[f"max_{x}" for x in FLOORS])
+    right = spread.withColumn("_g", key(ks)).select("_g", "_salt", *[F.col(k).alias(f"_f{k}") for k in ks], *[f"max_{x}" for x in FIGURES])
     on = (left["_g"] == right["_g"]) & (left["_salt"] == right["_salt"])
     for k in ks:
         on = on & left[k].eqNullSafe(right[f"_f{k}"])
-    within = F.lit(True)
-    for x in FLOORS:
-        within = within & (F.col(x) <= F.coalesce(F.col(f"max_{x}"), F.lit(float("inf"))))
-    return left.join(right, on, "left").select(
+    errors = _errors()
+    over = [F.when(~F.col("base_failed") & (F.col(x) - ERRORS * errors[x] > F.col(f"max_{x}")), F.lit(x)) for x in FIGURES]
+    return left.join(right, on, "left").withColumn("beyond", F.array_compact(F.array(*over))).select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & within).alias("kept"),
+        (~F.col("base_failed") & (F.size("beyond") == 0)).alias("kept"), "beyond",
     )
