@@ -24,18 +24,20 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     from pyspark.sql import functions as F
 
     from embedlake.llm import warc
-    from embedlake.llm._work import shared_dir
-
-    folder = f"{shared_dir(spark)}/embedlake/archives-{uuid.uuid4().hex}"
-    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
-    found = warc.read_archives(spark, folder, payload=False)
-    number = lambda c: F.substring_index(c, ":", -1).cast("bigint")
-    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "digest_ok")
+    from embedlake.llm._work import Workspace
+
+    pages, ws = _table(spark, sf_dir, "pages"), Workspace(spark, "archives")
+    urn = "urn:x-page"
+    warc.write_archives(pages, ws.path("warc"), urn=urn)
+    found = warc.read_archives(spark, ws.path("warc"), payload=False)
+    # ids as they were: what stands behind the name space, in the type that the pages have
+    own = lambda c: F.nullif(F.substring(F.col(c), F.lit(len(urn) + 2), F.length(c)), F.lit("")).try_cast(pages.schema["page_id"].dataType)
+    out = ws.save(found.select(own("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", own("refers_to").alias("refers_to"), "digest_ok"), "records")
+    ws.drop("warc")
+    return out
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ candidate for a member only if it decodes to a WARC header, and owns the records
 the last of which may end beyond it. After an accepted member the next one is where it ends.
 
 Cases: null payloads are empty; null ids are written without one and are always responses; rows that repeat
-the smallest id with its payload are responses each; an empty table gives no archives and no records; other
+the smallest id with its payload are responses each; an id that comes with several payloads has a record for
+each, which refers to the first of its own payload; an empty table gives no archives and no records; other
 columns are not read. Control characters in URLs are escaped. A member cut short by the end of its file, or
 one that fails its checksum, is skipped and the search goes on behind its magic.
 """
@@ -33,6 +34,8 @@ from embedlake.llm._work import Workspace
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 18
 LEVEL = 4
+#: Tasks that read archives at most; beyond it a task reads several ranges, one after the other.
+MAX_TASKS = 100_000
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -73,8 +76,8 @@ def write_archives(
     payload = F.coalesce(F.encode(F.col(payload_col), "UTF-8") if pages.schema[payload_col].dataType.simpleString() == "string" else F.col(payload_col), F.lit(b""))
     narrow = pages.select(F.col(id_col).alias("_id"), F.sha1(payload).alias("digest"), F.length(payload).alias("size")).where(F.col("size") >= min_bytes)
     first = ws.save(narrow.groupBy("digest").agg(F.min("_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"), "first")
-    refs = ws.save(narrow.join(first, "digest").where("_id > first").select("_id", F.col("first").alias("_refers_to")).distinct(), "refs")
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload")).join(refs, "_id", "left")
+    refs = ws.save(narrow.join(first, "digest").where("_id > first").select("_id", "digest", F.col("first").alias("_refers_to")).distinct(), "refs")
+    rows = pages.select(F.col(id_col).alias("_id"), F.sha1(payload).alias("digest"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload")).join(refs, ["_id", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _filesystem(folder)
@@ -193,13 +196,16 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = 8 << 20,
     """A row per record of the ``*.warc.gz`` archives in ``folder``. ``digest_ok``: the payload has the digest (null for revisits)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    splits = []
+    found = []  # a row an archive; ranges are made by tasks
     if files.exists(path):
         for s in files.listStatus(path):
             name, size = s.getPath().getName(), s.getLen()
-            if name.endswith(".warc.gz") and not name.startswith("."):
-                splits += [(f"{folder.rstrip('/')}/{name}", a, min(a + split_bytes, size)) for a in range(0, size, split_bytes)]
-    ranges = spark.createDataFrame(splits, "path string, start bigint, stop bigint").repartition(max(1, len(splits)))
+            if name.endswith(".warc.gz") and not name.startswith(".") and size:
+                found.append((f"{folder.rstrip('/')}/{name}", size))
+    tasks = min(MAX_TASKS, max(1, sum(-(-size // split_bytes) for _, size in found)))
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start")
+    archives = spark.createDataFrame(found, "path string, size long").select("path", "size", start)
+    ranges = archives.select("path", "start", F.least(F.col("start") + split_bytes, "size").alias("stop")).repartition(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,6 +37,23 @@ def test_warc(spark, folder):
     assert warc.write_archives(pages.where("false"), f"{folder}/none") == [] and warc.read_archives(spark, f"{folder}/none").count() == 0
 
 
+def test_warc_of_ids_with_several_payloads(spark, tmp_path):
+    """References go by id and payload; ids need not be numbers."""
+    data = [(1, "A"), (2, "B"), (3, "A"), (3, "unique"), (4, "A"), (4, "B"), (None, "B")]
+    for kind, name in (("long", str), ("string", lambda k: f"p:{k}")):
+        rows = [(None if i is None else i if kind == "long" else name(i), "u", h) for i, h in data]
+        top = f"file://{tmp_path}/{kind}"
+        spark.createDataFrame(rows, f"page_id {kind}, url string, html string").write.parquet(f"{top}/pages.parquet")
+        got = sorted((str(r["page_id"]), r["payload_digest"], r["record_type"], str(r["refers_to"])) for r in queries.op3_warc(spark, top).collect())
+        digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+        first = {"A": rows[0][0], "B": rows[1][0]}
+        want = []
+        for i, _, h in rows:
+            again = i is not None and h in first and i != first[h]
+            want.append((str(i), digest(h), "revisit" if again else "response", str(first[h]) if again else "None"))
+        assert got == sorted(want)
+
+
 def test_warc_keeps_very_long_urls():
     blob = b"".join(warc.record(f"urn:x-page:{k}", "http://a/" + "u" * n, b"text", None, "d") for k, n in enumerate((10, 200_000, 10)))
     got = [r["head"]["warc-target-uri"] for _, r in warc.records_in(io.BytesIO(blob), 0, len(blob))]
@@ -131,6 +148,44 @@ def test_quality_fences_follow_the_group(spark):
     assert all(got[k] for k in range(80)) and all(got[100 + k] for k in range(80)) and not got[200] and not got[201]
 
 
+def test_quality_verdicts_equal_exact_quantiles(spark):
+    """``kept`` and ``beyond`` of whole tables against quantiles of sorted lists; no figure has a cutoff of its own."""
+    import math
+
+    docs = spark.read.parquet(f"{D}/documents.parquet").withColumn("_id", quality.F.lit(1)).withColumn("_salt", quality.F.lit("x")).withColumn("beyond", quality.F.lit(0))
+    own = {}
+    for r in docs.collect():
+        n, chars, symbols, dups, repeats = figures(r["text"])
+        lines = sum(any(not c in " \t\n\x0b\f\r" for c in x) for x in (r["text"] or "").split("\n"))
+        share = lambda a, b: a / b if b else 0.0
+        error = lambda p, n: math.sqrt(max(p * (1 - p), 0) / max(n, 1))
+        p = [share(symbols, chars), share(dups, lines), share(repeats, n), share(chars, n)]
+        own[r["doc_id"]] = (r["lang"], r["source"], n < 50 or 100 * repeats > 50 * n, p, [error(p[0], chars), error(p[1], lines), error(p[2], n / 6), math.sqrt(p[3] / max(n, 1))])
+    passed = [v for v in own.values() if not v[2]]
+
+    def fence(lang, source, k):
+        for group in ([v for v in passed if v[:2] == (lang, source)], [v for v in passed if v[0] == lang], passed):
+            if len(group) >= quality.MIN_GROUP or group is passed:
+                x = sorted(v[3][k] for v in group)
+                q = lambda p: x[max(0, math.ceil(p * len(x)) - 1)]
+                return q(0.75) + 3 * (q(0.75) - q(0.25))
+
+    want, limits = {}, {}
+    for i, (lang, source, failed, p, e) in own.items():
+        over = []
+        for k, name in enumerate(quality.FIGURES):
+            limit = limits.setdefault((lang, source, k), fence(lang, source, k))
+            if not failed and p[k] - 3 * e[k] > limit:
+                over.append(name)
+        want[i] = (not failed and not over, over)
+    got = {r["doc_id"]: (r["kept"], r["beyond"]) for r in quality.quality(docs).collect()}
+    assert got == want
+    bad = {r["doc_id"] for r in spark.read.parquet(f"{D}/labels.parquet").where("quality = 0").collect()}
+    good = {r["doc_id"] for r in spark.read.parquet(f"{D}/labels.parquet").where("quality = 1").collect()}
+    clean = [i for i in good if not own[i][2]]
+    assert not any(got[i][0] for i in bad) and sum(got[i][0] for i in clean) >= 0.98 * len(clean)
+
+
 def test_pipeline(spark, tmp_path):
     """Planted cases: toxic documents go, one near copy stays, repeated passages and lines go, clean text stays."""
     import corpus_pipeline
