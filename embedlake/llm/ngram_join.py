@@ -14,8 +14,10 @@ and its last one, never the point. Points whose contents are estimated to be in
 split by a salt, and the smallest nodes of the salts meet in a second step. Links are found in three rounds:
 each node of a point against the point's smallest; then, where a point still holds different components, a
 forest of close pairs; then all close pairs that are left between different components. The last two rounds
-compare sketches as matrices in tiles of bounded size, of each set of nodes that meet in one point only. So
-groups of copies cost a line each, and no link between components is lost.
+compare sketches as matrices in tiles of bounded size, of each set of nodes that meet in one point only; a
+bucket of tiles gets a node's sketch once. So groups of copies cost a line each, and no link between
+components is lost. Sets are not stored: texts are read again where tokens are needed, and for the
+verification only the texts of candidates.
 
 Cases: null, empty or wordless text has an empty set and no links; fewer than ``n`` words are one shingle;
 a null id is kept, but such rows are never the smallest id; repeated rows link to each other; an empty
@@ -43,8 +45,12 @@ _LOW48 = np.uint64((1 << 48) - 1)
 BITS_PER_TOKEN = 4
 #: Sets that a meeting point, or a salt of it, gathers by estimate. The estimate is of the point's own tokens.
 SPLIT = 200_000
-#: Rows of a side of a tile.
-TILE = 512
+#: Rows of a side of a tile, and of all tiles of a bucket.
+TILE, BUCKET = 512, 20_000
+#: Partners of a node that a task verifies; nodes with more are dealt out in parts.
+FAN = 1000
+#: Rows that are broadcast at most, of 50 bytes or so; beyond it both sides are shuffled.
+BROADCAST_ROWS = 300_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -82,44 +88,51 @@ def _arrow(column: pa.Array) -> Iterator[bytes]:
     return (v.as_py() for v in column)
 
 
-def sets_of(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, node, sketch, grams): ``grams`` holds 6 bytes a shingle. Both are null where a task has had the node before."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_shingles bigint, node bigint, sketch binary, grams binary"
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"))
+
+
+def sets_of(docs: DataFrame, n: int) -> DataFrame:
+    """(_id, _row, n_shingles, node, sketch) of each row of ``docs`` (_id, _row, _text); sketch is null where a task has had the node before.
+
+    Besides, a few rows a task with ``part`` and ``counts``: how often tokens occur in its sets, by hashed counter.
+    """
+    per = COUNTERS // PARTS
+    schema = f"_id {docs.schema['_id'].dataType.simpleString()}, _row bigint, n_shingles bigint, node bigint, sketch binary, part int, counts binary"
+    names = ["_id", "_row", "n_shingles", "node", "sketch", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen, total, kind = set(), np.zeros(COUNTERS, np.int64), None
         for batch in batches:
-            for a, b, data, offsets in T.slices(batch.column(1), SLICE):
+            kind = batch.schema.field(0).type
+            for a, b, data, offsets in T.slices(batch.column(2), SLICE):
                 sets = shingle_sets(data, offsets, n)
                 nodes = [_node(x) if len(x) else None for x in sets]
                 first = [k is not None and k not in seen and not seen.add(k) for k in nodes]
+                new = [x for x, f in zip(sets, first, strict=True) if f]
+                if new:
+                    total += np.bincount(_counter_slot(np.concatenate(new)), minlength=COUNTERS)
                 columns = [
-                    batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()),
-                    pa.array([hamming_sketch(x) if f else None for x, f in zip(sets, first, strict=True)], pa.binary()),
-                    pa.array([_pack48(x) if f else None for x, f in zip(sets, first, strict=True)], pa.binary()),
+                    batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()),
+                    pa.array([hamming_sketch(x) if f else None for x, f in zip(sets, first, strict=True)], pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_shingles", "node", "sketch", "grams"])
+                yield pa.RecordBatch.from_arrays(columns, names)
+        parts = [k for k in range(PARTS) if total[k * per : (k + 1) * per].any()]
+        if parts:
+            empty = [pa.nulls(len(parts), t) for t in (kind, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(parts, pa.int32()), pa.array([total[k * per : (k + 1) * per].astype("<i8").tobytes() for k in parts], pa.binary())], names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _counter_slot(h: np.ndarray) -> np.ndarray:
     return (T.mix(h) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def frequency_table(sets: DataFrame) -> bytes:
-    """How often tokens occur, by hashed counter, over all sets: summed in parts, of a fixed size."""
+def frequency_table(counted: DataFrame) -> bytes:
+    """How often tokens occur, by hashed counter, over all sets: summed in parts, of a fixed size; as rounded logarithms."""
     per = COUNTERS // PARTS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for raw in _arrow(batch.column(0)):
-                if raw:
-                    np.add.at(total, _counter_slot(_unpack48(raw)), 1)
-        parts = [k for k in range(PARTS) if total[k * per : (k + 1) * per].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([total[k * per : (k + 1) * per].astype("<i8").tobytes() for k in parts], pa.binary())], ["part", "counts"])
-
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(per, np.int64)
         for batch in batches:
@@ -127,9 +140,8 @@ def frequency_table(sets: DataFrame) -> bytes:
                 total += np.frombuffer(raw, "<i8")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
 
-    partial = sets.where("grams is not null").select("grams").mapInArrow(count, "part int, counts binary")
     out = np.zeros(COUNTERS, np.int64)
-    for r in partial.groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+    for r in counted.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
         out[r["part"] * per : (r["part"] + 1) * per] = np.frombuffer(r["counts"], "<i8")
     return np.ceil(np.log2(out + 1)).astype(np.uint8).tobytes()
 
@@ -154,46 +166,47 @@ def _block_keys(h: np.ndarray, rarity: np.ndarray, band: int, prefix: int) -> tu
 K_BAND = np.uint64(0x100000001B3)
 
 
-def meeting_points(sets: DataFrame, table: bytes, num: int, den: int, split: int = SPLIT) -> DataFrame:
-    """(key, salt, node, n): the blocks by which sets can meet others at least ``num``/``den`` alike.
+def meeting_points(docs: DataFrame, n: int, table: bytes, num: int, den: int, split: int = SPLIT) -> DataFrame:
+    """(key, salt, node, n): the blocks by which sets of ``docs`` can meet others at least ``num``/``den`` alike.
 
     ``salt`` is -1, or for keys whose contents are in more than ``split`` sets by estimate, a part of the key.
     Equal contents have equal tokens, so all sets that have them know the same number of parts.
     """
 
+    def flush(out: list, nodes: list, sizes: list) -> pa.RecordBatch:
+        many = np.array([len(k) for k, _ in out], np.int64)
+        node = np.repeat(np.array(nodes, np.int64), many)
+        parts = -(-(1 << np.concatenate([c for _, c in out]).astype(np.int64)) // split)
+        salt = np.where(parts > 1, (T.mix(node.view(np.uint64)) >> np.uint64(1)).astype(np.int64) % parts, -1).astype(np.int32)
+        columns = [np.concatenate([k for k, _ in out]).view(np.int64), salt, node, np.repeat(np.array(sizes, np.int32), many)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "salt", "node", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(table, np.uint8)
+        rank, seen = np.frombuffer(table, np.uint8), set()
+        out, nodes, sizes, held = [], [], [], 0
         for batch in batches:
-            out, nodes, sizes, held = [], [], [], 0
-
-            def flush():
-                many = np.array([len(k) for k, _ in out], np.int64)
-                node = np.repeat(np.array(nodes, np.int64), many)
-                parts = -(-(1 << np.concatenate([c for _, c in out]).astype(np.int64)) // split)
-                salt = np.where(parts > 1, (T.mix(node.view(np.uint64)) >> np.uint64(1)).astype(np.int64) % parts, -1).astype(np.int32)
-                columns = [np.concatenate([k for k, _ in out]).view(np.int64), salt, node, np.repeat(np.array(sizes, np.int32), many)]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "salt", "node", "n"])
-
-            for node, raw in zip(batch.column(0).to_pylist(), _arrow(batch.column(1)), strict=True):
-                h = _unpack48(raw)
-                n = len(h)
-                rarity = rank[_counter_slot(h)]
-                band = n.bit_length() - 1
-                # a partner has num/den * n to den/num * n tokens; the larger of a pair is at most den/num times the other
-                differ = max((den - num) * n // num, 2 * n * (den - num) // (den + num))
-                low = [band - 1] if band and n * num <= den * ((1 << band) - 1) else []
-                for b in (band, *low):
-                    out.append(_block_keys(h, rarity, b, differ + 1))
-                    nodes.append(node)
-                    sizes.append(n)
-                    held += len(out[-1][0])
-                if held > 200_000:
-                    yield flush()
-                    out, nodes, sizes, held = [], [], [], 0
-            if out:
-                yield flush()
-
-    return sets.where("grams is not null").select("node", "grams").mapInArrow(run, "key bigint, salt int, node bigint, n int")
+            for _, _, data, offsets in T.slices(batch.column(0), SLICE):
+                for h in shingle_sets(data, offsets, n):
+                    if not len(h) or (node := _node(h)) in seen:
+                        continue
+                    seen.add(node)
+                    size, rarity = len(h), rank[_counter_slot(h)]
+                    band = size.bit_length() - 1
+                    # a partner has num/den * n to den/num * n tokens; the larger of a pair is at most den/num times the other
+                    differ = max((den - num) * size // num, 2 * size * (den - num) // (den + num))
+                    low = [band - 1] if band and size * num <= den * ((1 << band) - 1) else []
+                    for b in (band, *low):
+                        out.append(_block_keys(h, rarity, b, differ + 1))
+                        nodes.append(node)
+                        sizes.append(size)
+                        held += len(out[-1][0])
+                    if held > 200_000:
+                        yield flush(out, nodes, sizes)
+                        out, nodes, sizes, held = [], [], [], 0
+        if out:
+            yield flush(out, nodes, sizes)
+
+    return docs.select("_text").mapInArrow(run, "key bigint, salt int, node bigint, n int")
 
 
 def gathered(hits: DataFrame) -> DataFrame:
@@ -248,26 +261,51 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _details(sets: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """(node, n, ``name``) of the wanted nodes only."""
-    found = only_ids(sets.where("grams is not null").select("node", F.col("n_shingles").alias("n"), name), nodes, "node")
-    return found.groupBy("node").agg(F.first("n").alias("n"), F.first(name).alias(name))
+def _joined(df: DataFrame, few: DataFrame, column: str) -> DataFrame:
+    """``df`` with the rows of ``few`` that have its ``column``: by broadcast if these are few, else by a shuffle of both."""
+    small = few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(few) if small else few, column)
 
 
-def _pairs_with(pairs: DataFrame, details: DataFrame, name: str, keep) -> DataFrame:
-    """Pairs (a, b) that ``keep(x, n, y, m)`` holds for, given the details of both."""
-    left = details.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(name).alias("xa"))
-    right = details.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col(name).alias("xb"))
+def grams_of(docs: DataFrame, n: int) -> DataFrame:
+    """(node, n, grams) of ``docs`` (_text); once for each node of a task. ``grams`` holds 6 bytes a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            a, b, na, nb = (batch.column(k).to_pylist() for k in range(4))
-            held = [keep(x.as_py(), n, y.as_py(), m) for x, n, y, m in zip(batch.column(4), na, batch.column(5), nb, strict=True)]
-            rows = [k for k, h in enumerate(held) if h]
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in rows], pa.int64()), pa.array([b[k] for k in rows], pa.int64())], ["a", "b"])
+            for _, _, data, offsets in T.slices(batch.column(0), SLICE):
+                new = [(k, x) for x in shingle_sets(data, offsets, n) if len(x) and (k := _node(x)) not in seen and not seen.add(k)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in new], pa.int64()), pa.array([len(x) for _, x in new], pa.int64()), pa.array([_pack48(x) for _, x in new], pa.binary())], ["node", "n", "grams"])
 
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "xa", "xb")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return docs.select("_text").mapInArrow(run, "node bigint, n bigint, grams binary")
+
+
+def _sides(pairs: DataFrame, fan: int) -> DataFrame:
+    """(node, a, part, b): a row for the partner ``b`` of each pair, and one for ``a`` (b is null) in each of its parts."""
+    per = pairs.groupBy("a").agg(F.ceil(F.count("*") / fan).cast("int").alias("parts"))
+    lead = per.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    rest = pairs.join(per, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    return lead.unionByName(rest)
+
+
+def _checked(sides: DataFrame, keep) -> DataFrame:
+    """Pairs (a, b) that ``keep(x, n, y, m)`` holds for. ``sides`` has the details (n, x) of both; a stream over sorted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, x, n = None, b"", 0
+        for batch in batches:
+            a, part, b, m = (batch.column(k).to_pylist() for k in range(4))
+            found = []
+            for k, y in enumerate(batch.column(4)):
+                if b[k] is None:
+                    lead, x, n = (a[k], part[k]), y.as_py(), m[k]
+                elif lead == (a[k], part[k]) and keep(x, n, y.as_py(), m[k]):
+                    found.append((a[k], b[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    parts = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sides.select("a", "part", "b", "n", "x").repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def _fold(sketches: list[bytes]) -> np.ndarray:
@@ -276,27 +314,33 @@ def _fold(sketches: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0) for x in sketches])
 
 
-def _close_in_tiles(met: DataFrame, blocks: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+def _close_in_tiles(met: DataFrame, blocks: DataFrame, sketches: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """(a, b) of nodes that meet, in different components, with sketches near enough.
 
     A point's rows fall into ``nb`` blocks of ``TILE`` or so, and a tile holds two of its blocks; a task compares
-    sketches as matrices and gives only pairs that pass. ``forest``: of those, only such that join two components
-    that no pair before them in the tile has joined.
+    sketches as matrices and gives only pairs that pass. Tiles are dealt out in buckets; a task holds the sketches of
+    one bucket's nodes. ``forest``: of the pairs, only such that join two components that no pair before them in the
+    tile has joined.
     """
-    own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    placed = met.join(blocks, "key").withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    tiled = placed.withColumn("with", other).select(
-        "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "n", "comp", "sketch"
+    tile_rows = blocks.agg(F.sum(F.col("m") * F.col("nb"))).first()[0]
+    buckets = -(-int(tile_rows) // BUCKET)
+    placed = _joined(met, blocks.select("key", "nb"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    tiled = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
+        "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "n", "comp"
+    ).withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)))
+    drawn = tiled.select("bucket", "node").distinct().join(sketches.select("node", "sketch"), "node")
+    names = ["bucket", "key", "i", "j", "own", "node", "n", "comp"]
+    kinds = {f.name: f.dataType for f in tiled.schema}
+    both = tiled.select(*names, F.lit(None).cast("binary").alias("sketch")).unionByName(
+        drawn.select("bucket", "node", "sketch", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("key", "i", "j", "own", "n", "comp")])
     )
-    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def close(rows: list[tuple], seen: set) -> list[tuple[int, int]]:
-        i, j = rows[0][1], rows[0][2]
-        if len({r[6] for r in rows}) < 2:
+    def close(rows: list[tuple], held: dict, seen: set) -> list[tuple[int, int]]:
+        i, j = rows[0][2], rows[0][3]
+        if len({r[7] for r in rows}) < 2:
             return []
-        words = _fold([r[7] for r in rows])
-        n, comp, side = (np.array([r[k] for r in rows], np.int64) for k in (5, 6, 3))
+        words = _fold([held[r[5]] for r in rows])
+        n, comp, side = (np.array([r[k] for r in rows], np.int64) for k in (6, 7, 4))
         out = []
         for k in range(len(rows)) if i == j else np.flatnonzero(side == i).tolist():
             rest = np.arange(k + 1, len(rows)) if i == j else np.flatnonzero(side == j)
@@ -311,30 +355,37 @@ def _close_in_tiles(met: DataFrame, blocks: DataFrame, num: int, den: int, fores
                 rest = rest[one]
                 comp[np.isin(comp, joined)] = comp[k]
             for q in rest.tolist():
-                pair = (min(rows[k][4], rows[q][4]), max(rows[k][4], rows[q][4]))
+                pair = (min(rows[k][5], rows[q][5]), max(rows[k][5], rows[q][5]))
                 if pair not in seen:
                     seen.add(pair)
                     out.append(pair)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = [], set()
+        bucket, held, rows, seen = None, {}, [], set()
         make = lambda pairs: pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    out += close(held, seen)
-                    held = []
-                held.append(row)
+                if rows and row[:4] != rows[0][:4]:
+                    out += close(rows, held, seen)
+                    rows = []
+                if row[0] != bucket:
+                    bucket, held = row[0], {}
+                if row[1] is None:
+                    held[row[5]] = row[8]
+                else:
+                    rows.append(row)
             if out:
                 yield make(out)
-            if len(seen) > 1_000_000:
+            if len(seen) > 300_000:
                 seen.clear()  # pairs seen again are made distinct later
-        if held and (out := close(held, seen)):
+        if rows and (out := close(rows, held, seen)):
             yield make(out)
 
-    return tiled.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.select(*names, "sketch").repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("key").isNotNull(), "key", "i", "j")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def _still_mixed(ws: Workspace, met: DataFrame, comps: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
@@ -344,14 +395,20 @@ def _still_mixed(ws: Workspace, met: DataFrame, comps: DataFrame, tag: str) -> t
     h = F.xxhash64("node")
     sums = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.sum(F.xxhash64(h, "node").cast("decimal(20,0)")).alias("s"))
     one = sums.where("lo <> hi").groupBy("m", "x", "s").agg(F.min("key").alias("key"))
-    blocks = ws.save(one.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("nb")), f"{tag}-blocks")
+    blocks = ws.save(one.select("key", "m", F.ceil(F.col("m") / TILE).cast("int").alias("nb")), f"{tag}-blocks")
     return now, blocks
 
 
-def similar_sets(ws: Workspace, sets: DataFrame, num: int = 80, den: int = 100, split: int = SPLIT) -> DataFrame:
-    """(node, comp) of nodes with links: ``den`` * intersection >= ``num`` * union, over components."""
-    met = ws.save(gathered(meeting_points(sets, frequency_table(sets), num, den, split)), "met")
-    fits = lambda n, m: (F.col(n) * den >= F.col(m) * num) & (F.col(m) * den >= F.col(n) * num)
+def similar_sets(ws: Workspace, docs: DataFrame, n: int, sets: DataFrame, num: int = 80, den: int = 100, split: int = SPLIT, fan: int = FAN) -> DataFrame:
+    """(node, comp) of nodes with links: ``den`` * intersection >= ``num`` * union, over components.
+
+    ``docs``: (_id, _row, _text); ``sets``: what ``sets_of`` gives of them.
+    """
+    met = ws.save(gathered(meeting_points(docs, n, frequency_table(sets), num, den, split)), "met")
+    fits = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
+    drawn = only_ids(sets.where("sketch is not null").select("node", "n_shingles", "_row", "sketch"), met.select("node"), "node")
+    drawn = drawn.groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("_row").alias("_row"), F.first("sketch").alias("sketch"))
+    sketches = ws.save(drawn, "sketches")
 
     def near(x: bytes, n: int, y: bytes, m: int) -> bool:
         return hamming(x, y) * (den + num) <= (den - num) * (n + m)
@@ -362,43 +419,43 @@ def similar_sets(ws: Workspace, sets: DataFrame, num: int = 80, den: int = 100,
 
     def exact(close: DataFrame, tag: str) -> DataFrame:
         close = ws.save(close, f"{tag}-close")
-        nodes = close.select(F.col("a").alias("node")).union(close.select("b"))
-        links = ws.save(_pairs_with(close, _details(sets, nodes, "grams"), "grams", alike), f"{tag}-links")
+        rows = only_ids(sketches.select("node", "_row"), close.select(F.col("a").alias("node")).union(close.select("b")), "node").select("_row")
+        held = grams_of(only_ids(docs.select("_row", "_text"), rows, "_row"), n)
+        links = ws.save(_checked(_joined(held.withColumnRenamed("grams", "x"), _sides(close, fan), "node"), alike), f"{tag}-links")
         ws.drop(f"{tag}-close")
         return links
 
-    sketches = ws.save(_details(sets, met.select("node"), "sketch"), "sketches")
     stars = met.where((F.col("node") != F.col("rep")) & fits("n", "rep_n")).select(F.col("rep").alias("a"), F.col("node").alias("b"))
     parts = met.where("salt >= 0 and node = rep").select("key", "rep", "rep_n")
     first = parts.groupBy("key").agg(F.min(F.struct("rep", "rep_n")).alias("first")).select("key", F.col("first.rep").alias("first"), F.col("first.rep_n").alias("first_n"))
     across = parts.join(first, "key").where((F.col("rep") != F.col("first")) & fits("rep_n", "first_n")).select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    links = exact(_pairs_with(stars.union(across).distinct(), sketches, "sketch", near), "star")
+    stars = ws.save(stars.union(across).distinct(), "stars")
+    links = exact(_checked(_joined(sketches.select("node", "n", F.col("sketch").alias("x")), _sides(stars, fan), "node"), near), "star")
     comps = connected_components(ws, links, "cc0")
     for tag, forest in (("forest", True), ("rest", False)):
         now, blocks = _still_mixed(ws, met, comps, tag)
         if blocks.isEmpty():
             break
-        rows = only_ids(now, blocks, "key").join(sketches.select("node", "sketch"), "node")
-        more = exact(_close_in_tiles(rows, blocks, num, den, forest).distinct(), tag)
+        more = exact(_close_in_tiles(now, blocks, sketches, num, den, forest).distinct(), tag)
         ws.drop(f"{tag}-now", f"{tag}-blocks")
         if not more.isEmpty():
             links = links.union(more)
             comps = connected_components(ws, links, f"cc-{tag}")
-    ws.drop("met", "sketches")
+    ws.drop("met", "sketches", "stars")
     return comps
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the smallest id that links reach) of each row of ``docs``."""
     ws = Workspace(docs.sparkSession, "ngram-join")
-    sets = ws.save(sets_of(docs, n, id_col, text_col), "sets")
-    comps = similar_sets(ws, sets, num, den)
-    rows = ws.save(
-        sets.select(id_col, "n_shingles", "node").join(comps, "node", "left").select(id_col, "n_shingles", F.coalesce("comp", "node").alias("comp")), "rows"
-    )
+    named = keyed(docs, id_col, text_col)
+    sets = ws.save(sets_of(named, n), "sets")
+    comps = similar_sets(ws, named, n, sets, num, den)
+    rows = sets.where("part is null").select("_id", "n_shingles", "node").join(comps, "node", "left")
+    rows = ws.save(rows.select("_id", "n_shingles", F.coalesce("comp", "node").alias("comp")), "rows")
     ws.drop("sets")
-    least = ws.save(rows.where("comp is not null").groupBy("comp").agg(F.min(id_col).alias("least")), "least")
-    return rows.join(least, "comp", "left").select(id_col, "n_shingles", F.coalesce("least", id_col).alias("component_id"))
+    least = ws.save(rows.where("comp is not null").groupBy("comp").agg(F.min("_id").alias("least")), "least")
+    return rows.join(least, "comp", "left").select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("least", "_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
