@@ -1,14 +1,20 @@
 """Operator 4: removal of repeated passages by prefix-partitioned suffix trees.
 
-Suffixes of all texts are split by prefixes of growing length, a level of a suffix tree at a time, and only
-groups with more than one suffix go on. The first level takes the suffixes at which a window of ``window``
-words has its smallest ``prefix``-word gram, one in six or so: equal windows have it at the same place, so
-none is lost. The second level splits the suffixes of the windows in those groups by all ``window`` words:
-its groups are the tree's internal nodes of that depth or more, whose leaves, read along a text, are the
-maximal repeats. The earliest leaf of a node stays; words under any other are removed.
-
-Texts are dealt out once, by row, and read again from there. Nothing is gathered in one place: nodes keep
-an aggregate (their earliest leaf), and what a row repeats itself is settled within the row.
+Suffixes of all texts are split by prefixes of their words into groups that fit in memory. The first prefix has
+``prefix`` words and is taken at anchors: the suffixes at which a window of ``window`` words has its smallest
+``prefix``-word gram, one in six or so. Equal windows have their anchor at the same place, so none is lost, and
+a prefix that stands only once ends there. Where it stands again, the words around the anchor, up to a window to
+either side, go to the group of their prefix. A group is a subtree: its suffixes, one for each window over an
+anchor, are sorted, and runs of neighbours that share ``window`` words, compared word by word, are its deep
+internal nodes. Read along a text, the leaves of deep nodes are the maximal repeats. The earliest leaf of a node
+stays; words under any other are removed. A group of more than ``most`` anchors doesn't become a tree in memory:
+its suffixes are split again, by a prefix of all ``window`` words, whose groups are deep nodes themselves and
+need an aggregate only.
+
+Words travel as 32-bit numbers, and are compared as such: a passage could be taken for another only if they
+differ in nothing but words whose numbers agree. Anchors that a task finds repeated among its own rows are known
+to be so without a shuffle; a hot passage sends one row a slice of texts. Texts are dealt out once, by row, and
+read again from there; what a row repeats itself is settled within the row.
 
 Cases: null or empty text has no words; texts shorter than a window stay; rows without an id come last in
 the order of documents; rows that repeat an id are documents at the same place, of which none removes the
@@ -24,13 +30,18 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedlake.llm import _text as T
+from embedlake.llm._work import Workspace
 
 SLICE = 3 << 20
 PREFIX = 10
+#: Anchors of a subtree at most, with 30 words or so each; and of the groups that are sorted at once.
+MOST, TOGETHER = 50_000, 20_000
+#: Windows that one anchor's row holds at most: a bit each.
+RUN = 32
 
 
 class Layout:
@@ -68,12 +79,13 @@ class Layout:
         self.repeats = np.zeros(len(k), bool)
         self.repeats[order] = np.repeat(times > 1, times)
 
-    def windows(self, wanted: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows whose anchor is wanted (a flag for each anchor)."""
+    def windows(self, wanted: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, anchors and hashes of the windows whose anchor is wanted (a flag for each anchor)."""
         mark = np.zeros(len(self.h) + 1, bool)
         mark[self.anchors[wanted]] = True
-        at = self.at[mark[self.anchor]]
-        return at, T.grams(self.h, window)[at] if len(at) else np.zeros(0, np.uint64)
+        take = mark[self.anchor]
+        at = self.at[take]
+        return at, self.anchor[take], T.grams(self.h, window)[at] if len(at) else np.zeros(0, np.uint64)
 
     def later(self, at: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Flags the windows whose words start earlier in the same row."""
@@ -93,7 +105,11 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_level(texts: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(g, _row, p, m): the first anchor of each gram in each row, and how often the row has it."""
+    """(g, _row, p, m, told): the first anchor of each gram in each row, and how often the row has it.
+
+    Of rows of a slice that share a gram, one stands for them with all their occurrences; a row each with ``told``
+    says that its anchor repeats, under a number that deals such rows out evenly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,18 +117,55 @@ def _first_level(texts: DataFrame, window: int, prefix: int) -> DataFrame:
                 x = Layout(data, offsets, window, prefix)
                 if not len(x.anchors):
                     continue
-                at = x.anchors[x.firsts]
+                order = np.argsort(x.g[x.firsts], kind="stable")
+                at, times, g = x.anchors[x.firsts][order], x.times[order], x.g[x.firsts][order]
+                begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+                rows = np.diff(np.append(begin, len(g)))
+                told = np.flatnonzero((np.repeat(rows, rows) > 1) & (times == 1))
+                at_all, own = np.append(at[begin], at[told]), x.row
                 columns = [
-                    pa.array(x.g[x.firsts].view(np.int64)), batch.column(0).take(pa.array(a + x.row[at])),
-                    pa.array((at - x.first[x.row[at]]).astype(np.int32)), pa.array(x.times.astype(np.int32)),
+                    pa.array(np.append(g[begin], T.mix(g[told] ^ T.mix(at[told].astype(np.uint64)))).view(np.int64)), batch.column(0).take(pa.array(a + own[at_all])),
+                    pa.array((at_all - x.first[own[at_all]]).astype(np.int32)), pa.array(np.append(np.add.reduceat(times, begin), times[told]).astype(np.int32)),
+                    pa.array(np.append(np.zeros(len(begin), bool), np.ones(len(told), bool))),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["g", "_row", "p", "m"])
+                yield pa.RecordBatch.from_arrays(columns, ["g", "_row", "p", "m", "told"])
 
-    return texts.select("_row", "_text").mapInArrow(run, "g bigint, _row bigint, p int, m int")
+    return texts.select("_row", "_text").mapInArrow(run, "g bigint, _row bigint, p int, m int, told boolean")
 
 
-def _second_level(joined: DataFrame, id_type: str, window: int, prefix: int) -> DataFrame:
-    """(node, _row, _id, s): the first window of each text of words in each row, at anchors that repeat."""
+def _repeated(first: DataFrame) -> DataFrame:
+    """(_row, p) of the anchors that other rows have too; a stream over sorted rows that keeps one row between batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last gram, and its only row so far if that isn't out
+        for batch in batches:
+            told = batch.column(4).to_numpy(zero_copy_only=False)
+            out = batch.filter(batch.column(4)).select(["_row", "p"])
+            if out.num_rows:
+                yield out
+            g, row, p, m = (c.to_numpy(zero_copy_only=False)[~told] for c in batch.columns[:4])
+            if not len(g):
+                continue
+            if held is not None:
+                g, row, p, m = np.append(held[0], g), np.append(held[1], row), np.append(np.int32(held[2]), p), np.append(np.int32(held[3]), m)
+            begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            size = np.diff(np.append(begin, len(g)))
+            # m = 0: a row that goes on from the batch before, out already
+            again = (np.repeat(size, size) > 1) & (m == 1)
+            if again.any():
+                yield pa.RecordBatch.from_arrays([pa.array(row[again]), pa.array(p[again].astype(np.int32))], ["_row", "p"])
+            last = len(g) - 1
+            held = (g[last:], row[last:], p[last], 0 if size[-1] > 1 else m[last])
+
+    n = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return first.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "_row bigint, p int")
+
+
+def _suffixes(joined: DataFrame, id_type: str, window: int, prefix: int) -> DataFrame:
+    """(g, _row, _id, s, live, words): the words under the windows of each anchor that repeats.
+
+    ``s`` is the first window's start; bit j of ``live`` is set if the window at s + j is the row's first of its text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,14 +176,136 @@ def _second_level(joined: DataFrame, id_type: str, window: int, prefix: int) ->
                 row, p = _lists(batch.column(3).slice(a, b - a))
                 known = np.zeros(len(x.h) + 1, bool)
                 known[x.first[row] + p] = True
-                at, key = x.windows(x.repeats | known[x.anchors], window)
+                at, anchor, key = x.windows(x.repeats | known[x.anchors], window)
+                if not len(at):
+                    continue
+                new = np.append(True, anchor[1:] != anchor[:-1])
+                begin = np.flatnonzero(new)
+                place = np.arange(len(at)) - begin[np.cumsum(new) - 1]
+                begin = np.flatnonzero(place % RUN == 0)
+                group = np.cumsum(place % RUN == 0) - 1
+                live = np.zeros(len(begin), np.int64)
                 keep = ~x.later(at, key)
-                at, key = at[keep], key[keep]
-                take = pa.array(a + x.row[at])
-                columns = [pa.array(key.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((at - x.first[x.row[at]]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "_row", "_id", "s"])
+                np.add.at(live, group[keep], np.int64(1) << (place[keep] % RUN))
+                size = np.diff(np.append(begin, len(at))) + window - 1
+                some = live > 0
+                begin, size, live = begin[some], size[some], live[some]
+                s = at[begin]
+                ends = np.cumsum(size)
+                numbers = (x.h >> np.uint64(32)).astype("<u4")[np.repeat(s - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+                words = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.append(0, ends * 4).astype(np.int32)), pa.py_buffer(numbers.tobytes())])
+                g, take = T.grams(x.h, prefix)[anchor[begin]], pa.array(a + x.row[s])
+                columns = [pa.array(g.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((s - x.first[x.row[s]]).astype(np.int32)), pa.array(live), words]
+                yield pa.RecordBatch.from_arrays(columns, ["g", "_row", "_id", "s", "live", "words"])
+
+    return joined.select("_row", "_id", "_text", "_at").mapInArrow(run, f"g bigint, _row bigint, _id {id_type}, s int, live bigint, words binary")
+
+
+def deep_nodes(g: np.ndarray, rank: np.ndarray, s: np.ndarray, live: np.ndarray, words: pa.Array, window: int, bits: int = 64) -> np.ndarray:
+    """For each anchor's row the bits of its windows that are not the earliest leaf of their deep node.
+
+    Rows are of whole groups ``g``; ``rank`` orders documents. Suffixes are sorted by group and a hash of ``window``
+    words (cut to ``bits``), then by place; neighbours with equal hashes are compared word by word.
+    """
+    raw, bounds = T.buffers(words)
+    numbers = np.frombuffer(raw[bounds[0] : bounds[-1]].tobytes(), "<u4").astype(np.uint64)
+    size = np.diff(bounds) // 4
+    off = np.cumsum(size) - size
+    many = size - window + 1
+    own = np.repeat(np.arange(len(g)), many)
+    j = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+    alive = (live[own] >> j) & 1 > 0
+    own, j = own[alive], j[alive]
+    at = off[own] + j
+    h = T.mix(T.grams(numbers, window)[at] ^ T.mix(g[own].view(np.uint64))) >> np.uint64(64 - bits)
+    order = np.lexsort((s[own] + j, rank[own], h))
+    own, j, at, h = own[order], j[order], at[order], h[order]
+    same = np.append(False, h[1:] == h[:-1])
+    lead = np.flatnonzero(~same)[np.cumsum(~same) - 1]  # the earliest suffix with the hash
+    check = np.flatnonzero(same)
+    span = np.arange(window)
+    unlike = np.zeros(len(h), bool)
+    for k in range(0, len(check), 1 << 16):
+        c = check[k : k + (1 << 16)]
+        unlike[c] = (numbers[at[c][:, None] + span] != numbers[at[lead[c]][:, None] + span]).any(axis=1) | (g[own[c]] != g[own[lead[c]]])
+    for first in np.unique(lead[unlike]).tolist():  # different words with one hash
+        by: dict[tuple, int] = {}
+        for c in range(first, len(h)):
+            if h[c] != h[first]:
+                break
+            lead[c] = by.setdefault((int(g[own[c]]), numbers[at[c] : at[c] + window].tobytes()), c)
+    behind = (rank[own] != rank[own[lead]]) | (s[own] + j != s[own[lead]] + j[lead])
+    out = np.zeros(len(g), np.int64)
+    np.add.at(out, own[behind], np.int64(1) << j[behind])
+    return out
+
+
+def _subtrees(suffixes: DataFrame, id_type: str, window: int, most: int, bits: int) -> DataFrame:
+    """(_row, _id, s, mask, words): windows that are repeats (``words`` null), or rows of groups beyond memory, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            rank = pc.rank(t.column("_id").combine_chunks(), sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+            g, s, live = (t.column(c).to_numpy() for c in ("g", "s", "live"))
+            mask = deep_nodes(g, rank, s.astype(np.int64), live, t.column("words").combine_chunks(), window, bits)
+            return made(t, mask, False)
+
+        def made(t: pa.Table, mask: np.ndarray, whole: bool) -> pa.RecordBatch:
+            some = np.flatnonzero(mask)
+            t = t.take(pa.array(some))
+            words = t.column("words") if whole else pa.chunked_array([pa.nulls(len(some), pa.binary())])
+            out = pa.Table.from_arrays([t.column("_row"), t.column("_id"), t.column("s"), pa.chunked_array([pa.array(mask[some])]), words], ["_row", "_id", "s", "mask", "words"])
+            return out.combine_chunks().to_batches(max_chunksize=max(1, len(some)))[0] if len(some) else pa.RecordBatch.from_pylist([], schema=out.schema)
+
+        held, n, large = [], 0, None  # rows of groups that may go on; the group that is beyond memory
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            last = batch.column(0)[-1].as_py()
+            if large is None and n < TOGETHER:
+                continue
+            t = pa.Table.from_batches(held)
+            g = t.column("g").to_numpy()
+            if large is not None:
+                end = int(np.searchsorted(g != large, True)) if g[0] == large else 0
+                if end:
+                    part = t.slice(0, end)
+                    yield made(part, part.column("live").to_numpy(), True)
+                    t, g = t.slice(end), g[end:]
+                large = large if not len(g) else None
+            open_at = int(np.flatnonzero(g != last)[-1]) + 1 if len(g) and g[0] != last else 0
+            if open_at:
+                yield solve(t.slice(0, open_at))
+                t = t.slice(open_at)
+            if t.num_rows > most:
+                large = last
+                yield made(t, t.column("live").to_numpy(), True)
+                t = t.slice(0, 0)
+            held, n = t.to_batches(), t.num_rows
+        if held and n:
+            yield solve(pa.Table.from_batches(held))
+
+    n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return suffixes.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, f"_row bigint, _id {id_type}, s int, mask bigint, words binary")
+
+
+def _by_whole_prefix(large: DataFrame, id_type: str, window: int) -> DataFrame:
+    """(_row, _id, s, mask) of the repeats in groups beyond memory: split by all ``window`` words, a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, live, words = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            rows = [(k, s[k] + j, w[4 * j : 4 * (j + window)]) for k, w in enumerate(words) for j in range(len(w) // 4 - window + 1) if live[k] >> j & 1]
+            take = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["_row", "_id", "s", "words"])
 
-    return joined.select("_row", "_id", "_text", "_at").mapInArrow(run, f"node bigint, _row bigint, _id {id_type}, s int")
+    each = large.select("_row", "_id", "s", "mask", "words").mapInArrow(run, f"_row bigint, _id {id_type}, s int, words binary")
+    each = each.withColumn("place", F.struct(F.col("_id").isNull(), "_id", "s"))
+    first = each.groupBy("words").agg(F.min("place").alias("first"))
+    return each.join(first, "words").where("place > first").select("_row", "_id", "s", F.lit(1).cast("long").alias("mask"))
 
 
 def _covered(x: Layout, flagged: np.ndarray, window: int) -> np.ndarray:
@@ -141,27 +316,38 @@ def _covered(x: Layout, flagged: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step)[: len(x.h)] > 0
 
 
-def _searched(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int) -> DataFrame:
-    """The rows of ``docs`` with _row, _id, _text and ``_flagged``, the starts of the windows that another row has earlier."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _searched(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int, most: int, bits: int) -> DataFrame:
+    """The rows of ``docs`` with _row, _id, _text and ``_flagged``, the starts of windows that another row has earlier and their bits."""
+    ws, n = Workspace(docs.sparkSession, "substring"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
-        F.struct(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(0)]).alias("_rest"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.lit(0)]).alias("_rest"),
     )
+    kind = docs.schema[id_col].dataType.simpleString()
     dealt = named.repartition(n, "_row")
-    grams = _first_level(named.select("_row", "_text"), window, prefix)
-    group = Window.partitionBy("g")
-    again = grams.withColumn("all", F.sum("m").over(group)).where("all > 1 and m = 1")
-    known = again.groupBy("_row").agg(F.collect_list("p").alias("_at"))
-    own = _second_level(dealt.join(known, "_row", "left"), docs.schema[id_col].dataType.simpleString(), window, prefix)
-    place = F.struct(F.col("_id").isNull(), "_id", "s")
-    other = own.withColumn("place", place).withColumn("first", F.min("place").over(Window.partitionBy("node"))).where("place > first")
-    flags = other.groupBy("_row").agg(F.collect_list("s").alias("_flagged"))
-    return dealt.join(flags, "_row", "left")
-
-
-def _apply(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int, full: bool, counts: tuple[str, str] = ("", "")) -> DataFrame:
-    found = _searched(docs, id_col, text_col, window, prefix)
+    known = _repeated(_first_level(named, window, prefix)).groupBy("_row").agg(F.collect_list("p").alias("_at"))
+    suffixes = _suffixes(dealt.join(known, "_row", "left"), kind, window, prefix)
+    trees = ws.save(_subtrees(suffixes, kind, window, most, bits), "trees")
+    found, large = trees.where("words is null").drop("words"), trees.where("words is not null")
+    if not large.isEmpty():
+        found = found.unionByName(_by_whole_prefix(large, kind, window))
+    # joined by row number alone, so that texts stay where they are dealt; two rows that share a number differ in id
+    flags = found.groupBy("_row").agg(F.collect_list(F.struct(F.col("_id").alias("of"), "s", "mask")).alias("_all"))
+    own = F.transform(F.filter("_all", lambda x: x["of"].eqNullSafe(F.col("_id"))), lambda x: F.struct(x["s"].alias("s"), x["mask"].alias("mask")))
+    return dealt.join(flags, "_row", "left").withColumn("_flagged", own).drop("_all")
+
+
+def _starts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and start of all windows of a column of lists of (s, mask)."""
+    flat = column.flatten()
+    size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    row, s, mask = np.repeat(np.arange(len(column)), size), flat.field("s").to_numpy(zero_copy_only=False), flat.field("mask").to_numpy(zero_copy_only=False)
+    which, j = np.nonzero((mask[:, None] >> np.arange(RUN)) & 1)
+    return row[which], s[which].astype(np.int64) + j
+
+
+def _apply(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int, full: bool, counts: tuple[str, str] = ("", ""), most: int = MOST, bits: int = 64) -> DataFrame:
+    found = _searched(docs, id_col, text_col, window, prefix, most, bits)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = f"_id {kinds[id_col]}, n_words bigint, n_removed bigint, " + ("kept_text string" if full else "kept_sha256 string")
 
@@ -169,10 +355,10 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int
         for batch in batches:
             for a, b, data, offsets in T.slices(batch.column(1), SLICE):
                 x = Layout(data, offsets, window, prefix)
-                row, s = _lists(batch.column(2).slice(a, b - a))
+                row, s = _starts(batch.column(2).slice(a, b - a))
                 flagged = x.first[row] + s
                 if len(x.anchors):
-                    at, key = x.windows(x.repeats, window)
+                    at, _, key = x.windows(x.repeats, window)
                     flagged = np.append(flagged, at[x.later(at, key)])
                 gone = _covered(x, flagged, window)
                 run_ = np.append(0, np.cumsum(gone))
@@ -201,9 +387,12 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int
     return whole.select(*[named.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns], F.col("n_words").alias(counts[0]), F.col("n_removed").alias(counts[1]))
 
 
-def removal_report(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
-    """id, n_words, n_removed and kept_sha256 (of the kept words, joined by one blank) of each row."""
-    return _apply(docs, id_col, text_col, window, prefix, False)
+def removal_report(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, most: int = MOST, bits: int = 64) -> DataFrame:
+    """id, n_words, n_removed and kept_sha256 (of the kept words, joined by one blank) of each row.
+
+    ``most``: anchors of a subtree in memory; ``bits``: of the hash by which its suffixes are sorted (fewer only cost time).
+    """
+    return _apply(docs, id_col, text_col, window, prefix, False, most=most, bits=bits)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, counts: tuple[str, str] = ("_n_words", "_n_removed")) -> DataFrame:
