@@ -1,11 +1,12 @@
 """Operator 8: toxic spans and document scores by a linear-chain conditional random field.
 
-``fit`` learns on the driver from a bounded sample of labelled documents (``MAX_DOCS`` a class, texts of at
-most ``MAX_CHARS`` characters). Tokens get labels first: in a toxic document, a token with a feature (the
+``fit`` learns on the driver from a bounded sample of labelled documents (``MAX_DOCS`` a class, whole texts).
+Words end at white space, in training as in scoring. Tokens get labels first: in a toxic document, a token with a feature (the
 word, or its first 4 to 6 letters) that stands in many distinct toxic texts and hardly in others, beyond
 chance, is toxic.
-A two-state chain over features, a bias and transitions is then trained on these labels by Adam, and a
-logistic curve over the chain's marginals on the document labels.
+A two-state chain over features, a bias and transitions is then trained on these labels by Adam, on the exact
+gradient of the chain's likelihood over all tokens, and a logistic curve over the chain's marginals on the
+document labels.
 
 ``score`` runs forward-backward over every whole text. Tokens without a feature share one potential, so
 runs of them are a power of one 2 x 2 matrix, in closed form; only tokens with features are stepped through.
@@ -19,6 +20,7 @@ source and id never reach a score.
 
 from __future__ import annotations
 
+import re
 import string
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from embedlake.llm import _text as T
 
 #: Bounds of the sample that the model is fitted on, and of the model.
-MAX_DOCS, MAX_CHARS, MAX_FEATURES = 3000, 20_000, 20_000
+MAX_DOCS, MAX_FEATURES = 3000, 20_000
 #: A feature counts as toxic if so many distinct toxic texts have it, with odds of so much (natural logarithm).
 LEAST_TEXTS, LEAST_ODDS, MARGIN = 3, 2.5, 0.0
 PREFIXES = (4, 5, 6)
@@ -41,6 +43,8 @@ SLICE = 1 << 20
 #: Words whose potentials a task keeps.
 KEEP_WORDS = 200_000
 _STRIP = string.punctuation + "«»“”„…¡¿–—"
+#: White space beyond that of ASCII words, as UTF-8; fixed values of Unicode.
+_BLANKS = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 def features(word: str) -> list[str]:
@@ -61,25 +65,47 @@ class Model:
         return sum(self.weights.get(f, 0.0) for f in features(word))
 
 
-def _gap_powers(m: Model, gaps: np.ndarray) -> np.ndarray:
-    """(A D) ** gap for each gap, scaled by the largest eigenvalue's power. A: transitions, D: default potentials."""
-    a = np.exp(np.array([[0.0, m.enter], [m.leave, m.stay]])) @ np.diag([1.0, np.exp(m.bias)])
+def _step(m: Model) -> np.ndarray:
+    return np.exp(np.array([[0.0, m.enter], [m.leave, m.stay]]))
+
+
+def _eigen(m: Model) -> tuple[np.ndarray, np.ndarray, float]:
+    """Projectors of A D, and its smaller eigenvalue as a share of the larger. A: transitions, D: default potentials."""
+    a = _step(m) @ np.diag([1.0, np.exp(m.bias)])
     half, det = (a[0, 0] + a[1, 1]) / 2, a[0, 0] * a[1, 1] - a[0, 1] * a[1, 0]
     root = np.sqrt(max(half * half - det, 1e-300))
     l1, l2 = half + root, half - root
     p1 = (a - l2 * np.eye(2)) / (l1 - l2)
-    return p1 + (np.eye(2) - p1) * ((l2 / l1) ** gaps)[:, None, None]
+    return p1, np.eye(2) - p1, l2 / l1
 
 
-def marginals(m: Model, unary: np.ndarray, gaps: np.ndarray, tail: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Probability of the toxic state at each token with features.
+def _gap_powers(m: Model, gaps: np.ndarray) -> np.ndarray:
+    """(A D) ** gap for each gap, scaled by the largest eigenvalue's power."""
+    p1, p2, ratio = _eigen(m)
+    return p1 + p2 * (ratio**gaps)[:, None, None]
+
+
+def _gap_slopes(m: Model, gaps: np.ndarray) -> list[np.ndarray]:
+    """Derivatives of (A D) ** gap by bias, enter, leave and stay, scaled alike: sums over all places in the run."""
+    p1, p2, ratio = _eigen(m)
+    a = _step(m) @ np.diag([1.0, np.exp(m.bias)])
+    top = (a[0, 0] + a[1, 1]) / (1 + ratio)  # the larger eigenvalue
+    far = ratio**gaps
+    with np.errstate(divide="ignore", invalid="ignore"):
+        less = np.where(gaps > 0, gaps * ratio ** np.maximum(gaps - 1, 0), 0.0)
+    mixed = (1 - far) / (1 - ratio)
+    out = []
+    for at in ([[0, 1], [0, 1]], [[0, 1], [0, 0]], [[0, 0], [1, 0]], [[0, 0], [0, 1]]):
+        d = a * np.array(at) / top
+        cross = p1 @ d @ p2 + p2 @ d @ p1
+        out.append((p1 @ d @ p1) * gaps[:, None, None] + (p2 @ d @ p2) * less[:, None, None] + cross * mixed[:, None, None])
+    return out
 
-    ``gaps``: default tokens before each such token (since the last one, or the text's start); ``tail``: after
-    a text's last one; ``first``: each text's first such token, with a closing entry. Texts have one at least.
-    """
-    step = np.exp(np.array([[0.0, m.enter], [m.leave, m.stay]]))
+
+def _passes(m: Model, unary: np.ndarray, gaps: np.ndarray, tail: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Scaled forward and backward messages, the matrices before each token with features, and potentials."""
     pot = np.stack([np.ones(len(unary)), np.exp(np.clip(unary + m.bias, -30, 30))], axis=1)
-    way = _gap_powers(m, gaps.astype(float)) @ step
+    way = _gap_powers(m, gaps.astype(float)) @ _step(m)
     count = np.diff(first)
     order = np.argsort(-count, kind="stable")
     begin, count = first[:-1][order], count[order]
@@ -100,10 +126,58 @@ def marginals(m: Model, unary: np.ndarray, gaps: np.ndarray, tail: np.ndarray, f
             nxt = at[:more] + 1
             now[:more] = np.einsum("nij,nj->ni", way[nxt], pot[nxt] * beta[nxt])
         beta[at] = now / now.sum(axis=1, keepdims=True)
+    return alpha, beta, way, pot
+
+
+def marginals(m: Model, unary: np.ndarray, gaps: np.ndarray, tail: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Probability of the toxic state at each token with features.
+
+    ``gaps``: default tokens before each such token (since the last one, or the text's start); ``tail``: after
+    a text's last one; ``first``: each text's first such token, with a closing entry. Texts have one at least.
+    """
+    alpha, beta, _, _ = _passes(m, unary, gaps, tail, first)
     both = alpha * beta
     return both[:, 1] / both.sum(axis=1)
 
 
+def expected(m: Model, unary: np.ndarray, gaps: np.ndarray, tail: np.ndarray, first: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals, and the expected numbers of toxic tokens, entries, exits and stays over all texts.
+
+    ``bare``: lengths of the texts without any token with features. Default tokens count too, runs in closed form.
+    """
+    alpha, beta, way, pot = _passes(m, unary, gaps, tail, first)
+    both = alpha * beta
+    p = both[:, 1] / both.sum(axis=1)
+    start = np.zeros(len(unary), bool)
+    start[first[:-1]] = True
+    left = np.where(start[:, None], [1.0, 0.0], np.roll(alpha, 1, axis=0))
+    right = pot * beta
+    total = np.einsum("ni,nij,nj->n", left, way, right)
+    a, run = _step(m), gaps.astype(float)
+    powers = _gap_powers(m, run)
+    edges = [None, np.array([[0, a[0, 1]], [0, 0]]), np.array([[0, 0], [a[1, 0], 0]]), np.array([[0, 0], [0, a[1, 1]]])]
+    out = np.array([p.sum(), 0.0, 0.0, 0.0])
+    ends = np.append(tail, bare).astype(float)
+    lead = np.append(alpha[first[1:] - 1], np.tile([1.0, 0.0], (len(bare), 1)), axis=0)
+    last = np.einsum("ni,nij->n", lead, _gap_powers(m, ends))
+    for k, (inner, after) in enumerate(zip(_gap_slopes(m, run), _gap_slopes(m, ends), strict=True)):
+        slope = inner @ a
+        if edges[k] is not None:
+            slope = slope + powers @ edges[k]
+        out[k] += (np.einsum("ni,nij,nj->n", left, slope, right) / total).sum() + (np.einsum("ni,nij->n", lead, after) / last).sum()
+    return p, out
+
+
+def observed(y: np.ndarray, gaps: np.ndarray, tail: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Toxic tokens, entries, exits and stays of the labels ``y``; default tokens are not toxic."""
+    start = np.zeros(len(y), bool)
+    start[first[:-1]] = True
+    before = np.append(False, y[:-1]) & ~start & (gaps == 0)  # the token just before is toxic
+    open_ = np.append(False, y[:-1]) & ~start & (gaps > 0)
+    close = y[first[1:] - 1] & (tail > 0)
+    return np.array([y.sum(), (y & ~before).sum(), (before & ~y).sum() + open_.sum() + close.sum(), (before & y).sum()], float)
+
+
 def _tokens(texts: list[str], known: dict[str, int]) -> tuple[list, list, list]:
     """Per text its tokens with known features: (position, feature numbers), and its number of tokens."""
     memo: dict[str, list[int]] = {}
@@ -181,23 +255,16 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     feat = np.array([x for k in some for f in feats[k] for x in f], np.int64)
     doc = np.repeat(labels[some], count)
     y = (np.bincount(tok, toxic_feature[feat], len(pos_of)) > 0) & (doc == 1)
-    linked = np.flatnonzero((gaps == 0) & (np.arange(len(gaps)) != np.repeat(first[:-1], count)))
+    bare = np.array([n for k, n in enumerate(sizes) if n and not at[k]], np.int64)
+    seen_counts = observed(y, gaps, tail, first)
     # parameters: features, bias, enter, leave, stay
     theta = np.append(np.zeros(len(chosen)), [-3.0, -1.0, 0.0, 1.0])
     mean, var = np.zeros_like(theta), np.zeros_like(theta)
     n = len(chosen)
-    model = Model()
     for k in range(1, ROUNDS + 1):
         model = Model(bias=theta[n], enter=theta[n + 1], leave=theta[n + 2], stay=theta[n + 3])
-        p = marginals(model, np.bincount(tok, theta[feat], len(pos_of)), gaps, tail, first)
-        off = p - y
-        grad = np.append(np.bincount(feat, off[tok], n), [off.sum(), 0.0, 0.0, 0.0])
-        # transitions between neighbours that both have features, by their marginals
-        a, b = p[linked - 1], p[linked]
-        ya, yb = y[linked - 1], y[linked]
-        grad[n + 1] = ((1 - a) * b - (~ya & yb)).sum()
-        grad[n + 2] = (a * (1 - b) - (ya & ~yb)).sum()
-        grad[n + 3] = (a * b - (ya & yb)).sum()
+        p, counts = expected(model, np.bincount(tok, theta[feat], len(pos_of)), gaps, tail, first, bare)
+        grad = np.append(np.bincount(feat, (p - y)[tok], n), counts - seen_counts)
         grad = grad / max(1, len(some)) + DECAY * theta
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad * grad
         theta = theta - RATE * (mean / (1 - 0.9**k)) / (np.sqrt(var / (1 - 0.99**k)) + 1e-8)
@@ -205,7 +272,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         {f: round(float(w), 4) for f, w in zip(chosen, theta[:n], strict=True) if abs(w) > 0.05},
         float(theta[n]), float(theta[n + 1]), float(theta[n + 2]), float(theta[n + 3]),
     )
-    p = marginals(model, np.bincount(tok, theta[feat], len(pos_of)), gaps, tail, first)
+    kept = np.array([model.weights.get(f, 0.0) for f in chosen])  # as scoring has them
+    p = marginals(model, np.bincount(tok, kept[feat], len(pos_of)), gaps, tail, first)
     x = np.zeros((len(texts), 2))
     x[some] = np.stack([np.log1p(np.add.reduceat(p, first[:-1])), np.maximum.reduceat(p, first[:-1])], axis=1)
     model.curve = _logistic(x, labels)
@@ -230,11 +298,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     part = lambda y: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
     picked = part(0).union(part(1))  # 2 * max_docs rows at most
-    rows = docs.where(F.length(text_col) <= MAX_CHARS).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(picked), "_id")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(picked), "_id")
     found = sorted((r["_id"], r["_y"], r["_t"]) for r in rows.collect())
     return train([t for _, _, t in found], [y for _, y, _ in found])
 
 
+def _plain_blanks(data: np.ndarray) -> np.ndarray:
+    """``data`` with all white space that words end at as ASCII blanks; code points shift, so this is for finding words only."""
+    raw = data.tobytes()
+    return np.frombuffer(_BLANKS.sub(lambda m: b" " * len(m[0]), raw), np.uint8) if _BLANKS.search(raw) else data
+
+
 class Scorer:
     """Scores texts in numpy; keeps the potentials of words it has seen."""
 
@@ -245,6 +319,7 @@ class Scorer:
         n, m = len(offsets) - 1, self.model
         if m.curve is None:
             return np.zeros(n), [[] for _ in range(n)]
+        given, data = data, _plain_blanks(data)
         starts, ends, first = T.words(data, offsets)
         key, at, back = np.unique(T.hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.memo) > KEEP_WORDS:
@@ -272,11 +347,10 @@ class Scorer:
         score = 1 / (1 + np.exp(-np.clip(a + b * x[:, 0] + c * x[:, 1], -30, 30)))
         out: list = [[] for _ in range(n)] if spans else []
         if spans:
+            point = np.append(0, np.cumsum((given & 0xC0) != 0x80))  # code points before each byte
             for k in np.flatnonzero(p >= 0.5).tolist():
-                r, s, e = int(row[k]), int(starts[word[k]]), int(ends[word[k]])
-                lo = len(raw[offsets[r] : s].decode("utf-8", "replace"))
-                hi = lo + len(raw[s:e].decode("utf-8", "replace"))
-                out[r].append({"start": lo, "end": hi, "probability": float(p[k])})
+                r, s, e = int(row[k]), starts[word[k]], ends[word[k]]
+                out[r].append({"start": int(point[s] - point[offsets[r]]), "end": int(point[e] - point[offsets[r]]), "probability": float(p[k])})
         return score, out
 
 
