@@ -1,9 +1,10 @@
 """Operator 5: line dedup by a log-template tree.
 
 Lines are parsed at a fixed depth: by token count, then by their first ``DEPTH`` tokens, with tokens that
-hold digits generalised to ``<*>`` (lines that would be fields for the most part are kept as they are). Within a leaf, a token that fewer than ``least`` documents have at its
-place is a variable field and is generalised too, as long as half of the line stays. Lines with one template
-recur when at least ``least`` documents have them, and either at least as many different neighbours are on
+hold digits generalised to ``<*>`` (lines that would be fields for the most part are kept as they are). Within a
+leaf, a token that stands at its place in the forms of fewer than ``least`` documents (a document counts once for
+each form that it has, however often) is a variable field and is generalised too, as long as half of the line
+stays. Lines with one template recur when at least ``least`` documents have them, and either at least as many different neighbours are on
 both sides, or at least as many of the documents differ in what stands beyond the line and the candidates
 beside it. So headers, footers and banners of several lines recur, while lines of copied and nearly copied
 documents are left to the operators for copies. Documents differ if fewer than ``ALIKE`` of ``MINS`` smallest
@@ -15,8 +16,8 @@ recur, and only those lines move, as distinct masked lines with counts wherever
 aggregated before they move; texts move once, dealt by row.
 
 Cases: null or empty text has no lines to drop; lines without a word stay and are nobody's neighbours; lines
-of more than ``LONGEST`` tokens are compared whole; rows without an id come last; repeated rows lose the same
-lines; an empty table gives no rows. Only id and text are read for the search.
+of any length are generalised alike; rows without an id come last; repeated rows lose the same lines; an empty
+table gives no rows. Only id and text are read for the search.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from embedlake.llm import _text as T
 from embedlake.llm._work import Workspace, bounded_ids, fresh
 
-DEPTH, LEAST, LONGEST = 3, 8, 64
+DEPTH, LEAST = 3, 8
 SLICE = 2 << 20
 MINS, ALIKE, HELD = 64, 28, 100_000
 _MIX = np.random.default_rng(5).integers(1, 1 << 63, (2, MINS, 1), np.uint64) | np.uint64(1)
@@ -113,7 +114,7 @@ def _leaves(named: DataFrame) -> DataFrame:
 
 
 def _lines(named: DataFrame, kind: str, wanted: bytes) -> DataFrame:
-    """Lines whose leaf may recur: leaf, masked (its form's hash), prev, next (neighbours' hashes), tokens, _row, _id, line, content (beyond its run)."""
+    """Lines whose leaf may recur: leaf, masked (its form's hash), prev, next (neighbours' hashes), tokens (once for each form of a row), _row, _id, line, content (beyond its run)."""
     bits = len(wanted) * 8
 
     def of(tokens: list[bytes]) -> int:
@@ -129,12 +130,14 @@ def _lines(named: DataFrame, kind: str, wanted: bytes) -> DataFrame:
                 for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                     own = parse(raw[a:b])
                     held = [bool(keep[p[1] % bits >> 3] >> (p[1] % bits & 7) & 1) for p in own]
-                    rest = beyond([p[2] for p in own], held) if any(held) else []
+                    rest, had = beyond([p[2] for p in own], held) if any(held) else [], set()
                     for j, (line, leaf, tokens) in enumerate(own):
                         if held[j]:
                             tokens = form(tokens)
-                            text = b" ".join(tokens) if len(tokens) <= LONGEST else None
-                            rows.append((at + k, leaf, of(tokens), of(own[j - 1][2]) if j else 0, of(own[j + 1][2]) if j + 1 < len(own) else 0, text, line, rest[j]))
+                            own_form = of(tokens)
+                            text = None if (leaf, own_form) in had else b" ".join(tokens)
+                            had.add((leaf, own_form))
+                            rows.append((at + k, leaf, own_form, of(own[j - 1][2]) if j else 0, of(own[j + 1][2]) if j + 1 < len(own) else 0, text, line, rest[j]))
                 c = list(zip(*rows, strict=True)) or [[]] * 8
                 take = pa.array(c[0], pa.int64())
                 yield pa.RecordBatch.from_arrays(

@@ -122,6 +122,9 @@ def test_substring_random(spark):
         df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
         want = sorted((i, n, g, hashlib.sha256(kept).hexdigest()) for (i, _), (n, g, kept) in zip(texts, removed(texts, window), strict=True))
         assert sorted(tuple(r) for r in substring.removal_report(df, window).collect()) == want
+        # forced collisions of the sorting hash, and groups beyond memory
+        assert sorted(tuple(r) for r in substring.removal_report(df, window, bits=3).collect()) == want
+        assert sorted(tuple(r) for r in substring.removal_report(df, window, most=4).collect()) == want
 
 
 def test_lines(spark, docs, none):
@@ -160,6 +163,79 @@ def test_lines_of_banners(spark):
     assert {r["doc_id"]: r["n_dropped"] for r in lines.drop_report(df).collect()} == want
 
 
+def recurring(docs, least=8):
+    """Numbers of the lines that go, by document: the rules of the operator on lists, for contents that are equal or have nothing in common."""
+    digit = lambda t: "<*>" if any(c.isdigit() for c in t) else t
+    lines, leaf_docs = {}, {}
+    for i, text in docs:
+        own = [(k, x.split()) for k, x in enumerate(text.split("\n")) if x.split()]
+        lines[i] = [(k, (len(t), *map(digit, t[:3])), t) for k, t in own]
+        for leaf in {x[1] for x in lines[i]}:
+            leaf_docs[leaf] = leaf_docs.get(leaf, 0) + 1
+
+    def form(t):
+        masked = [digit(x) for x in t]
+        return tuple(masked) if 2 * masked.count("<*>") <= len(t) else tuple(t)
+
+    forms, places = {}, {}
+    for i, own in lines.items():
+        for leaf, f in {(leaf, form(t)) for _, leaf, t in own if leaf_docs[leaf] >= least}:
+            forms.setdefault(leaf, {}).setdefault(f, set()).add(i)
+    template = {}
+    for leaf, by in forms.items():
+        if len(by) > 1 and sum(map(len, by.values())) >= least:
+            for f in by:
+                t = tuple(x if sum(len(d) for g, d in by.items() if g[p] == x) >= least else "<*>" for p, x in enumerate(f))
+                template[leaf, f] = (leaf, t) if 2 * sum(x != "<*>" for x in t) >= len(t) else f
+    for i, own in lines.items():
+        held = [leaf_docs[x[1]] >= least for x in own]
+        for j, (k, leaf, t) in enumerate(own):
+            if held[j]:
+                a, b = j, j
+                while a and held[a - 1]:
+                    a -= 1
+                while b + 1 < len(own) and held[b + 1]:
+                    b += 1
+                rest = tuple(x for x in [tuple(map(tuple, (y[2] for y in own[:a]))), tuple(map(tuple, (y[2] for y in own[b + 1 :])))] if x) or tuple(tuple(y[2]) for y in own)
+                key = template.get((leaf, form(t)), form(t))
+                places.setdefault(key, []).append((i, k, own[j - 1][2] if j else None, own[j + 1][2] if j + 1 < len(own) else None, rest))
+    gone = {i: set() for i, _ in docs}
+    for at in places.values():
+        if len({p[0] for p in at}) < least:
+            continue
+        sides = all(len({str(p[s]) for p in at}) >= least for s in (2, 3))
+        if sides or len({p[4] for p in at}) >= least:
+            for i, k, *_ in at:
+                if (i, k) != min(p[:2] for p in at):
+                    gone[i].add(k)
+    return gone
+
+
+def test_lines_against_brute_force(spark):
+    rng = np.random.default_rng(17)
+    stock = [
+        "All rights reserved by the owner of this page", "Page 7 of 120", "Copyright 2019 some press and friends", "Read more about it here",
+        "one very long notice " + " ".join(f"clause{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(90)), "Posted by ada on a monday", "Posted by bob on a friday",
+    ]
+    docs = []
+    for k in range(90):
+        body = [" ".join(f"b{chr(97 + int(x) % 26)}{chr(97 + int(x) // 26 % 26)}{k:03d}x".replace("0", "o") for x in rng.integers(0, 676, 7)) for _ in range(4)]
+        body = ["".join(c if not c.isdigit() else chr(107 + int(c)) for c in x) for x in body]
+        for _ in range(int(rng.integers(0, 3))):
+            line = str(rng.choice(stock))
+            if line.startswith("Page"):
+                line = f"Page {k} of {int(rng.integers(1, 500))}"
+            body.insert(int(rng.integers(0, len(body) + 1)), line)
+        docs.append((k, "\n".join(body)))
+    docs += [(500, "\n".join(["a line that one document repeats"] * 12 + [f"a line that {w} document repeats" for w in ("no", "some", "every")])), (501, ""), (502, " \n ")]
+    want = recurring(docs)
+    assert sum(map(len, want.values())) > 30 and not want[500]
+    got = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["n_dropped"] for r in lines.drop_report(got).collect()} == {i: len(g) for i, g in want.items()}
+    kept = {r["doc_id"]: r["text"] for r in lines.drop_recurring(got).collect()}
+    assert all(kept[i] == ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) if t else t) for i, t in docs)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     center = rng.normal(size=(3, 8))

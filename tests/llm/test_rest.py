@@ -109,6 +109,60 @@ def test_marginals_equal_the_full_chain():
     assert np.allclose(got, full[at])
 
 
+def test_gradient_is_that_of_the_chain():
+    """Expected less observed counts against finite differences of the likelihood of a chain over all tokens."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    own = [np.where(rng.random(n) < 0.5, rng.normal(size=n), 0.0) for n in (8, 1, 12, 5)] + [np.zeros(4)]
+    labels = [(x != 0) & (rng.random(len(x)) < 0.6) for x in own]
+
+    def loss(t):
+        bias, enter, leave, stay = t[:4]
+        step, total, k = np.exp([[0, enter], [leave, stay]]), 0.0, 4
+        for x, y in zip(own, labels, strict=True):
+            a, path, last = np.array([1.0, 0.0]), 0.0, 0
+            for u, state in zip(x, y, strict=True):
+                if u:
+                    u, k = t[k], k + 1
+                a = a @ step * np.exp([0, u + bias])
+                path += np.log(step[last, int(state)]) + int(state) * (u + bias)
+                last = int(state)
+            total += np.log(a.sum()) - path
+        return total
+
+    theta = np.concatenate([[-1.3, -0.7, 0.2, 0.9], *[x[x != 0] for x in own]])
+    slope = [(loss(theta + e) - loss(theta - e)) / 2e-5 for e in np.eye(len(theta)) * 1e-5]
+    some = [x for x in own if x.any()]
+    at = [np.flatnonzero(x) for x in some]
+    first = np.append(0, np.cumsum([len(a) for a in at]))
+    gaps = np.concatenate([np.diff(a, prepend=-1) - 1 for a in at])
+    tail = np.array([len(x) - a[-1] - 1 for x, a in zip(some, at, strict=True)])
+    y = np.concatenate([v[a] for v, a in zip([v for x, v in zip(own, labels, strict=True) if x.any()], at, strict=True)])
+    m = toxicity.Model(bias=-1.3, enter=-0.7, leave=0.2, stay=0.9)
+    bare = np.array([len(x) for x in own if not x.any()])
+    p, counts = toxicity.expected(m, np.concatenate([x[a] for x, a in zip(some, at, strict=True)]), gaps, tail, first, bare)
+    assert np.allclose(np.concatenate([counts - toxicity.observed(y, gaps, tail, first), p - y]), slope, atol=1e-6)
+
+
+def test_words_end_alike_in_training_and_scoring():
+    """White space of any script, and offsets in code points."""
+    import numpy as np
+
+    from embedlake.llm import _text as T
+
+    blanks = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]
+    text = "".join(f"wört{k}{b}" for k, b in enumerate(blanks)) + "\ufeff\u200bend"
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = T.words(toxicity._plain_blanks(data), np.array([0, len(data)]))
+    assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)] == text.split()
+    model = toxicity.Model({"vile": 6.0}, -3.0, -1.0, 0.0, 1.0, (-4.0, 1.0, 8.0))
+    texts = ["nice vile here", "nice\u3000vile\u3000here", "é🐢 \u2003vile " + "plain " * 30_000 + "vile"]
+    raw = [t.encode() for t in texts]
+    score, spans = toxicity.Scorer(model).run(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])), True)
+    assert score[0] == score[1] and [[t[s["start"] : s["end"]] for s in own] for t, own in zip(texts, spans, strict=True)] == [["vile"], ["vile"], ["vile", "vile"]]
+
+
 def test_toxicity_query(spark, docs, none):
     got = queries.op8_toxicity(spark, D).collect()
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{D}/labels.parquet").collect()}
