@@ -8,14 +8,15 @@ texts; the cuts are proved at ``cuts_bpe`` and ``cuts_piece``.
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Callable
 
 import numpy as np
 
 from embedlake.llm import _text as T
 
-#: Encoded segments that a worker keeps; beyond it the table starts anew.
-KEEP_SEGMENTS = 400_000
+#: Bytes of the table of encoded segments that a worker keeps; beyond it the table starts anew.
+KEEP_BYTES = 16 << 20
 #: Text bytes handled at once.
 SLICE = 2 << 20
 
@@ -50,6 +51,21 @@ def cuts_piece(data: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Grown:
+    """An array that grows at its end; its room doubles."""
+
+    def __init__(self, kind: type):
+        self.data, self.n = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.data):
+            data = np.zeros(max(2 * len(self.data), self.n + len(more)), self.data.dtype)
+            data[: self.n] = self.data[: self.n]
+            self.data = data
+        self.data[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Coder:
     """``encode`` gets a list of distinct strings and gives a list of id lists (or of counts)."""
 
@@ -58,8 +74,11 @@ class Coder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and where their segment's entry is
+        self.size, self.start, self.ids = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint32)
+
+    def bytes(self) -> int:
+        return self.keys.nbytes + self.at.nbytes + sum(x.n * x.data.itemsize for x in (self.size, self.start, self.ids))
 
     def _segments(self, data: np.ndarray, offsets: np.ndarray):
         cut = self.cuts(data)
@@ -77,34 +96,37 @@ class Coder:
 
     def _index(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         key, first, back = np.unique(T.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys, get = key.tolist(), self.at.get
-        found = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(found < 0)
+        place = np.searchsorted(self.keys, key)
+        known = np.zeros(len(key), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(place, len(self.keys) - 1)] == key
+        found = np.empty(len(key), np.int64)
+        found[known] = self.at[place[known]]
+        new = np.flatnonzero(~known)
         if len(new):
             raw, s, e = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
             got = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
-            base = len(self.size)
+            base = self.size.n
             if self.counts:
                 size = np.array(got, np.int64)
             else:
                 size = np.fromiter(map(len, got), np.int64, len(got))
-                flat = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
-                self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
-                self.ids = np.append(self.ids, flat)
-            self.size = np.append(self.size, size)
+                self.start.add(self.ids.n + np.cumsum(size) - size)
+                self.ids.add(np.fromiter((i for g in got for i in g), np.uint32, int(size.sum())))
+            self.size.add(size)
             found[new] = np.arange(base, base + len(new))
-            self.at.update((keys[i], base + k) for k, i in enumerate(new.tolist()))
+            self.keys, self.at = np.insert(self.keys, place[new], key[new]), np.insert(self.at, place[new], found[new])
         return found[back]
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each row."""
         total = np.zeros(len(offsets), np.int64)
         if len(data):
-            if len(self.size) > KEEP_SEGMENTS:
+            if self.bytes() > KEEP_BYTES:
                 self.clear()
             starts, inner, ends = self._segments(data, offsets)
             seg = self._index(data, inner, ends)
-            run = np.append(0, np.cumsum(self.size[seg]))
+            run = np.append(0, np.cumsum(self.size.data[seg]))
             total = run[np.searchsorted(starts, offsets)]
         return np.diff(total)
 
@@ -112,14 +134,14 @@ class Coder:
         """Ids of all rows, and where each row's begin (with a closing entry)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if len(self.size) > KEEP_SEGMENTS:
+        if self.bytes() > KEEP_BYTES:
             self.clear()
         starts, inner, ends = self._segments(data, offsets)
         seg = self._index(data, inner, ends)
-        size = self.size[seg]
+        size = self.size.data[seg]
         run = np.append(0, np.cumsum(size))
-        where = np.repeat(self.start[seg] - run[:-1], size) + np.arange(run[-1])
-        return self.ids[where], run[np.searchsorted(starts, offsets)]
+        where = np.repeat(self.start.data[seg] - run[:-1], size) + np.arange(run[-1])
+        return self.ids.data[where], run[np.searchsorted(starts, offsets)]
 
 
 _kept: dict[tuple, Coder] = {}
@@ -188,6 +210,7 @@ def _as_ranks(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, added
 
 
+@functools.lru_cache(maxsize=1)
 def encoding(path: str):
     """The tiktoken encoding of a rank file, with the public pattern and no special tokens."""
     import public_tokenizers

@@ -23,14 +23,14 @@ from embedlake.llm import _segments as S
 from embedlake.llm import _text as T
 
 #: Bytes of text, and ids, of a leaf.
-LEAF_BYTES, LEAF_IDS = 8192, 4096
+LEAF_BYTES, LEAF_IDS = 1024, 4096
 
 
 class Tree:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, path: str, leaf_bytes: int = LEAF_BYTES):
-        self.coder, self.encoding, self.leaf = S.coder("tiktoken", path), S.encoding(path), max(leaf_bytes, 8)
+        self.coder, self.encoding, self.leaf = S.coder("tiktoken", path), S.encoding(path), max(leaf_bytes, 8)  # one encoding, kept by path
         size = np.zeros(self.encoding.n_vocab, np.int64)
         for token in self.encoding.token_byte_values():
             size[self.encoding.encode_single_token(token)] = len(token)

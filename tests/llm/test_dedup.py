@@ -258,10 +258,25 @@ def test_vectors(spark):
     assert embed_join.near_vectors(df.where("false")).count() == 0
 
 
-def test_vectors_by_cells(spark, monkeypatch):
-    """Small cells and blocks give the same links."""
+def test_vectors_by_cells(spark):
+    """Small cells of both kinds and small blocks give the same links; names of other columns don't matter."""
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    for name in ("uid", "dim", "cell", "home", "_id", "n_links"):
+        df = df.withColumn(name, embed_join.F.lit("x"))
     want = {tuple(r) for r in embed_join.near_vectors(df).collect()}
-    monkeypatch.setattr(embed_join, "CELL", 10)
-    monkeypatch.setattr(embed_join, "BLOCK", 7)
-    assert {tuple(r) for r in embed_join.near_vectors(df).collect()} == want and "op10_embedding_near_dedup" in queries.ORACLE_SQL
+    assert "op10_embedding_near_dedup" in queries.ORACLE_SQL and len(want) == df.count()
+    for split in ({"cell": 10}, {"cell": 10, "block": 7, "inner": 2}, {"inner": 4}, {"block": 5}):
+        assert {tuple(r) for r in embed_join.near_vectors(df, **split).collect()} == want
+
+
+def test_inner_cells_lose_no_pair():
+    rng = np.random.default_rng(8)
+    center = rng.normal(size=(30, 6))
+    x = center[rng.integers(0, 30, 900)] + rng.normal(size=(900, 6)) * 0.2
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    want = {tuple(p) for p in np.argwhere(x @ x.T >= 0.93).tolist()}
+    got, made = set(), 0
+    for a, b, hit in embed_join.compared(x, x, 0.93, 20):
+        got |= {(int(a[i]), int(b[j])) for i, j in np.argwhere(hit)}
+        made += hit.size
+    assert got == want and made < 0.7 * len(x) ** 2
