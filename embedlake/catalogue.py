@@ -171,46 +171,30 @@ def emb_column_dest(spark, d):
     return with_column(docs, new, ["doc_id"], "emb").select("doc_id", "lang", F.round(F.col("emb")[0].cast("double"), 4).alias("e0"))
 
 
-#: Greedy words of at most 80 characters; lines are kept together by a control character.
+#: Greedy words of at most 80 characters. A chunk is a run of words; only lengths go through the reduction.
 CHUNK_SQL = """
-    WITH w AS (SELECT doc_id, lang, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL AND length(text) < 2000),
-    c AS (SELECT doc_id, lang, string_split(list_reduce(ws, lambda acc, x: CASE WHEN length(list_last(string_split(acc, chr(1)))) + 1 + length(x) <= 80 THEN acc || ' ' || x ELSE acc || chr(1) || x END), chr(1)) AS cs FROM w WHERE len(ws) > 0),
-    u AS (SELECT doc_id, lang, unnest(cs) AS raw, unnest(range(len(cs))) AS seq FROM c),
-    t AS (SELECT doc_id, lang, seq, regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '') AS chunk FROM u)
+    WITH w AS (SELECT doc_id, lang, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, lang, ws, list_transform(ws, lambda x: {'n': length(x), 'first': []::BIGINT[]}) AS ls FROM w WHERE len(ws) > 0),
+    r AS (SELECT doc_id, lang, ws, list_reduce(list_transform(ls, lambda x, i: {'n': x.n, 'first': [i]}), lambda acc, x:
+        CASE WHEN acc.n + 1 + x.n <= 80 THEN {'n': acc.n + 1 + x.n, 'first': acc.first} ELSE {'n': x.n, 'first': list_concat(acc.first, x.first)} END) AS acc FROM l),
+    u AS (SELECT doc_id, lang, ws, acc.first AS starts, unnest(range(1, len(acc.first) + 1)) AS k FROM r),
+    c AS (SELECT doc_id, lang, k AS seq, array_to_string(ws[starts[k] : CASE WHEN k < len(starts) THEN starts[k + 1] - 1 ELSE len(ws) END], ' ') AS raw FROM u),
+    t AS (SELECT doc_id, lang, seq, regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '') AS chunk FROM c)
 """
 
 
-def _short_chunks(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").where("length(text) < 2000")
-    return chunk.explode_chunks(docs, "text", "character_text_splitter", chunk_size=80, chunk_overlap=0, separator=" ")
+def _word_chunks(spark, d) -> DataFrame:
+    return chunk.explode_chunks(table(spark, d, "documents"), "text", "character_text_splitter", chunk_size=80, chunk_overlap=0, separator=" ")
 
 
 @query(CHUNK_SQL + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1)::INT AS chunk_seq, chunk FROM t WHERE chunk <> ''")
 def chunk_char_words(spark, d):
-    return _short_chunks(spark, d).select("doc_id", "chunk_seq", "chunk")
+    return _word_chunks(spark, d).select("doc_id", "chunk_seq", "chunk")
 
 
 @query(CHUNK_SQL + "SELECT lang, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, max(length(chunk)) AS longest FROM t WHERE chunk <> '' GROUP BY lang")
 def chunk_counts_by_lang(spark, d):
-    return _short_chunks(spark, d).groupBy("lang").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.max(F.length("chunk")).cast("bigint").alias("longest"))
-
-
-#: The same over texts of any length.
-CHUNK_WHOLE_SQL = CHUNK_SQL.replace(" AND length(text) < 2000", "")
-
-
-def _whole_chunks(spark, d) -> DataFrame:
-    return chunk.explode_chunks(table(spark, d, "documents"), "text", "character_text_splitter", chunk_size=80, chunk_overlap=0, separator=" ")
-
-
-@query(CHUNK_WHOLE_SQL + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1)::INT AS chunk_seq, chunk FROM t WHERE chunk <> ''")
-def chunk_char_words_whole(spark, d):
-    return _whole_chunks(spark, d).select("doc_id", "chunk_seq", "chunk")
-
-
-@query(CHUNK_WHOLE_SQL + "SELECT lang, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, max(length(chunk)) AS longest FROM t WHERE chunk <> '' GROUP BY lang")
-def chunk_counts_by_lang_whole(spark, d):
-    return _whole_chunks(spark, d).groupBy("lang").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.max(F.length("chunk")).cast("bigint").alias("longest"))
+    return _word_chunks(spark, d).groupBy("lang").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.max(F.length("chunk")).cast("bigint").alias("longest"))
 
 
 @query()
@@ -422,18 +406,15 @@ def events_window(spark, d):
     return out.select(F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("""
-    WITH e AS (SELECT * FROM (VALUES ('the', 'WORD'), ('thea', 'LONG')) t(name, type))
-    SELECT item_id, regexp_replace(regexp_replace(text, '(?i)\\bthea\\b', '[LONG]', 'g'), '(?i)\\bthe\\b', '[WORD]', 'g') AS text FROM benchmark WHERE NOT regexp_matches(text, '[^ -~\\n]')""")
-def anonymize_entities(spark, d):
-    found = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in (("the", "WORD"), ("thea", "LONG"))])
-    b = table(spark, d, "benchmark").where(~F.col("text").rlike(r"[^ -~\n]")).withColumn("entities", found)
-    return b.select("item_id", models.anonymize(b, "text", "entities").alias("text"))
+#: A word in any case between characters of no word; two words can share the one between them, so it is applied twice.
+_WHOLE = r"'(?i)(^|[^\p{L}\p{M}\p{N}_])%s($|[^\p{L}\p{M}\p{N}_])', '\1[%s]\2', 'g')"
+ANONYMIZE_SQL = "text"
+for _name, _kind in (("thea", "LONG"), ("thea", "LONG"), ("the", "WORD"), ("the", "WORD")):
+    ANONYMIZE_SQL = f"regexp_replace({ANONYMIZE_SQL}, {_WHOLE % (_name, _kind)}"
 
 
-@query()
-def anonymize_entities_whole(spark, d):
-    """The same over all rows, in any script; a scan by hand checks it in the tests."""
+@query(f"SELECT item_id, {ANONYMIZE_SQL} AS text FROM benchmark")
+def anonymize_entities(spark, d):
     found = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in (("the", "WORD"), ("thea", "LONG"))])
     b = table(spark, d, "benchmark").withColumn("entities", found)
     return b.select("item_id", models.anonymize(b, "text", "entities").alias("text"))

@@ -74,9 +74,9 @@ def test_registered_chunks_of_whole_table(spark):
     d = "/root/testdata/sf0.001"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").where("text is not null").collect()}
     got = {}
-    for r in QUERIES["chunk_char_words_whole"](spark, d).orderBy("doc_id", "chunk_seq").collect():
+    for r in QUERIES["chunk_char_words"](spark, d).orderBy("doc_id", "chunk_seq").collect():
         got.setdefault(r["doc_id"], []).append(r["chunk"])
     assert any(len(t) >= 2000 for t in texts.values())
     assert set(got) == {i for i, t in texts.items() if t.strip()}
     assert all("".join("".join(got[i]).split()) == "".join(t.split()) for i, t in texts.items() if t.strip())
-    assert sum(r["n_docs"] for r in QUERIES["chunk_counts_by_lang_whole"](spark, d).collect()) == len(got)
+    assert sum(r["n_docs"] for r in QUERIES["chunk_counts_by_lang"](spark, d).collect()) == len(got)

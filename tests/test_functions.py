@@ -142,7 +142,7 @@ def test_anonymize_any_script(spark):
     assert got == ["[WORD] éthe theé thé [WORD]", "[PREP] [PREP] überall", "thë the\u0301 [WORD]", "中the the中 «[WORD]»", None]
     d = "/root/testdata/sf0.1"
     want = {r["item_id"]: r["text"] and by_hand(r["text"], {"thea": "LONG", "the": "WORD"}) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
-    assert {r["item_id"]: r["text"] for r in QUERIES["anonymize_entities_whole"](spark, d).collect()} == want
+    assert {r["item_id"]: r["text"] for r in QUERIES["anonymize_entities"](spark, d).collect()} == want
     assert len(want) == 200
 
 
