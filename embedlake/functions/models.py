@@ -23,12 +23,14 @@ TASKS = {
 }
 
 
-def embed(text: Column | str, config: dict) -> Column:
-    """Vectors of a text column; null for null text."""
+def embed(text: Column | str, config: dict, most: int | None = None) -> Column:
+    """Vectors of a text column; null for null text. ``most``: texts of a request at most, if its provider takes as many."""
 
     @F.arrow_udf("array<float>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         source, within = P.provider(config), P.limits(config)
+        if most:
+            within = P.Limits(min(most, within.chunks), within.tokens)
         for batch in batches:
             texts = batch.to_pylist()
             some = [t for t in texts if t is not None]
@@ -157,12 +159,30 @@ def register(spark: SparkSession) -> None:
 
 
 def _sql_embed(kind: str):
-    def run(model: str, text: str, dimensions: int):
-        return P.provider({"implementation": kind, "model": model, "dimensions": dimensions}).embed([text])[0] if text is not None else None
+    """Texts of an Arrow batch with the same model go in requests within the provider's limits."""
 
-    return F.udf(run, "array<double>")
+    def run(model: pa.Array, text: pa.Array, dimensions: pa.Array) -> pa.Array:
+        rows = list(zip(model.to_pylist(), dimensions.to_pylist(), text.to_pylist(), strict=True))
+        out: list = [None] * len(rows)
+        for m, n in dict.fromkeys((m, n) for m, n, t in rows if t is not None):
+            own = [k for k, r in enumerate(rows) if r[:2] == (m, n) and r[2] is not None]
+            config = {"implementation": kind, "model": m, "dimensions": n}
+            for k, v in zip(own, P.embed_batches(P.provider(config), [rows[k][2] for k in own], P.limits(config | {"model": m or ""})), strict=True):
+                out[k] = [float(x) for x in v]
+        return pa.array(out, pa.list_(pa.float64()))
+
+    run.__annotations__ = {"model": pa.Array, "text": pa.Array, "dimensions": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<double>")
 
 
 def _sql_call(kind: str, task: str):
+    """A request a row, as the interface has it; the provider is made once a batch, and equal requests are sent once."""
     name = {"chat_complete": "chat"}.get(task, task)
-    return F.udf(lambda request: None if request is None else json.dumps(P.provider({"implementation": kind}).call(name, json.loads(request))), "string")
+
+    def run(request: pa.Array) -> pa.Array:
+        source, rows = P.provider({"implementation": kind}), request.to_pylist()
+        answers = {r: json.dumps(source.call(name, json.loads(r))) for r in dict.fromkeys(rows) if r is not None}
+        return pa.array([answers.get(r) for r in rows], pa.string())
+
+    run.__annotations__ = {"request": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string")

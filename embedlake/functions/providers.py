@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -39,6 +40,39 @@ VOYAGE_TOKENS = {"voyage-3.5-lite": 1_000_000, "voyage-3-lite": 1_000_000, "voya
 UNKNOWN = Limits(5)
 #: Tokens that an OpenAI embedding model takes of a text.
 OPENAI_CONTEXT = 8191
+#: How rank files of such models cut texts before merging; a fixed value.
+SPLIT_PATTERN = r"""(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"""
+
+
+@functools.lru_cache(maxsize=8)
+def truncation(model: str | None, tokenizer: str | None, most: int):
+    """A function that cuts a text to at most ``most`` tokens of the model.
+
+    ``tokenizer`` is a rank file; without one the model's own encoding is asked for. Where that can't be had, a
+    text is cut to ``most`` bytes, which are never more tokens than that.
+    """
+    import tiktoken
+
+    coder = None
+    try:
+        if tokenizer:
+            from tiktoken.load import load_tiktoken_bpe
+
+            coder = tiktoken.Encoding("own", pat_str=SPLIT_PATTERN, mergeable_ranks=load_tiktoken_bpe(tokenizer), special_tokens={})
+        elif model:
+            coder = tiktoken.encoding_for_model(model)
+    except Exception:  # no such model, or no network
+        coder = None
+
+    def cut(text: str) -> str:
+        if len(text.encode()) <= most:
+            return text
+        if coder is None:
+            return text.encode()[:most].decode("utf-8", "ignore")
+        ids = coder.encode_ordinary(text)
+        return text if len(ids) <= most else coder.decode_bytes(ids[:most]).decode("utf-8", "ignore")
+
+    return cut
 
 
 def limits(config: dict) -> Limits:
@@ -153,6 +187,9 @@ class HttpProvider:
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
         c = self.config
+        if self.kind == "openai":
+            cut = truncation(c.get("model"), c.get("tokenizer"), OPENAI_CONTEXT)
+            texts = [cut(t) for t in texts]
         request: dict[str, Any] = {"model": c.get("model"), "input": list(texts)}
         if self.kind == "cohere":
             request = {"model": c.get("model"), "texts": list(texts), "input_type": c.get("input_type")}

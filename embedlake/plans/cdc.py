@@ -20,6 +20,23 @@ def diff(old: DataFrame, new: DataFrame, keys: Sequence[str], ignore: Sequence[s
     return a.join(b, list(keys), "full_outer").select(*keys, op.alias("op"))
 
 
+def state_of(rows: DataFrame, keys: Sequence[str], ignore: Sequence[str] = ()) -> DataFrame:
+    """The keys with two hashes of the row (128 bits), which stand for it in later comparisons."""
+    cols = [c for c in rows.columns if c not in keys and c not in ignore]
+    kinds = dict(rows.dtypes)
+    each = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kinds[c] else F.col(f"`{c}`") for c in cols]
+    parts = [*each, *[F.col(f"`{c}`").isNull() for c in cols]] or [F.lit(0)]  # hashes pass over nulls
+    return rows.select(*keys, F.xxhash64(*parts).alias("_h1"), F.xxhash64(F.lit("again"), *parts).alias("_h2"))
+
+
+def diff_state(state: DataFrame, rows: DataFrame, keys: Sequence[str], ignore: Sequence[str] = ()) -> DataFrame:
+    """(keys, op, _h1, _h2): as ``diff``, against the hashes that ``state_of`` gave."""
+    a = state.select(*keys, F.struct("_h1", "_h2").alias("_old"))
+    b = state_of(rows, keys, ignore).select(*keys, F.struct("_h1", "_h2").alias("_new"))
+    op = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(F.col("_old") == F.col("_new"), "same").otherwise("update")
+    return a.join(b, list(keys), "full_outer").select(*keys, op.alias("op"), F.col("_new._h1").alias("_h1"), F.col("_new._h2").alias("_h2"))
+
+
 def latest(changes: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The last change of each key."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(o) if isinstance(o, str) else o for o in order])

@@ -38,7 +38,8 @@ def plan(df: DataFrame, config: dict) -> DataFrame:
     ready = cut.select(*keys, "chunk_seq", "chunk", text.alias("_text"))
     if width:
         ready = ready.repartition(width)  # at most so many requests at a time
-    return ready.select(*keys, "chunk_seq", "chunk", embed("_text", config["embedding"]).alias("embedding"))
+    most = config["processing"].get("batch_size")
+    return ready.select(*keys, "chunk_seq", "chunk", embed("_text", config["embedding"], most).alias("embedding"))
 
 
 def failures(df: DataFrame, config: dict) -> DataFrame:
@@ -61,7 +62,11 @@ def with_column(source: DataFrame, vectors: DataFrame, keys: list[str], column:
 
 @dataclass
 class Pipeline:
-    """A configuration with its tables below ``path``: store, queue, dead, errors, progress, source state."""
+    """A configuration with its tables below ``path``: store, queue, dead, errors, progress, source state.
+
+    The state holds keys and hashes of rows. With a column for destination, ``target`` holds the source's rows
+    with that column.
+    """
 
     spark: SparkSession
     config: dict
@@ -86,7 +91,11 @@ class Pipeline:
         """Compute the whole store anew."""
         self.validate(source)
         self._write(source, self._keys(source), None, first=True)
-        self.table("state").write(source)
+        self.table("state").write(cdc.state_of(source, self.config["keys"], self._ignored()), keys=self.config["keys"])
+
+    def _ignored(self) -> list[str]:
+        own = self.config["destination"].get("embedding_column")
+        return [own] if own else []
 
     def run(self, source: DataFrame, now=None, batch: int | None = None) -> dict:
         """Bring the store in step with ``source``: new and changed rows are embedded, deleted ones go, due ones are tried again."""
@@ -94,11 +103,10 @@ class Pipeline:
             return {"insert": 0, "update": 0, "delete": 0, "retried": 0}
         self.validate(source)
         keys, state = self.config["keys"], self.table("state")
-        own = self.config["destination"].get("embedding_column")
         if state.exists():
-            ops = cdc.diff(state.read(), source, keys, [own] if own else []).where("op <> 'same'").persist()
+            ops = cdc.diff_state(state.read(), source, keys, self._ignored()).where("op <> 'same'").persist()
         else:
-            ops = self._keys(source).withColumn("op", F.lit("insert")).persist()
+            ops = cdc.state_of(source, keys, self._ignored()).withColumn("op", F.lit("insert")).persist()
         counts = {r["op"]: r["count"] for r in ops.groupBy("op").count().collect()}
         queue = self._queue()
         due = cdc.claim(queue, keys, now) if queue is not None else None
@@ -111,7 +119,7 @@ class Pipeline:
             retries = retries.unionByName(again.select(*keys, F.col("loading_retries").cast("int")))
         if counts or retried:
             self._write(source, retries, self._keys(ops.where("op = 'delete'")), now, batch)
-            state.write(source, batch)
+            state.upsert(ops.where("op <> 'delete'").select(*keys, "_h1", "_h2"), keys, ops.select(*keys), batch)
         ops.unpersist()
         return {"insert": 0, "update": 0, "delete": 0} | counts | {"retried": retried}
 
@@ -122,17 +130,21 @@ class Pipeline:
         bad = failures(rows, self.config).persist() if uri else None
         try:
             new = plan(rows, self.config)
-            out = new if gone is None else new
             store = self.table("store")
+            # rows without chunks lose their old ones too
+            drop = work.select(*keys) if gone is None else work.select(*keys).unionByName(gone.select(*keys))
             if first:
-                store.write(out, batch)
+                store.write(new, batch, keys)
             else:
-                # rows without chunks lose their old ones too
-                drop = work.select(*keys) if gone is None else work.select(*keys).unionByName(gone.select(*keys))
-                if store.exists():
-                    store.upsert(out, keys, drop, batch)
+                store.upsert(new, keys, drop, batch)
+            column = self.config["destination"].get("embedding_column")
+            if column:
+                own = with_column(rows, store.read().where("chunk_seq = 0"), keys, column)
+                target = self.table("target")
+                if first:
+                    target.write(own, batch, keys)
                 else:
-                    store.write(out, batch)
+                    target.upsert(own, keys, drop, batch)
             self._progress(work.count(), 0, None)
         except Exception as e:
             self._error("vectorizer failed with unexpected error", {"error_reason": str(e)[:2000]})

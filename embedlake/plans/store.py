@@ -1,4 +1,9 @@
-"""Versioned Parquet tables: a version a folder, and a pointer that a rename replaces. One writer a table."""
+"""Versioned Parquet tables: folders of files, and a pointer to those that count, which a rename replaces. One writer a table.
+
+A table with keys is laid out in buckets of their hash: an upsert rewrites the buckets that it touches and no
+other. A table without keys takes appends as further folders, which are put together when they get many.
+What a change replaces stays readable until the next change.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,10 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Buckets of a keyed table, and folders of one without keys before they are put together.
+BUCKETS, PARTS = 64, 32
 
 
 class Table:
@@ -28,29 +37,46 @@ class Table:
     def exists(self) -> bool:
         return self._pointer() is not None
 
+    def _read(self, parts: list[str], schema) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in parts])
+
     def read(self) -> DataFrame:
         p = self._pointer()
         if p is None:
             raise FileNotFoundError(self.path)
+        return self._read(list(p["parts"].values()), self._schema(p))
+
+    @staticmethod
+    def _schema(pointer: dict):
         from pyspark.sql.types import StructType
 
-        return self.spark.read.schema(StructType.fromJson(p["schema"])).parquet(f"{self.path}/{p['version']}")
+        return StructType.fromJson(pointer["schema"])
 
     def batch(self) -> int | None:
         """The last batch that was written, for writers that may run again."""
         p = self._pointer()
         return p and p.get("batch")
 
-    def write(self, df: DataFrame, batch: int | None = None, keep: int = 2) -> None:
-        """A new version; older ones than the last ``keep`` go."""
-        old = self._pointer()
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        past = ([old["version"], *old.get("past", [])] if old else [])
-        now = {"version": version, "batch": batch, "past": past[: keep - 1], "schema": json.loads(df.schema.json())}
-        work, name = self._path(f"{self.path}/_current.{version}"), self._path(f"{self.path}/_current")
+    def _bucket(self, keys: list[str], buckets: int):
+        return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+    def _lay(self, df: DataFrame, keys: list[str] | None, buckets: int) -> dict[str, str]:
+        """Write ``df`` to a folder of its own; the parts by bucket, or one part."""
+        folder = f"v-{uuid.uuid4().hex}"
+        if not keys:
+            df.write.parquet(f"{self.path}/{folder}")
+            return {folder: folder}
+        df.withColumn("_bucket", self._bucket(keys, buckets)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}"))]
+        return {n.partition("=")[2]: f"{folder}/{n}" for n in names if n.startswith("_bucket=")}
+
+    def _publish(self, old: dict | None, now: dict, gone: list[str]) -> None:
+        """Replace the pointer; then delete what the change before had replaced."""
+        work, name = self._path(f"{self.path}/_current.{uuid.uuid4().hex}"), self._path(f"{self.path}/_current")
         out = self._fs.create(work, True)
-        out.write(bytearray(json.dumps(now).encode()))
+        out.write(bytearray(json.dumps(now | {"gone": gone}).encode()))
         out.close()
         fs, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
         kind = getattr(fs, "Options$Rename")
@@ -58,22 +84,48 @@ class Table:
         over[0] = kind.OVERWRITE
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         fs.FileContext.getFileContext(self._fs.getUri(), conf).rename(self._fs.makeQualified(work), self._fs.makeQualified(name), over)
-        for gone in past[keep - 1 :]:
-            self._fs.delete(self._path(f"{self.path}/{gone}"), True)
+        for part in (old or {}).get("gone", []):
+            self._fs.delete(self._path(f"{self.path}/{part}"), True)
+
+    def write(self, df: DataFrame, batch: int | None = None, keys: list[str] | None = None) -> None:
+        """All rows anew, in buckets of ``keys`` if there are any."""
+        old = self._pointer()
+        parts = self._lay(df, keys, BUCKETS)
+        now = {"keys": keys, "buckets": BUCKETS, "parts": parts, "batch": batch, "schema": json.loads(df.schema.json())}
+        self._publish(old, now, list(old["parts"].values()) if old else [])
 
     def append(self, df: DataFrame) -> None:
-        self.write(self.read().unionByName(df) if self.exists() else df)
+        old = self._pointer()
+        if old is None or old["keys"] or len(old["parts"]) >= PARTS:
+            return self.write(self.read().unionByName(df) if old else df, keys=old and old["keys"])
+        self._publish(old, {k: v for k, v in old.items() if k != "gone"} | {"parts": old["parts"] | self._lay(df, None, 0)}, [])
 
     def upsert(self, new: DataFrame, keys: list[str], gone: DataFrame | None = None, batch: int | None = None) -> None:
-        """Replace all rows of the keys in ``new`` and in ``gone`` by those of ``new``."""
-        if batch is not None and self.batch() == batch:
+        """Replace all rows of the keys in ``new`` and in ``gone`` by those of ``new``, which is worked out once."""
+        p = self._pointer()
+        if p is not None and batch is not None and p.get("batch") == batch:
             return
-        if not self.exists():
-            return self.write(new, batch)
-        out_keys = new.select(*keys) if gone is None else new.select(*keys).unionByName(gone.select(*keys))
-        old = self.read()
-        same = [old[k].eqNullSafe(out_keys[k]) for k in keys]
-        on = same[0]
-        for s in same[1:]:
-            on = on & s
-        self.write(old.join(out_keys.distinct(), on, "left_anti").unionByName(new), batch)
+        if p is None:
+            return self.write(new, batch, keys)
+        if p["keys"] != keys:  # another layout
+            self.write(self.read(), p.get("batch"), keys)
+            p = self._pointer()
+        schema, names = self._schema(p), self._schema(p).names
+        staged = self._lay(new.select(*names), keys, p["buckets"])
+        rows = self._read(list(staged.values()), schema)
+        out_keys = rows.select(*keys) if gone is None else rows.select(*keys).unionByName(gone.select(*keys))
+        touched = set(staged)
+        if gone is not None:
+            touched |= {str(r[0]) for r in gone.select(self._bucket(keys, p["buckets"])).distinct().collect()}  # a row a bucket at most
+        before = {b: f for b, f in p["parts"].items() if b in touched}
+        kept = {b: f for b, f in p["parts"].items() if b not in touched}
+        replaced = list(before.values())
+        if before:
+            old = self._read(list(before.values()), schema)
+            same = [old[k].eqNullSafe(out_keys[k]) for k in keys]
+            on = same[0]
+            for s in same[1:]:
+                on = on & s
+            replaced += list(staged.values())
+            staged = self._lay(old.join(out_keys.distinct(), on, "left_anti").unionByName(rows), keys, p["buckets"])
+        self._publish(p, {"keys": keys, "buckets": p["buckets"], "parts": kept | staged, "batch": batch, "schema": p["schema"]}, replaced)

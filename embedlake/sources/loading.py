@@ -137,7 +137,7 @@ def payload(df: DataFrame, loading: dict, parsing: dict) -> DataFrame:
                 if loading["implementation"] == "uri":
                     path = v
                     try:
-                        v = open_uri(v)
+                        v = open_uri(v, loading.get("aws_role_arn"))
                     except Exception as e:  # the row is retried later
                         out.append({"text": None, "error": f"{type(e).__name__}: {e}"})
                         continue
@@ -147,10 +147,14 @@ def payload(df: DataFrame, loading: dict, parsing: dict) -> DataFrame:
     return df.withColumn("_read", read(column)).withColumn("_payload", F.col("_read.text")).withColumn("_load_error", F.col("_read.error")).drop("_read")
 
 
-def open_uri(uri: str) -> bytes:
-    """Bytes behind a URI: local paths and every scheme that Arrow's file systems know."""
+def open_uri(uri: str, role: str | None = None) -> bytes:
+    """Bytes behind a URI: local paths and every scheme that Arrow's file systems know. ``role`` is taken on for S3."""
     from pyarrow import fs
 
+    if role and uri.startswith(("s3://", "s3a://")):
+        with fs.S3FileSystem(role_arn=role, session_name="embedlake").open_input_stream(uri.partition("://")[2], compression=None) as f:
+            return f.read()
+
     if "://" not in uri:
         with open(uri, "rb") as f:
             return f.read()

@@ -40,6 +40,46 @@ def test_limits():
     assert providers.api_key("openai", None, "MINE", {"MINE": "k", "OPENAI_API_KEY": "o"}) == "k"
 
 
+def test_long_texts_are_cut_for_openai():
+    """Requests to a local server: no text is longer than the model takes."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    import public_tokenizers
+    import tiktoken
+
+    seen = []
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, asked, self.headers["Authorization"]))
+            body = json.dumps({"data": [{"index": k, "embedding": [float(len(t)), 0.0]} for k, t in enumerate(asked["input"])]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+        config = {"implementation": "openai", "model": "none-such", "dimensions": 2, "base_url": f"http://127.0.0.1:{server.server_port}", "api_key": "k"}
+        texts = ["short", "many words here " * 9000, "é" * 9000]
+        got = providers.embed_batches(providers.provider(config | {"tokenizer": ranks}), texts, providers.Limits(2048))
+        own = tiktoken.Encoding("x", pat_str=providers.SPLIT_PATTERN, mergeable_ranks=tiktoken.load.load_tiktoken_bpe(ranks), special_tokens={})
+        sent = seen[-1][1]["input"]
+        assert len(got) == 3 and seen[-1][0] == "/embeddings" and seen[-1][2] == "Bearer k" and sent[0] == "short"
+        assert len(own.encode_ordinary(sent[1])) == providers.OPENAI_CONTEXT and texts[1].startswith(sent[1])
+        providers.provider(config).embed(texts)
+        assert [len(t.encode()) <= providers.OPENAI_CONTEXT for t in seen[-1][1]["input"]] == [True] * 3
+    finally:
+        server.shutdown()
+
+
 def test_distances(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0])], "id int, e array<double>")
     got = {r["id"]: r for r in df.select("id", V.cosine_distance("e", [1.0, 0.0]).alias("c"), V.l2_distance("e", [0.0, 1.0]).alias("l"), V.l1_distance("e", [0.0, 1.0]).alias("m")).collect()}

@@ -72,6 +72,63 @@ def test_store(spark, folder):
         Table(spark, f"{folder}/none").read()
 
 
+def test_upsert_touches_its_buckets_only(spark, folder):
+    t = Table(spark, folder)
+    t.write(spark.range(1000).withColumn("v", F.lit("a")), 1, ["id"])
+    before = t._pointer()["parts"]
+    t.upsert(spark.createDataFrame([(1, "b"), (5000, "c")], "id long, v string"), ["id"], spark.createDataFrame([(7,), (9999,)], "id long"), 2)
+    after = t._pointer()["parts"]
+    assert sum(before[b] != after.get(b) for b in before) <= 4
+    rows = {r["id"]: r["v"] for r in t.read().collect()}
+    assert len(rows) == 1000 and rows[1] == "b" and rows[5000] == "c" and 7 not in rows
+    t.upsert(t.read().where("id < 3").withColumn("v", F.lit("d")), ["id"], None, 3)
+    assert sorted(r["id"] for r in t.read().where("v = 'd'").collect()) == [0, 1, 2] and t.read().count() == 1000
+    log = Table(spark, f"{folder}/log")
+    for k in range(40):
+        log.append(spark.range(k, k + 1))
+    assert sorted(r[0] for r in log.read().collect()) == list(range(40)) and len(log._pointer()["parts"]) < 40
+
+
+def test_column_destination_and_batch_size(spark, folder):
+    df = blog(spark, [(1, "one", "n"), (2, "two", "n"), (3, "", "n")])
+    config = C.vectorizer("default.blog", df.schema, ["id"], C.loading_column("body"), C.embedding_hash(4), chunking=C.chunking_none(), destination=C.destination_column("vec"), processing=C.processing_default(batch_size=1))
+    p = Pipeline(spark, config, folder)
+    p.run(df)
+    got = {r["id"]: r["vec"] for r in p.table("target").read().collect()}
+    assert got[1] and got[2] and got[1] != got[2] and got[3] is None
+    p.run(blog(spark, [(1, "new", "n"), (3, "", "n")]))
+    now = {r["id"]: (r["body"], r["vec"]) for r in p.table("target").read().collect()}
+    assert set(now) == {1, 3} and now[1][0] == "new" and now[1][1] != got[1]
+
+
+def test_registry(spark, folder):
+    from embedlake.plans.registry import Registry
+
+    df = blog(spark, [(1, "one", "n")])
+    r = Registry(spark, folder)
+    config = make(spark, folder, df).config
+    number = r.create(config)
+    with pytest.raises(ValueError, match="exists"):
+        r.create(config)
+    assert r.create(config, if_not_exists=True) == number and r.list().count() == 1
+    r.get(number).run(df)
+    Registry(spark, folder).disable(config["name"])
+    again = Registry(spark, folder).get(number)
+    assert again.disabled and again.run(blog(spark, []))["delete"] == 0 and again.table("store").read().count() == 1
+    r.enable(number)
+    assert r.get(config["name"]).run(blog(spark, []))["delete"] == 1
+    r.drop(number, drop_all=True)
+    assert r.list().count() == 0
+    with pytest.raises(KeyError):
+        r.get(number)
+
+
+def test_state_tells_nulls_apart(spark):
+    a = spark.createDataFrame([(1, None, "x"), (2, "x", "y")], "id int, v string, w string")
+    b = spark.createDataFrame([(1, "x", None), (2, "x", "y")], "id int, v string, w string")
+    assert {r["id"]: r["op"] for r in cdc.diff_state(cdc.state_of(a, ["id"]), b, ["id"]).collect()} == {1: "update", 2: "same"}
+
+
 def test_cdc(spark):
     a = spark.createDataFrame([(1, "x", 1), (2, "y", 1), (3, None, 1)], "id int, v string, emb int")
     b = spark.createDataFrame([(1, "x", 2), (3, "z", 1), (4, "n", 1)], "id int, v string, emb int")
