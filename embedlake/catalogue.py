@@ -16,6 +16,7 @@ from embedlake.operators import chunk, ivf, knn
 from embedlake.plans import cdc
 from embedlake.plans.pipeline import embedding_view, plan, with_column
 from embedlake.semantic.catalog import content
+from embedlake.session import shared_dir
 from embedlake.sources import dataset, loading
 from embedlake.streaming.worker import windowed_counts
 
@@ -133,7 +134,7 @@ def vec_ivf_search(spark, d):
     """Approximate search by cells for every twentieth vector; its recall is measured in the tests."""
     import uuid
 
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/embedlake'}/ivf-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}"
     e = table(spark, d, "embeddings")
     ivf.build(e, path)
     found = ivf.search_many(spark, path, e.where("vec_id % 20 = 0"), 10, "vec_id", "vec_id")

@@ -157,7 +157,7 @@ ROLE_ARN = re.compile(r"arn:aws:iam::.*:role/.*", re.S)
 
 def _base(kind: str, config: Any) -> str:
     if not isinstance(config, dict):
-        raise ConfigError(f"{kind} config is not a jsonb object")
+        raise ConfigError(f"{kind} configuration has to be a dictionary")
     if config.get("config_type") != kind:
         raise ConfigError(f"invalid config_type for {kind} config")
     known, missing, other = KINDS[kind]
@@ -200,9 +200,9 @@ def validate(kind: str, config: Any, schema: T.StructType | None = None, loading
     elif kind == "parsing" and schema is not None and loading is not None:
         binary = isinstance(schema[loading["column_name"]].dataType, T.BinaryType)
         if found == "none" and binary:
-            raise ConfigError("cannot use parsing_none with bytea columns")
+            raise ConfigError("a binary column needs a parser, parsing_none has none")
         if loading["implementation"] == "column" and found in ("pymupdf", "docling") and not binary:
-            raise ConfigError(f"parsing_{found} must be used with a bytea column")
+            raise ConfigError(f"parsing_{found} reads binary columns only")
     elif kind == "destination" and found == "column" and chunking is not None and chunking.get("implementation") != "none":
         raise ConfigError("chunking must be none for column destination")
 
@@ -223,9 +223,9 @@ def _loading(config: dict, found: str, schema: T.StructType | None) -> None:
     kind = schema[name].dataType
     text = isinstance(kind, (T.StringType, T.VarcharType, T.CharType))
     if not text and not isinstance(kind, T.BinaryType):
-        raise ConfigError(f"column_name {name} in config is of invalid type {kind.simpleString()}. Supported types are: text, varchar, char, bpchar, bytea")
+        raise ConfigError(f"column_name {name} in config has type {kind.simpleString()}; string, varchar, char and binary can be loaded")
     if found == "uri" and not text:
-        raise ConfigError(f"the type of the column `{name}` in config is not compatible with `uri` loading implementation (type should be either text, varchar, char, bpchar, or bytea)")
+        raise ConfigError(f"URIs are read from string columns, and {name} is none")
 
 
 def resolve(config: dict, defaults: dict[str, str] | None = None) -> dict:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from embedlake.operators.knn import QUERY_BYTES, top_k
 
-#: Rows that centroids are fitted on, at most; every row is indexed.
-SAMPLE = 100_000
+#: Rows that centroids are fitted on, at most, and bytes of them; every row is indexed.
+SAMPLE, SAMPLE_BYTES = 100_000, 64 << 20
+#: Bytes of distances that are worked out at once.
+WORK_BYTES = 32 << 20
 MAX_CELLS = 4096
 #: Probes are chosen at the build so that this share of the nearest rows of sampled queries is found.
 RECALL, ASKED, NEAREST = 0.97, 256, 10
@@ -33,9 +35,13 @@ def _kmeans(x, k: int, rounds: int = 8):
 
 
 def _assign(x, c):
+    """The nearest centroid of each row, in blocks of bounded size."""
     import numpy as np
 
-    return np.argmin((c * c).sum(axis=1)[None, :] - 2 * x @ c.T, axis=1)
+    own, out, step = (c * c).sum(axis=1), np.empty(len(x), np.int64), max(1, WORK_BYTES // (8 * len(c)))
+    for k in range(0, len(x), step):
+        out[k : k + step] = np.argmin(own - 2 * x[k : k + step] @ c.T, axis=1)
+    return out
 
 
 def _unit(x):
@@ -67,8 +73,10 @@ def build(store: DataFrame, path: str, vector_col: str = "embedding", cells: int
     live = store.where(F.col(vector_col).isNotNull())
     n = live.count()
     cells = max(1, min(cells or int(math.sqrt(n)), MAX_CELLS, n or 1))
-    picked = live.select(vector_col).orderBy(F.xxhash64(vector_col)).limit(sample).collect()
-    x = np.array([r[0] for r in picked], float) if picked else np.zeros((1, 1))
+    one = live.select(F.size(vector_col)).first()
+    most = min(sample, max(1, SAMPLE_BYTES // (8 * max(1, one[0])))) if one else 1
+    column = live.select(vector_col).orderBy(F.xxhash64(vector_col)).limit(most).toArrow().column(0).combine_chunks()
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((1, 1))
     cosine = metric == "vector_cosine_ops"
     centroids = _kmeans(_unit(x) if cosine else x.copy(), min(cells, len(x)))
     at = store.columns.index(vector_col)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from embedlake.functions import vector as V
 
-#: Bytes of query vectors that are sent to every task at once; more queries go in further blocks.
+#: Bytes of query vectors that are sent to every task at once. More queries are joined in blocks: a task gets so
+#: many bytes of queries and of rows.
 QUERY_BYTES = 32 << 20
 
 
@@ -34,69 +35,100 @@ def top_k(
     return found.orderBy("distance", *keys).limit(k)
 
 
+def _distances(q, x, metric: str):
+    """Distances of all queries to all rows; infinite where there is none."""
+    import numpy as np
+
+    if metric == "vector_cosine_ops":
+        with np.errstate(all="ignore"):
+            d = 1 - (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
+    elif metric == "vector_ip_ops":
+        d = -(q @ x.T)
+    else:
+        each = (np.abs(v - x) for v in q)
+        d = np.stack([a.sum(axis=1) if metric == "vector_l1_ops" else np.sqrt((a * a).sum(axis=1)) for a in each])
+    return np.where(np.isnan(d), np.inf, d)
+
+
+def _best(best: list[list], qids, q, tags, ids, x, own_tags, k: int, metric: str, skip_same: bool) -> None:
+    """Bring each query's ``k`` nearest so far up to date with some rows."""
+    import numpy as np
+
+    for at in range(0, len(ids), 8192):
+        part = slice(at, at + 8192)
+        for first in range(0, len(qids), 1024):
+            d = _distances(q[first : first + 1024], x[part], metric)
+            if tags is not None:
+                d = np.where(tags[first : first + 1024, None] == own_tags[part][None, :], d, np.inf)
+            for i, row in enumerate(d, first):
+                if skip_same:
+                    row = np.where(ids[part] == qids[i], np.inf, row)
+                near = np.lexsort((ids[part], row))[:k] if len(row) <= 4 * k else _nearest(row, ids[part], k)
+                best[i] = sorted(best[i] + [(float(row[j]), ids[part][j]) for j in near if np.isfinite(row[j])])[:k]
+
+
 def batch_top_k(
     store: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector_col: str = "embedding", query_vector: str = "embedding",
     metric: str = "vector_cosine_ops", match: str | None = None, skip_same: bool = False, query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """(query key, key, distance, rank): for each query the ``k`` nearest rows of ``store``; ties by key.
 
-    Queries are held in blocks of at most ``query_bytes``; each block makes one pass over the store in which
-    a task keeps its own best ``k`` a query, so what moves is k rows a query and task. ``match`` names a
-    column that has to be equal on both sides; ``skip_same`` leaves out the row with the query's own key.
+    Queries of at most ``query_bytes`` go to every task, and make one pass over the store in which a task keeps
+    its own best ``k`` a query. More of them are dealt into blocks, the store into slices, and a task compares a
+    block with a slice; no query passes through the driver. Either way what moves is k rows a query and task.
+    ``match`` names a column that has to be equal on both sides; ``skip_same`` leaves out the row with the query's own key.
     """
     import numpy as np
     import pandas as pd
 
     columns = [query_key, query_vector, *([match] if match else [])]
     qk, sk = queries.schema[query_key].dataType.simpleString(), store.schema[key].dataType.simpleString()
+    asked = queries.select(*columns).where(F.col(query_vector).isNotNull())
+    held = asked.agg(F.sum(8 * F.size(query_vector) + 64), F.max(F.size(query_vector))).first()
+    schema = f"_q {qk}, _k {sk}, distance double"
+
+    def matrix(column) -> np.ndarray:
+        return np.stack(column.to_numpy()).astype(float)
+
+    def rows(qids, best: list[list]) -> pd.DataFrame:
+        return pd.DataFrame([(qids[i], j, d) for i, b in enumerate(best) for d, j in b], columns=["_q", "_k", "distance"])
 
-    def scan(block: list) -> DataFrame:
-        qids = [r[0] for r in block]
-        q = np.array([r[1] for r in block], float)
+    if not held[0]:
+        found = store.sparkSession.createDataFrame([], schema)
+    elif held[0] <= query_bytes:
+        block = [tuple(r) for r in asked.collect()]  # bounded by ``query_bytes``
+        qids, q = [r[0] for r in block], np.array([r[1] for r in block], float)
         tags = np.array([r[2] for r in block]) if match else None
-        q_norm = np.linalg.norm(q, axis=1)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best: list[list] = [[] for _ in qids]
             for pdf in batches:
                 pdf = pdf[pdf[vector_col].notna()]
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf[vector_col].to_numpy()).astype(float)
-                ids = pdf[key].to_numpy()
-                if metric == "vector_cosine_ops":
-                    with np.errstate(all="ignore"):
-                        d = 1 - (q @ x.T) / (q_norm[:, None] * np.linalg.norm(x, axis=1)[None, :])
-                elif metric == "vector_ip_ops":
-                    d = -(q @ x.T)
-                else:
-                    each = (np.abs(v - x) for v in q)
-                    d = np.stack([a.sum(axis=1) if metric == "vector_l1_ops" else np.sqrt((a * a).sum(axis=1)) for a in each])
-                d = np.where(np.isnan(d), np.inf, d)
-                if match:
-                    d = np.where(tags[:, None] == pdf[match].to_numpy()[None, :], d, np.inf)
-                for i, row in enumerate(d):
-                    if skip_same:
-                        row = np.where(ids == qids[i], np.inf, row)
-                    near = np.lexsort((ids, row))[:k] if len(row) <= 4 * k else _nearest(row, ids, k)
-                    best[i] = sorted(best[i] + [(float(row[j]), ids[j]) for j in near if np.isfinite(row[j])])[:k]
-            rows = [(qids[i], j, d) for i, b in enumerate(best) for d, j in b]
-            yield pd.DataFrame(rows, columns=["_q", "_k", "distance"])
-
-        return store.select(key, vector_col, *([match] if match else [])).mapInPandas(run, f"_q {qk}, _k {sk}, distance double")
-
-    parts, block, held = [], [], 0
-    for row in queries.select(*columns).where(F.col(query_vector).isNotNull()).toLocalIterator():
-        block.append(tuple(row))
-        held += 8 * len(row[1]) + 64
-        if held >= query_bytes:
-            parts.append(scan(block))
-            block, held = [], 0
-    if block or not parts:
-        parts.append(scan(block) if block else store.sparkSession.createDataFrame([], f"_q {qk}, _k {sk}, distance double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+                if len(pdf):
+                    _best(best, qids, q, tags, pdf[key].to_numpy(), matrix(pdf[vector_col]), pdf[match].to_numpy() if match else None, k, metric, skip_same)
+            yield rows(qids, best)
+
+        found = store.select(key, vector_col, *([match] if match else [])).mapInPandas(scan, schema)
+    else:
+        live = store.where(F.col(vector_col).isNotNull())
+        size = 8 * held[1] + 64
+        blocks = -(-held[0] // query_bytes)
+        slices = max(1, -(-live.count() * size // max(query_bytes, size)))
+        tag = lambda df: F.col(match).alias("_m") if match else F.lit(0).alias("_m")
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+        left = asked.select(F.col(query_key).alias("_q"), F.col(query_vector).alias("_v"), tag(asked), deal(query_key, blocks).alias("_b"), every(slices).alias("_s"))
+        right = live.select(F.col(key).alias("_k"), F.col(vector_col).alias("_v"), tag(live), deal(key, slices).alias("_s"), every(blocks).alias("_b"))
+
+        def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return rows([], [])
+            best: list[list] = [[] for _ in range(len(a))]
+            tags, own = (a["_m"].to_numpy(), b["_m"].to_numpy()) if match else (None, None)
+            _best(best, a["_q"].tolist(), matrix(a["_v"]), tags, b["_k"].to_numpy(), matrix(b["_v"]), own, k, metric, skip_same)
+            return rows(a["_q"].tolist(), best)
+
+        found = left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInPandas(tile, schema)
     rank = F.row_number().over(Window.partitionBy("_q").orderBy("distance", "_k"))
     out = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select(F.col("_q").alias(query_key if query_key != key else f"query_{query_key}"), F.col("_k").alias(key), "distance", "rank")

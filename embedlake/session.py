@@ -21,6 +21,23 @@ def session(app: str = "embedlake", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Scratch folder where ``spark.checkpoint.dir`` is unset and all runs on one machine, as in tests.
+LOCAL_SCRATCH = "file:///tmp/checkpoints/embedlake"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors share; a cluster has to name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = kept.get() if kept.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = LOCAL_SCRATCH
+    return found.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session; needed where they don't have it installed."""
     sc = spark.sparkContext

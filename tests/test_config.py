@@ -18,7 +18,7 @@ def test_defaults_and_roundtrip():
 @pytest.mark.parametrize(
     ("kind", "config", "message"),
     [
-        ("chunking", [], "chunking config is not a jsonb object"),
+        ("chunking", [], "chunking configuration has to be a dictionary"),
         ("chunking", {"config_type": "chunking", "implementation": "bob"}, "invalid chunking config implementation"),
         ("indexing", {"config_type": "indexing"}, "indexing implementation not specified"),
         ("indexing", {"config_type": "indexing", "implementation": "grandma"}, 'invalid indexing implementation: "grandma"'),
@@ -43,9 +43,9 @@ def test_messages(kind, config, message):
 
 
 def test_combinations():
-    with pytest.raises(C.ConfigError, match="cannot use parsing_none with bytea columns"):
+    with pytest.raises(C.ConfigError, match="a binary column needs a parser, parsing_none has none"):
         C.validate("parsing", C.parsing_none(), SCHEMA, C.loading_column("doc"))
-    with pytest.raises(C.ConfigError, match="parsing_pymupdf must be used with a bytea column"):
+    with pytest.raises(C.ConfigError, match="parsing_pymupdf reads binary columns only"):
         C.validate("parsing", C.parsing_pymupdf(), SCHEMA, C.loading_column("body"))
     with pytest.raises(C.ConfigError, match="chunking must be none for column destination"):
         C.validate("destination", C.destination_column("emb"), chunking=C.chunking_character_text_splitter())
