@@ -14,8 +14,8 @@ from embedlake.functions import vector as V
 from embedlake.functions.template import format_column
 from embedlake.operators import chunk, ivf, knn
 from embedlake.plans import cdc
-from embedlake.plans.pipeline import embedding_view, plan, with_column
-from embedlake.semantic.catalog import content
+from embedlake.plans.pipeline import Pipeline, embedding_view, plan, with_column
+from embedlake.semantic.catalog import Catalog, content
 from embedlake.session import shared_dir
 from embedlake.sources import dataset, loading
 from embedlake.streaming.worker import windowed_counts
@@ -132,9 +132,7 @@ def vec_centroid_by_label(spark, d):
 @query()
 def vec_ivf_search(spark, d):
     """Approximate search by cells for every twentieth vector; its recall is measured in the tests."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}"
+    path = _scratch(spark, "ivf")
     e = table(spark, d, "embeddings")
     ivf.build(e, path)
     found = ivf.search_many(spark, path, e.where("vec_id % 20 = 0"), 10, "vec_id", "vec_id")
@@ -172,6 +170,89 @@ def emb_column_dest(spark, d):
     return with_column(docs, new, ["doc_id"], "emb").select("doc_id", "lang", F.round(F.col("emb")[0].cast("double"), 4).alias("e0"))
 
 
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _pipeline(spark, schema, **more) -> Pipeline:
+    config = C.vectorizer("default.documents", schema, ["doc_id"], C.loading_column("text"), C.embedding_hash(8), chunking=C.chunking_none(), formatting=C.formatting_python_template("$chunk"), **more)
+    return Pipeline(spark, config, _scratch(spark, "pipeline"))
+
+
+@query(f"""
+    SELECT doc_id, 0 AS chunk_seq, length(text) AS n_chunk, {MD5_4} AS e0
+    FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0) WHERE coalesce(text, '') <> ''""")
+def pipeline_changes(spark, d):
+    """A pipeline's store after all documents, and then after a snapshot in which some changed and some are gone."""
+    docs = table(spark, d, "documents")
+    p = _pipeline(spark, docs.schema)
+    p.run(docs)
+    p.run(docs.where("doc_id % 11 <> 0").withColumn("text", F.expr("CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END")))
+    return p.table("store").read().select("doc_id", "chunk_seq", F.length("chunk").cast("bigint").alias("n_chunk"), F.round(F.col("embedding")[0].cast("double"), 4).alias("e0"))
+
+
+@query("SELECT 'default_documents_embedding_store' AS name, 0::BIGINT AS pending_items, false AS disabled, count(DISTINCT doc_id) AS success_count, 0::BIGINT AS error_count FROM documents")
+def pipeline_status(spark, d):
+    """What a pipeline says of itself after a run, with its progress."""
+    docs = table(spark, d, "documents")
+    p = _pipeline(spark, docs.schema)
+    p.run(docs)
+    done = p.table("progress").read().groupBy("name").agg(F.sum("success_count").alias("success_count"), F.sum("error_count").alias("error_count"))
+    return p.status().select("name", "pending_items", "disabled").join(done, "name")
+
+
+@query(f"SELECT doc_id, lang, CASE WHEN coalesce(text, '') <> '' THEN {MD5_4} END AS e0 FROM documents")
+def pipeline_column(spark, d):
+    """The rows that a pipeline keeps whose destination is a column."""
+    docs = table(spark, d, "documents")
+    p = _pipeline(spark, docs.schema, destination=C.destination_column("emb"))
+    p.run(docs)
+    return p.table("target").read().select("doc_id", "lang", F.round(F.col("emb")[0].cast("double"), 4).alias("e0"))
+
+
+@query(f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {MD5_4.replace('::FLOAT::DOUBLE', '')} END AS e0, CASE WHEN text IS NOT NULL THEN 3 END AS n_dims FROM documents")
+def sql_embed(spark, d):
+    """Vectors by the SQL function."""
+    from embedlake.session import register_all
+
+    register_all(spark)
+    docs = table(spark, d, "documents").withColumn("e", F.expr("ai_hash_embed('m', text, 3)"))
+    return docs.select("doc_id", F.round(F.col("e")[0], 4).alias("e0"), F.when(F.col("e").isNotNull(), F.size("e")).alias("n_dims"))
+
+
+def _nations(spark, d) -> Catalog:
+    c = Catalog(spark, _scratch(spark, "catalog"))
+    c.add_embedding(C.embedding_hash(4))
+    rows = table(spark, d, "nation").orderBy("n_nationkey").select(
+        F.lit("table").alias("objtype"), F.lit("tpch").alias("schema_name"), F.lower("n_name").alias("name"), F.lit(None).cast("string").alias("column_name"),
+        F.array().cast("array<string>").alias("args"), F.concat(F.lit("nation of region "), F.col("n_regionkey").cast("string")).alias("description"),
+    )
+    c.set_descriptions(rows)
+    return c
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) AS id, lower(n_name) AS name, 1 + CASE WHEN n_regionkey = 3 THEN 1 ELSE 0 END AS rank FROM nation ORDER BY rank DESC, id LIMIT 20")
+def catalog_words(spark, d):
+    """Catalogue rows by words."""
+    return _nations(spark, d).search_words("objects", ["region", "3"], 20).select("id", "name", "rank")
+
+
+_HASH4 = "list_transform(range(4), lambda i: ((('0x' || substr(md5({} || ':' || i), 1, 8))::UBIGINT / 2147483647.5::DOUBLE) - 1){})"
+
+
+@query(f"""
+    WITH c AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS id, lower(n_name) AS name, 'tpch.' || lower(n_name) || ' nation of region ' || n_regionkey AS content FROM nation),
+    s AS (SELECT id, name, list_cosine_distance({_HASH4.format('content', '::FLOAT::DOUBLE')}, {_HASH4.format("'which nation'", '')}) AS dist FROM c)
+    SELECT id, name, round(dist, 5) AS distance FROM s ORDER BY dist, id LIMIT 7""")
+def catalog_search(spark, d):
+    """Catalogue rows by vector."""
+    c = _nations(spark, d)
+    c.vectorize("emb1")
+    return c.search("objects", "emb1", "which nation", 7).select("id", "name", F.round("distance", 5).alias("distance"))
+
+
 #: Greedy words of at most 80 characters. A chunk is a run of words; only lengths go through the reduction.
 CHUNK_SQL = """
     WITH w AS (SELECT doc_id, lang, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),

@@ -14,7 +14,7 @@ from embedlake.functions.template import format_column
 from embedlake.operators import ivf
 from embedlake.operators.chunk import explode_chunks
 from embedlake.plans import cdc
-from embedlake.plans.store import Table
+from embedlake.plans.store import BUCKETS, Table
 from embedlake.sources.loading import payload
 
 ERRORS = "name string, message string, details string, recorded timestamp"
@@ -65,16 +65,17 @@ class Pipeline:
     """A configuration with its tables below ``path``: store, queue, dead, errors, progress, source state.
 
     The state holds keys and hashes of rows. With a column for destination, ``target`` holds the source's rows
-    with that column.
+    with that column. Store, state and target lie in ``buckets``; a run rewrites those that it touches.
     """
 
     spark: SparkSession
     config: dict
     path: str
     disabled: bool = False
+    buckets: int = BUCKETS
 
     def table(self, name: str) -> Table:
-        return Table(self.spark, f"{self.path}/{name}")
+        return Table(self.spark, f"{self.path}/{name}", self.buckets)
 
     def validate(self, source: DataFrame) -> None:
         for kind in ("loading", "parsing", "chunking", "formatting", "embedding", "indexing", "scheduling", "processing", "destination"):

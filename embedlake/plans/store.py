@@ -13,13 +13,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets of a keyed table, and folders of one without keys before they are put together.
-BUCKETS, PARTS = 64, 32
+#: Buckets of a keyed table unless it is made with another number, and folders of one without keys before they are put together.
+BUCKETS, PARTS = 16, 32
 
 
 class Table:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -90,8 +90,8 @@ class Table:
     def write(self, df: DataFrame, batch: int | None = None, keys: list[str] | None = None) -> None:
         """All rows anew, in buckets of ``keys`` if there are any."""
         old = self._pointer()
-        parts = self._lay(df, keys, BUCKETS)
-        now = {"keys": keys, "buckets": BUCKETS, "parts": parts, "batch": batch, "schema": json.loads(df.schema.json())}
+        parts = self._lay(df, keys, self.buckets)
+        now = {"keys": keys, "buckets": self.buckets, "parts": parts, "batch": batch, "schema": json.loads(df.schema.json())}
         self._publish(old, now, list(old["parts"].values()) if old else [])
 
     def append(self, df: DataFrame) -> None:

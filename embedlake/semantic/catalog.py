@@ -111,6 +111,13 @@ class Catalog:
         row = self.spark.createDataFrame([(objtype, schema, name, column, list(args), description)], "objtype string, schema_name string, name string, column_name string, args array<string>, description string")
         self._merge("objects", row, ["schema_name", "name", "column_name", "args"])
 
+    def set_descriptions(self, rows: DataFrame) -> None:
+        """Many at once: objtype, schema_name, name, column_name, args, description; one change of the table."""
+        bad = rows.where(~F.col("objtype").isin(list(OBJECT_TYPES))).first()
+        if bad is not None:
+            raise ValueError(f"unknown object type: {bad['objtype']}")
+        self._merge("objects", rows.select("objtype", "schema_name", "name", "column_name", "args", "description"), ["schema_name", "name", "column_name", "args"])
+
     def add_example(self, sql: str, description: str) -> None:
         self._merge("examples", self.spark.createDataFrame([(sql, description)], "sql string, description string"), ["sql", "description"])
 

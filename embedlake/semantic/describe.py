@@ -141,11 +141,15 @@ def offline_describer(r: Relation) -> dict[str | None, str]:
 def describe(spark: SparkSession, names: Sequence[str], catalog, describer: Callable[[Relation], dict] = offline_describer, sample_size: int = 3, batch: int = 5) -> int:
     """Record descriptions of relations, ``batch`` of them at a time; returns how many texts were recorded."""
     done = 0
+    columns = "objtype string, schema_name string, name string, column_name string, args array<string>, description string"
     for a in range(0, len(names), batch):
+        rows = []
         for name in names[a : a + batch]:
             r = load(spark, name, sample_size=sample_size)
             for column, text in describer(r).items():
                 kind = r.kind if column is None else ("column" if r.kind == "table" else "view column")
-                catalog.set_description(kind, r.schema_name, r.name, text, column)
-                done += 1
+                rows.append((kind, r.schema_name, r.name, column, [], text))
+        if rows:
+            catalog.set_descriptions(spark.createDataFrame(rows, columns))
+        done += len(rows)
     return done

@@ -73,7 +73,7 @@ def test_store(spark, folder):
 
 
 def test_upsert_touches_its_buckets_only(spark, folder):
-    t = Table(spark, folder)
+    t = Table(spark, folder, 64)
     t.write(spark.range(1000).withColumn("v", F.lit("a")), 1, ["id"])
     before = t._pointer()["parts"]
     t.upsert(spark.createDataFrame([(1, "b"), (5000, "c")], "id long, v string"), ["id"], spark.createDataFrame([(7,), (9999,)], "id long"), 2)
