@@ -48,7 +48,7 @@ SPLIT = 200_000
 #: Rows of a side of a tile, and of all tiles of a bucket.
 TILE, BUCKET = 512, 20_000
 #: Partners of a node that a task verifies; nodes with more are dealt out in parts.
-FAN = 1000
+FAN = 200
 #: Rows that are broadcast at most, of 50 bytes or so; beyond it both sides are shuffled.
 BROADCAST_ROWS = 300_000
 
@@ -389,12 +389,13 @@ def _close_in_tiles(met: DataFrame, blocks: DataFrame, sketches: DataFrame, num:
 
 
 def _still_mixed(ws: Workspace, met: DataFrame, comps: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-    """(key, node, n, comp) of points with different components, one for each set of nodes, and (key, nb)."""
-    now = met.select("key", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    now = ws.save(now.distinct(), f"{tag}-now")
-    h = F.xxhash64("node")
-    sums = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.sum(F.xxhash64(h, "node").cast("decimal(20,0)")).alias("s"))
-    one = sums.where("lo <> hi").groupBy("m", "x", "s").agg(F.min("key").alias("key"))
+    """(key, node, n, comp) of the points ``met``, and (key, m, nb) of those with different components, one for each set of nodes."""
+    small = comps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    now = met.select("key", "node", "n").join(F.broadcast(comps) if small else comps, "node", "left")
+    now = ws.save(now.select("key", "node", "n", F.coalesce("comp", "node").alias("comp")), f"{tag}-now")
+    alike = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    sums = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), *alike)
+    one = sums.where("lo <> hi").groupBy("m", "x0", "x1").agg(F.min("key").alias("key"))
     blocks = ws.save(one.select("key", "m", F.ceil(F.col("m") / TILE).cast("int").alias("nb")), f"{tag}-blocks")
     return now, blocks
 
@@ -432,25 +433,31 @@ def similar_sets(ws: Workspace, docs: DataFrame, n: int, sets: DataFrame, num: i
     stars = ws.save(stars.union(across).distinct(), "stars")
     links = exact(_checked(_joined(sketches.select("node", "n", F.col("sketch").alias("x")), _sides(stars, fan), "node"), near), "star")
     comps = connected_components(ws, links, "cc0")
+    met = met.select("key", "node", "n")  # a node has one row in a point
     for tag, forest in (("forest", True), ("rest", False)):
         now, blocks = _still_mixed(ws, met, comps, tag)
         if blocks.isEmpty():
             break
         more = exact(_close_in_tiles(now, blocks, sketches, num, den, forest).distinct(), tag)
+        # a point with one component keeps one; and of points with the same nodes one is enough
+        met = ws.save(only_ids(now, blocks, "key").select("key", "node", "n"), f"{tag}-met")
         ws.drop(f"{tag}-now", f"{tag}-blocks")
         if not more.isEmpty():
             links = links.union(more)
             comps = connected_components(ws, links, f"cc-{tag}")
-    ws.drop("met", "sketches", "stars")
+    ws.drop("met", "forest-met", "rest-met", "sketches", "stars")
     return comps
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles and component_id (the smallest id that links reach) of each row of ``docs``."""
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, fan: int = FAN) -> DataFrame:
+    """id, n_shingles and component_id (the smallest id that links reach) of each row of ``docs``.
+
+    ``split`` and ``fan`` say how hot points and nodes are dealt out; the results don't depend on them.
+    """
     ws = Workspace(docs.sparkSession, "ngram-join")
     named = keyed(docs, id_col, text_col)
     sets = ws.save(sets_of(named, n), "sets")
-    comps = similar_sets(ws, named, n, sets, num, den)
+    comps = similar_sets(ws, named, n, sets, num, den, split, fan)
     rows = sets.where("part is null").select("_id", "n_shingles", "node").join(comps, "node", "left")
     rows = ws.save(rows.select("_id", "n_shingles", F.coalesce("comp", "node").alias("comp")), "rows")
     ws.drop("sets")
