@@ -43,11 +43,11 @@ def alike(a, b):
     return bool(a[1] and b[1]) and 100 * both >= 80 * (len(a[1]) + len(b[1]) - both)
 
 
-def check_join(spark, texts):
+def check_join(spark, texts, **dealt):
     items = [(i, shingles(t)) for i, t in texts]
     want = sorted((str(i), len(s), str(c)) for (i, s), c in zip(items, components(items, alike), strict=True))
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.jaccard_components(df).collect()) == want
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.jaccard_components(df, **dealt).collect()) == want
 
 
 def test_join_cases(spark, docs, none):
@@ -73,6 +73,7 @@ def test_join_near_groups(spark):
         chain = chain[2:] + [f"new{k}a", f"new{k}b"]
     texts += [(2000 + k, " ".join(base[:30]) + " " + prose(50 + k, 40)) for k in range(10)]
     check_join(spark, texts)
+    check_join(spark, texts, split=2, fan=3)  # hot points in parts, and partners of a node in parts
 
 
 def test_components(spark):
