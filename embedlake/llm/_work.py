@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedlake.session import shared_dir
@@ -71,6 +71,23 @@ def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
+#: Rows of facts that are broadcast at most, and copies of each where they are not.
+BROADCAST_FACTS, FACT_SALTS = 200_000, 16
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, on: list[str], spread: Column, how: str = "left") -> DataFrame:
+    """``rows`` with what ``facts`` (a written table, a row for each key) has of their key.
+
+    Few facts are broadcast. Else each is copied for every salt, and rows go by key and a salt from the hash
+    ``spread``, so that a hot key's rows go to several tasks.
+    """
+    if facts.limit(BROADCAST_FACTS + 1).count() <= BROADCAST_FACTS:
+        return rows.join(F.broadcast(facts), on, how)
+    salt = fresh("_salt", [*rows.columns, *facts.columns])
+    copies = facts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(FACT_SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(spread, F.lit(FACT_SALTS)).cast("int")).join(copies, [*on, salt], how).drop(salt)
+
+
 def connected_components(ws: Workspace, edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, comp) for each node of ``edges`` (a, b); comp is the smallest node that links reach.
 

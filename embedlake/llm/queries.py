@@ -9,6 +9,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,7 +94,13 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_warc, op4_substring_dedup, op5_line_dedup, op6_bpe_roundtrip, op7_token_counts, op8_toxicity, op9_quality_rules, op10_embedding_near_dedup)}
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from embedlake.llm import urlgraph
+
+    return urlgraph.judge(_table(spark, sf_dir, "pages"), urlgraph.rule_table(spark, URL_RULES))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_warc, op4_substring_dedup, op5_line_dedup, op6_bpe_roundtrip, op7_token_counts, op8_toxicity, op9_quality_rules, op10_embedding_near_dedup, op13_url_filters)}
 ORACLE_SQL: dict[str, str] = {
     "op10_embedding_near_dedup": """
         WITH RECURSIVE v AS (
@@ -109,4 +118,43 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c.x AS vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.x = c.component_id AS kept
         FROM comp c LEFT JOIN n ON c.x = n.x
     """,
+    "op13_url_filters": r"""
+        WITH RECURSIVE rules(verdict, rule, dom, start) AS (
+            VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')
+        ), read AS (
+            SELECT page_id, coalesce(html, '') AS html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, row_number() OVER () AS k
+            FROM pages
+        ), links AS (
+            SELECT src, dst, count(*) AS n FROM (
+                SELECT DISTINCT k, host AS src, translate(unnest(regexp_extract_all(html, '(?i)href[\x20\x09-\x0D]*=[\x20\x09-\x0D]*["'']?[\x20\x09-\x0D]*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''<>\x20\x09-\x0D]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM read
+            ) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+        ), judged AS (
+            SELECT r.k, max_by(u.rule, length(u.rule)) AS rule, max_by(u.verdict, length(u.rule)) AS ruled
+            FROM read r JOIN rules u ON (r.host = u.dom OR ends_with(r.host, '.' || u.dom)) AND starts_with(r.path, u.start) GROUP BY r.k
+        ), nodes AS (
+            SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM read LEFT JOIN judged USING (k) WHERE host <> '' GROUP BY host
+            UNION ALL
+            SELECT dst, 1, (arg_max(verdict, length(rule)) = 'allow')::INT, (arg_max(verdict, length(rule)) = 'block')::INT
+            FROM (SELECT DISTINCT dst FROM links WHERE dst NOT IN (SELECT host FROM read)) JOIN rules ON (dst = dom OR ends_with(dst, '.' || dom)) AND start = '/' GROUP BY dst
+        ), seeds AS (
+            SELECT 1 AS kind, host, good::HUGEINT * 1000000000 // n AS score FROM nodes WHERE good > 0 UNION ALL SELECT -1, host, bad::HUGEINT * 1000000000 // n FROM nodes WHERE bad > 0
+        ), both_ways AS (
+            SELECT 1 AS kind, src, dst, n FROM links UNION ALL SELECT -1, dst, src, n FROM links
+        ), arcs AS (
+            SELECT kind, src, dst, n::HUGEINT * 1000000000 // sum(n) OVER (PARTITION BY kind, src)::HUGEINT AS share FROM both_ways
+        ), rounds(k, kind, host, score) AS (
+            SELECT 0, kind, host, score FROM seeds
+            UNION ALL
+            SELECT k + 1, kind, host, sum(score)::HUGEINT FROM (
+                SELECT k, kind, host, score FROM (SELECT DISTINCT k FROM rounds), seeds
+                UNION ALL
+                SELECT r.k, r.kind, a.dst, r.score * (a.share * 85) // 100000000000 FROM rounds r JOIN arcs a ON r.kind = a.kind AND r.host = a.src
+            ) WHERE k < 40 GROUP BY k, kind, host
+        ), blocked AS (
+            SELECT host FROM rounds WHERE k = 40 GROUP BY host HAVING sum(-kind * score) > 500000000
+        )
+        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM read LEFT JOIN judged USING (k)
+    """,
 }
