@@ -57,11 +57,11 @@ def _starts(offsets: np.ndarray) -> np.ndarray:
     return offsets[:-1][offsets[1:] > offsets[:-1]]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and each row's first word (with a closing entry)."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and each row's first word (with a closing entry); ``between`` flags the bytes of none."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = SPACE[data]
+    space = between[data]
     word = ~space
     first, last = word.copy(), word.copy()
     first[1:] &= space[:-1]

@@ -75,13 +75,14 @@ def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 BROADCAST_FACTS, FACT_SALTS = 200_000, 16
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, on: list[str], spread: Column, how: str = "left") -> DataFrame:
+def join_facts(rows: DataFrame, facts: DataFrame, on: list[str], spread: Column, how: str = "left", weight: int = 1) -> DataFrame:
     """``rows`` with what ``facts`` (a written table, a row for each key) has of their key.
 
-    Few facts are broadcast. Else each is copied for every salt, and rows go by key and a salt from the hash
+    Few facts are broadcast; one counts for ``weight``. Else each is copied for every salt, and rows go by key and a salt from the hash
     ``spread``, so that a hot key's rows go to several tasks.
     """
-    if facts.limit(BROADCAST_FACTS + 1).count() <= BROADCAST_FACTS:
+    most = BROADCAST_FACTS // weight
+    if facts.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(facts), on, how)
     salt = fresh("_salt", [*rows.columns, *facts.columns])
     copies = facts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(FACT_SALTS - 1))))

@@ -94,13 +94,19 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from embedlake.llm.divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from embedlake.llm import urlgraph
 
     return urlgraph.judge(_table(spark, sf_dir, "pages"), urlgraph.rule_table(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_warc, op4_substring_dedup, op5_line_dedup, op6_bpe_roundtrip, op7_token_counts, op8_toxicity, op9_quality_rules, op10_embedding_near_dedup, op13_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_warc, op4_substring_dedup, op5_line_dedup, op6_bpe_roundtrip, op7_token_counts, op8_toxicity, op9_quality_rules, op10_embedding_near_dedup, op12_source_divergence, op13_url_filters)}
 ORACLE_SQL: dict[str, str] = {
     "op10_embedding_near_dedup": """
         WITH RECURSIVE v AS (
@@ -118,6 +124,35 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c.x AS vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.x = c.component_id AS kept
         FROM comp c LEFT JOIN n ON c.x = n.x
     """,
+    "op12_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce("text", '') AS t FROM documents
+        ), w AS (
+            SELECT k, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+        ), vocabulary AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+        v AS (SELECT lang, count(*) AS v FROM vocabulary GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN vocabulary USING (lang, term) GROUP BY lang, source, term),
+        own AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM counts GROUP BY lang, source),
+        p AS (
+            SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(o.total, 0) + 5 * v.v) AS p
+            FROM groups g JOIN v USING (lang) JOIN vocabulary t USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source
+        ), of_lang AS (
+            SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang)::HUGEINT + 5 * v) AS q
+            FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY lang, term) JOIN v USING (lang)
+        ), pair AS (
+            SELECT g.lang, g.source, o.source AS item, coalesce(s.value, 0)::BIGINT AS value
+            FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+            LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source) s
+            ON s.lang = g.lang AND s.source = g.source AND s.item = o.source
+        ), term AS (
+            SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM p JOIN of_lang USING (lang, term) WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pair
+        UNION ALL
+        SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM term
+        QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 50
+    """,
     "op13_url_filters": r"""
         WITH RECURSIVE rules(verdict, rule, dom, start) AS (
             VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')

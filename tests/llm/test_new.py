@@ -86,3 +86,51 @@ def test_rules_of_many_hosts_without_broadcast(spark, monkeypatch):
             assert got[k] == (max(fits)[3], max(fits)[4])
         else:
             assert got[k][0] is None
+
+
+def _groups(n):
+    """Documents of two languages and seven sources, with terms just at and below the least number of documents."""
+    rnd, out = random.Random(n), []
+    for k in range(n):
+        lang = rnd.choice(["en", "en", "de", None])
+        words = [rnd.choice(["Alpha", "béta", "g\u0001amma", "Ωmega", "z🐢", "delta", f"w{rnd.randrange(30)}x"]) for _ in range(rnd.randrange(20))]
+        out.append((k % 50 or None, rnd.choice([" ", "-", "1"]).join(words) if k % 9 else None, lang, rnd.choice(["s1", "s2", "S1", "é", None, "", "s1"]), "clash", 1))
+    out += [(1, f"rare{k % 2} Rare{k % 2}", "en", "s1", "c", 1) for k in range(59)] + [(2, "", "xx", "lone", "c", 1), (3, None, "xx", "pair", "c", 1), (4, "only one", "yy", "one", "c", 1)]
+    return out
+
+
+DOCS = "doc_id long, text string, lang string, source string, term string, n int"
+
+
+@pytest.mark.parametrize("block, chunk, facts", [(128, 4096, 200_000), (2, 3, 0)])
+def test_divergence(spark, folder, monkeypatch, block, chunk, facts):
+    """Also with several blocks of sources, chunks of three terms, chunks of few counts, and no broadcasts."""
+    from embedlake.llm import _work, divergence
+
+    for m, k, v in ((divergence, "BLOCK", block), (divergence, "CHUNK", chunk), (divergence, "ENTRIES", 9 if chunk == 3 else 1 << 20), (_work, "BROADCAST_FACTS", facts)):
+        monkeypatch.setattr(m, k, v)
+    docs = spark.createDataFrame(_groups(700), DOCS).repartition(3)
+    got = same(spark, folder, "op12_source_divergence", {"documents": docs})
+    assert {r["value"] for r in got if r["lang"] == "xx"} == {0} and not [r for r in got if r["lang"] == "yy"]
+    assert "rare" in {r["item"] for r in got if r["part"] == "term"} and "béta" in {r["item"] for r in got}
+
+
+def test_divergence_on_tables(spark, folder):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert same(spark, folder, "op12_source_divergence", {"documents": docs})
+    assert queries.QUERIES["op12_source_divergence"](spark, folder).count()
+    from embedlake.llm.divergence import audit
+
+    assert audit(docs.where("false")).count() == 0
+
+
+def test_billionths_are_exact():
+    import numpy as np
+
+    from embedlake.llm.divergence import billionths
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        d = rnd.randrange(1, 9 * 10 ** rnd.randrange(1, 16))
+        a = [rnd.randrange(0, d + 1) for _ in range(5)] + [d]
+        assert billionths(np.array(a), d).tolist() == [10**9 * x // d for x in a]
