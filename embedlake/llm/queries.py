@@ -94,6 +94,13 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from embedlake.llm import conversation_trie as C
+    from embedlake.llm._work import Workspace
+
+    return C.trie(C.rebuilt(Workspace(spark, "conversations"), _table(spark, sf_dir, "conversations")))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from embedlake.llm.divergence import audit
 
@@ -106,7 +113,7 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.judge(_table(spark, sf_dir, "pages"), urlgraph.rule_table(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_warc, op4_substring_dedup, op5_line_dedup, op6_bpe_roundtrip, op7_token_counts, op8_toxicity, op9_quality_rules, op10_embedding_near_dedup, op12_source_divergence, op13_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_warc, op4_substring_dedup, op5_line_dedup, op6_bpe_roundtrip, op7_token_counts, op8_toxicity, op9_quality_rules, op10_embedding_near_dedup, op11_conversation_trie, op12_source_divergence, op13_url_filters)}
 ORACLE_SQL: dict[str, str] = {
     "op10_embedding_near_dedup": """
         WITH RECURSIVE v AS (
@@ -124,6 +131,37 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c.x AS vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.x = c.component_id AS kept
         FROM comp c LEFT JOIN n ON c.x = n.x
     """,
+    "op11_conversation_trie": """
+        WITH t AS (
+            SELECT conv_id, role, txt, turn_hash, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, turn_hash) AS i FROM (
+                SELECT conv_id, turn, role, txt, sha256(strlen(role)::VARCHAR || ':' || role || txt) AS turn_hash
+                FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS txt FROM conversations WHERE conv_id IS NOT NULL)
+            )
+        ), c AS (
+            SELECT conv_id, xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda k: ascii(substr(conv_id::VARCHAR, k, 1))::BIGINT)),
+                lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))
+            )) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)
+        ), r AS (
+            SELECT c.conv_id, 0 AS part, i, turn_hash, length(txt) AS chars FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.i <= c.h
+            UNION ALL
+            SELECT c.conv_id, 1, i, turn_hash, length(txt) FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h
+        ), m AS (
+            SELECT conv_id, row_number() OVER w AS depth, string_agg(turn_hash, '') OVER w AS path, chars FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)
+            UNION ALL
+            SELECT conv_id, 0, '', 0 FROM c
+        ), node AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM m GROUP BY path, depth),
+        ends AS (
+            SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(path, depth) AS path FROM m GROUP BY conv_id) GROUP BY path
+        ), kids AS (SELECT substr(path, 1, 64 * (depth - 1)::BIGINT) AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+        below AS (
+            SELECT substr(path, 1, 64 * d) AS path, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+            FROM (SELECT node.path, n_convs, chars, kids.n IS NULL AS leaf, unnest(range(depth + 1)) AS d FROM node LEFT JOIN kids ON node.path = kids.path) GROUP BY 1
+        )
+        SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM node JOIN below ON node.path = below.path LEFT JOIN kids ON node.path = kids.path LEFT JOIN ends ON node.path = ends.path
+        LEFT JOIN node up ON node.depth > 0 AND up.path = substr(node.path, 1, 64 * (node.depth - 1)::BIGINT)
+    """,
     "op12_source_divergence": r"""
         WITH d AS (
             SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce("text", '') AS t FROM documents

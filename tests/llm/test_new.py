@@ -134,3 +134,56 @@ def test_billionths_are_exact():
         d = rnd.randrange(1, 9 * 10 ** rnd.randrange(1, 16))
         a = [rnd.randrange(0, d + 1) for _ in range(5)] + [d]
         assert billionths(np.array(a), d).tolist() == [10**9 * x // d for x in a]
+
+
+CONVS = "conv_id long, turn int, role string, text string, seq string, id int"
+
+
+def _conversations():
+    rnd, out = random.Random(8), []
+    for c in [*range(0, 260), *range(-130, -90), 1000, 1001, 10**12, 10**12 + 7]:
+        for t in range(rnd.choice([1, 2, 3, 6, 9])):
+            out.append((c, t, rnd.choice(["user", "bot"]) if t else "system", f"é{rnd.choice('ab')}" * rnd.randrange(3), "clash", 1))
+    out += [(c, t, "user", f"same {t}", "c", 1) for c in range(100_000, 100_400) for t in range(3)]  # copies, but for their openings
+    out += [(500, None, None, None, "c", 1), (500, 1, "b", "x", "c", 1), (500, 1, "a", "y", "c", 1), (500, 1, "a", "x", "c", 1), (500, 1, "a", "x", "c", 1), (None, 1, "a", "x", "c", 1), (504, 3, "a", "only", "c", 1)]
+    out += [(700, t, "user", "long", "c", 1) for t in range(500)] + [(707, t, "user", "long", "c", 1) for t in range(499)]
+    rnd.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("run, ids, size, facts", [(4096, 12, 16 << 20, 200_000), (5, 2, 600, 0)])
+def test_conversation_trie(spark, folder, monkeypatch, run, ids, size, facts):
+    """Also with tiny runs of sequences and ids, many ranges, and no broadcasts."""
+    from embedlake.llm import _work, conversation_trie as C
+
+    for m, k, v in ((C, "RUN", run), (C, "IDS", ids), (C, "RANGE", size), (_work, "BROADCAST_FACTS", facts)):
+        monkeypatch.setattr(m, k, v)
+    got = same(spark, folder, "op11_conversation_trie", {"conversations": spark.createDataFrame(_conversations(), CONVS).repartition(5)})
+    assert max(r["depth"] for r in got) == 500 and sum(r["parent_conv_id"] is None for r in got) == 1
+
+
+def test_conversation_trie_on_tables(spark, folder):
+    from embedlake.llm import _work, conversation_trie as C
+
+    convs = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    assert same(spark, folder, "op11_conversation_trie", {"conversations": convs})
+    assert C.trie(C.rebuilt(_work.Workspace(spark, "none"), convs.where("false"))).count() == 0
+    # only turnless conversations: a root and nothing else
+    one = C.trie(spark.createDataFrame([(3, []), (1, [])], "conv_id long, turns array<struct<key binary, chars int>>")).collect()
+    assert [(r["conv_id"], r["depth"], r["n_convs"], r["n_leaves"], r["n_children"]) for r in one] == [(1, 0, 2, 1, 0)]
+
+
+def test_merge_carries_shared_turns():
+    import os
+
+    from embedlake.llm import conversation_trie as C
+
+    rnd = random.Random(2)
+    words = [bytes([k]) * 8 + bytes([j]) * 8 for k in range(2) for j in range(2)]
+    seqs = list({b"".join(rnd.choice(words) for _ in range(rnd.randrange(8))) for _ in range(900)})
+    for k in (1, 2, 3, 7, 64, 200):
+        runs = [sorted(seqs[j::k]) for j in range(k)]
+        runs = [[(s, C.shared(r[i - 1], s) if i else 0, s) for i, s in enumerate(r)] for r in runs]
+        got = list(C.merge(runs))
+        assert [g[0] for g in got] == sorted(seqs)
+        assert [g[1] for g in got[1:]] == [len(os.path.commonprefix([a[0], b[0]])) // 16 for a, b in zip(got, got[1:])]
