@@ -1,20 +1,23 @@
-"""Operator 4: removal of repeated passages by prefix-partitioned suffix trees.
+"""Operator 4: removal of repeated passages by prefix-partitioned suffix arrays.
 
 Suffixes of all texts are split by prefixes of their words into groups that fit in memory. The first prefix has
 ``prefix`` words and is taken at anchors: the suffixes at which a window of ``window`` words has its smallest
 ``prefix``-word gram, one in six or so. Equal windows have their anchor at the same place, so none is lost, and
 a prefix that stands only once ends there. Where it stands again, the words around the anchor, up to a window to
-either side, go to the group of their prefix. A group is a subtree: its suffixes, one for each window over an
-anchor, are sorted, and runs of neighbours that share ``window`` words, compared word by word, are its deep
-internal nodes. Read along a text, the leaves of deep nodes are the maximal repeats. The earliest leaf of a node
-stays; words under any other are removed. A group of more than ``most`` anchors doesn't become a tree in memory:
-its suffixes are split again, by a prefix of all ``window`` words, whose groups are deep nodes themselves and
-need an aggregate only.
-
-Words travel as 32-bit numbers, and are compared as such: a passage could be taken for another only if they
-differ in nothing but words whose numbers agree. Anchors that a task finds repeated among its own rows are known
-to be so without a shuffle; a hot passage sends one row a slice of texts. Texts are dealt out once, by row, and
-read again from there; what a row repeats itself is settled within the row.
+either side, go to the group of their prefix. In a group suffixes are brought into the order of their words by
+prefix doubling (ranks of 1, 2, 4, ... words), down to ``window`` words; suffixes of equal rank are the leaves below one
+deep internal node. Read along a text, they are the maximal repeats. The earliest leaf of a node stays; words
+under any other are removed.
+
+Anchors are counted by prefix first. A prefix with more than ``most`` anchors is prolonged to all ``window`` words:
+each of its windows goes by a 128-bit digest of its words, which is a deep node itself, so an aggregate that sums
+before it shuffles finds the earliest leaf, and leaves meet it by digest and salt. No task gets a hot prefix whole.
+Which prefixes are hot travels as a set of 2^23 bits; one taken for hot by mistake only takes the longer way.
+
+Groups compare words themselves: anchors' rows carry text, and words get exact numbers in a group. Hashes only deal
+rows out; windows that a row has twice are found by hashes and compared by their words. Anchors that a task finds
+repeated among its own rows are known to be so without a shuffle; a hot passage sends one row a slice of texts.
+Texts are dealt out once, by row, and read again from there; what a row repeats itself is settled within the row.
 
 Cases: null or empty text has no words; texts shorter than a window stay; rows without an id come last in
 the order of documents; rows that repeat an id are documents at the same place, of which none removes the
@@ -34,22 +37,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedlake.llm import _text as T
-from embedlake.llm._work import Workspace
+from embedlake.llm._work import Workspace, bounded_ids, join_facts
 
 SLICE = 3 << 20
 PREFIX = 10
-#: Anchors of a subtree at most, with 30 words or so each; and of the groups that are sorted at once.
+#: Anchors of a group at most, with 30 words or so each; and of the groups that are sorted at once.
 MOST, TOGETHER = 50_000, 20_000
 #: Windows that one anchor's row holds at most: a bit each.
 RUN = 32
+#: Bits of the set of hot prefixes.
+HOT = 1 << 23
+
+
+def doubled(ids: np.ndarray, left: np.ndarray, size: int) -> np.ndarray:
+    """Ranks of the suffixes that start at each word, by their first ``size`` words: equal if and only if these are.
+
+    ``left``: words from there to the end of the row; a row's end comes before all words.
+    """
+    rank, have, n = ids.astype(np.int64) + 1, 1, len(ids)
+    at = np.arange(n)
+    while have < size:
+        step = min(have, size - have)  # two overlapping halves at the end
+        behind = np.where(left > step, rank[np.minimum(at + step, n - 1)], 0)
+        key = rank * (int(rank.max()) + 1) + behind
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, key[order][1:] != key[order][:-1])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new)
+        have += step
+    return rank
+
+
+def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, between: np.ndarray = T.SPACE) -> np.ndarray:
+    """Numbers of all words of ``data``, equal if and only if the words are."""
+    bounds = np.append(0, np.cumsum(ends - starts))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[~between[data]])])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of ``data`` one behind the other, and their bounds."""
+    ends = np.cumsum(size)
+    at = np.repeat(begin - (ends - size), size)
+    at += np.arange(len(at))
+    return data[at], np.append(0, ends)
 
 
 class Layout:
     """Words, windows and anchors of a run of texts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, prefix: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, prefix: int, bits: int = 64):
+        self.data, self.window = data, window
         self.starts, self.ends, self.first = T.words(data, offsets)
-        self.h = T.hashes(data, self.starts, self.ends)
+        self.h = T.hashes(data, self.starts, self.ends) >> np.uint64(64 - bits)
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         n = len(self.h)
         if n < window:
@@ -79,23 +119,46 @@ class Layout:
         self.repeats = np.zeros(len(k), bool)
         self.repeats[order] = np.repeat(times > 1, times)
 
-    def windows(self, wanted: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, anchors and hashes of the windows whose anchor is wanted (a flag for each anchor)."""
         mark = np.zeros(len(self.h) + 1, bool)
         mark[self.anchors[wanted]] = True
         take = mark[self.anchor]
         at = self.at[take]
-        return at, self.anchor[take], T.grams(self.h, window)[at] if len(at) else np.zeros(0, np.uint64)
+        return at, self.anchor[take], T.grams(self.h, self.window)[at] if len(at) else np.zeros(0, np.uint64)
 
     def later(self, at: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Flags the windows whose words start earlier in the same row."""
-        order = np.lexsort((key, self.row[at]))
-        k, r = key[order], self.row[at][order]
+        """Flags the windows whose words start earlier in the same row; windows of equal ``key`` are compared by their words."""
         out = np.zeros(len(at), bool)
-        if len(k):
-            out[order] = np.append(False, (k[1:] == k[:-1]) & (r[1:] == r[:-1]))
+        order = np.lexsort((key, self.row[at]))
+        k, r, place = key[order], self.row[at][order], at[order]
+        again = np.append(False, (k[1:] == k[:-1]) & (r[1:] == r[:-1])) if len(k) else out
+        if not again.any():
+            return out
+        ids = word_ids(self.data, self.starts, self.ends)
+        one, two = place[again], place[np.flatnonzero(again) - 1]
+        if all(np.array_equal(ids[one + j], ids[two + j]) for j in range(self.window)):
+            out[order] = again
+            return out
+        rank = doubled(ids, self.first[self.row + 1] - np.arange(len(ids)), self.window)[at]
+        order = np.lexsort((rank, self.row[at]))
+        k, r = rank[order], self.row[at][order]
+        out[order] = np.append(False, (k[1:] == k[:-1]) & (r[1:] == r[:-1]))
         return out
 
+    def texts(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words with a blank behind each, and where each starts."""
+        size = self.ends - self.starts + 1
+        raw, bounds = _gathered(np.append(self.data, np.uint8(32)), self.starts, size)
+        raw[bounds[1:] - 1] = 32
+        return raw, bounds
+
+    def digests(self, at: np.ndarray) -> list[bytes]:
+        """A digest of the words of each window."""
+        raw, bounds = self.texts()
+        whole, begin, end = raw.tobytes(), bounds[at].tolist(), bounds[at + self.window].tolist()
+        return [hashlib.sha256(whole[a:b]).digest()[:16] for a, b in zip(begin, end, strict=True)]
+
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row and value of all entries of a list column."""
@@ -104,7 +167,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), size), flat.astype(np.int64)
 
 
-def _first_level(texts: DataFrame, window: int, prefix: int) -> DataFrame:
+def _first_level(texts: DataFrame, window: int, prefix: int, bits: int) -> DataFrame:
     """(g, _row, p, m, told): the first anchor of each gram in each row, and how often the row has it.
 
     Of rows of a slice that share a gram, one stands for them with all their occurrences; a row each with ``told``
@@ -114,7 +177,7 @@ def _first_level(texts: DataFrame, window: int, prefix: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, data, offsets in T.slices(batch.column(1), SLICE):
-                x = Layout(data, offsets, window, prefix)
+                x = Layout(data, offsets, window, prefix, bits)
                 if not len(x.anchors):
                     continue
                 order = np.argsort(x.g[x.firsts], kind="stable")
@@ -133,179 +196,174 @@ def _first_level(texts: DataFrame, window: int, prefix: int) -> DataFrame:
     return texts.select("_row", "_text").mapInArrow(run, "g bigint, _row bigint, p int, m int, told boolean")
 
 
-def _repeated(first: DataFrame) -> DataFrame:
-    """(_row, p) of the anchors that other rows have too; a stream over sorted rows that keeps one row between batches."""
+def _repeated(first: DataFrame, most: int) -> DataFrame:
+    """(_row, p, hot) of the anchors that other rows have too; and a row each with the gram ``hot`` that has more than ``most``.
+
+    A stream over sorted rows that keeps one row between batches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last gram, and its only row so far if that isn't out
+        def made(row: np.ndarray, p: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+            n, m = len(row), len(hot)
+            return pa.RecordBatch.from_arrays([
+                pa.concat_arrays([pa.array(row, pa.int64()), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.array(p.astype(np.int32)), pa.nulls(m, pa.int32())]),
+                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(hot, pa.int64())]),
+            ], ["_row", "p", "hot"])
+
+        none = np.zeros(0, np.int64)
+        held = None  # the last gram, its only row so far if that isn't out, and its anchors so far
         for batch in batches:
             told = batch.column(4).to_numpy(zero_copy_only=False)
-            out = batch.filter(batch.column(4)).select(["_row", "p"])
-            if out.num_rows:
-                yield out
-            g, row, p, m = (c.to_numpy(zero_copy_only=False)[~told] for c in batch.columns[:4])
+            g, row, p, m = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
+            if told.any():
+                yield made(row[told], p[told], none)
+            g, row, p, m = g[~told], row[~told], p[~told], m[~told].astype(np.int64)
             if not len(g):
                 continue
+            count = m.copy()
             if held is not None:
-                g, row, p, m = np.append(held[0], g), np.append(held[1], row), np.append(np.int32(held[2]), p), np.append(np.int32(held[3]), m)
+                g, row, p, m, count = np.append(held[0], g), np.append(held[1], row), np.append(held[2], p), np.append(held[3], m), np.append(held[4], count)
             begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            size = np.diff(np.append(begin, len(g)))
+            size, total = np.diff(np.append(begin, len(g))), np.add.reduceat(count, begin)
             # m = 0: a row that goes on from the batch before, out already
             again = (np.repeat(size, size) > 1) & (m == 1)
-            if again.any():
-                yield pa.RecordBatch.from_arrays([pa.array(row[again]), pa.array(p[again].astype(np.int32))], ["_row", "p"])
+            hot = g[begin[:-1]][total[:-1] > most]
+            if again.any() or len(hot):
+                yield made(row[again], p[again], hot)
             last = len(g) - 1
-            held = (g[last:], row[last:], p[last], 0 if size[-1] > 1 else m[last])
+            held = (g[last:], row[last:], p[last], 0 if size[-1] > 1 else m[last], total[-1])
+        if held is not None and held[4] > most:
+            yield made(none, none, held[0])
 
     n = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return first.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "_row bigint, p int")
+    return first.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "_row bigint, p int, hot bigint")
+
+
+def _slot(g: np.ndarray) -> np.ndarray:
+    """A gram's bit in the set of hot ones."""
+    return (g.view(np.uint64) if g.dtype != np.uint64 else g) % np.uint64(HOT)
 
 
-def _suffixes(joined: DataFrame, id_type: str, window: int, prefix: int) -> DataFrame:
+def _suffixes(joined: DataFrame, id_type: str, window: int, prefix: int, bits: int, hot: bytes) -> DataFrame:
     """(g, _row, _id, s, live, words): the words under the windows of each anchor that repeats.
 
     ``s`` is the first window's start; bit j of ``live`` is set if the window at s + j is the row's first of its text.
+    Windows of hot grams have a row each; their ``words`` is a digest, and ``g`` is null.
     """
+    shared = joined.sparkSession.sparkContext.broadcast(hot) if hot else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.frombuffer(shared.value, np.uint8) if shared is not None else None
         for batch in batches:
             for a, b, data, offsets in T.slices(batch.column(2), SLICE):
-                x = Layout(data, offsets, window, prefix)
+                x = Layout(data, offsets, window, prefix, bits)
                 if not len(x.anchors):
                     continue
                 row, p = _lists(batch.column(3).slice(a, b - a))
                 known = np.zeros(len(x.h) + 1, bool)
                 known[x.first[row] + p] = True
-                at, anchor, key = x.windows(x.repeats | known[x.anchors], window)
+                at, anchor, key = x.windows(x.repeats | known[x.anchors])
                 if not len(at):
                     continue
+                g = T.grams(x.h, prefix)
+                keep = ~x.later(at, key)
+                if often is not None:
+                    slot = _slot(g[anchor])
+                    long = (often[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    own = at[long & keep]
+                    if len(own):
+                        take = pa.array(a + x.row[own])
+                        s, n = pa.array((own - x.first[x.row[own]]).astype(np.int32)), len(own)
+                        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), s, pa.array(np.ones(n, np.int64)), pa.array(x.digests(own), pa.binary())], ["g", "_row", "_id", "s", "live", "words"])
+                    at, anchor, keep = at[~long], anchor[~long], keep[~long]
+                    if not len(at):
+                        continue
                 new = np.append(True, anchor[1:] != anchor[:-1])
                 begin = np.flatnonzero(new)
                 place = np.arange(len(at)) - begin[np.cumsum(new) - 1]
                 begin = np.flatnonzero(place % RUN == 0)
                 group = np.cumsum(place % RUN == 0) - 1
                 live = np.zeros(len(begin), np.int64)
-                keep = ~x.later(at, key)
                 np.add.at(live, group[keep], np.int64(1) << (place[keep] % RUN))
                 size = np.diff(np.append(begin, len(at))) + window - 1
                 some = live > 0
                 begin, size, live = begin[some], size[some], live[some]
                 s = at[begin]
-                ends = np.cumsum(size)
-                numbers = (x.h >> np.uint64(32)).astype("<u4")[np.repeat(s - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-                words = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.append(0, ends * 4).astype(np.int32)), pa.py_buffer(numbers.tobytes())])
-                g, take = T.grams(x.h, prefix)[anchor[begin]], pa.array(a + x.row[s])
-                columns = [pa.array(g.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((s - x.first[x.row[s]]).astype(np.int32)), pa.array(live), words]
+                raw, start = x.texts()
+                text, bounds = _gathered(raw, start[s], start[s + size] - start[s] - 1)
+                words = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(text)])
+                take = pa.array(a + x.row[s])
+                columns = [pa.array(g[anchor[begin]].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((s - x.first[x.row[s]]).astype(np.int32)), pa.array(live), words]
                 yield pa.RecordBatch.from_arrays(columns, ["g", "_row", "_id", "s", "live", "words"])
 
     return joined.select("_row", "_id", "_text", "_at").mapInArrow(run, f"g bigint, _row bigint, _id {id_type}, s int, live bigint, words binary")
 
 
-def deep_nodes(g: np.ndarray, rank: np.ndarray, s: np.ndarray, live: np.ndarray, words: pa.Array, window: int, bits: int = 64) -> np.ndarray:
+def deep_nodes(rank: np.ndarray, s: np.ndarray, live: np.ndarray, words: pa.Array, window: int) -> np.ndarray:
     """For each anchor's row the bits of its windows that are not the earliest leaf of their deep node.
 
-    Rows are of whole groups ``g``; ``rank`` orders documents. Suffixes are sorted by group and a hash of ``window``
-    words (cut to ``bits``), then by place; neighbours with equal hashes are compared word by word.
+    Rows are of whole groups; ``rank`` orders documents; ``words`` are texts of words with one blank between.
     """
     raw, bounds = T.buffers(words)
-    numbers = np.frombuffer(raw[bounds[0] : bounds[-1]].tobytes(), "<u4").astype(np.uint64)
-    size = np.diff(bounds) // 4
-    off = np.cumsum(size) - size
+    data, offsets = raw[bounds[0] : bounds[-1]], bounds - bounds[0]
+    starts, ends, first = T.words(data, offsets)
+    size = np.diff(first)
     many = size - window + 1
-    own = np.repeat(np.arange(len(g)), many)
+    own = np.repeat(np.arange(len(s)), many)
     j = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
     alive = (live[own] >> j) & 1 > 0
     own, j = own[alive], j[alive]
-    at = off[own] + j
-    h = T.mix(T.grams(numbers, window)[at] ^ T.mix(g[own].view(np.uint64))) >> np.uint64(64 - bits)
-    order = np.lexsort((s[own] + j, rank[own], h))
-    own, j, at, h = own[order], j[order], at[order], h[order]
-    same = np.append(False, h[1:] == h[:-1])
-    lead = np.flatnonzero(~same)[np.cumsum(~same) - 1]  # the earliest suffix with the hash
-    check = np.flatnonzero(same)
-    span = np.arange(window)
-    unlike = np.zeros(len(h), bool)
-    for k in range(0, len(check), 1 << 16):
-        c = check[k : k + (1 << 16)]
-        unlike[c] = (numbers[at[c][:, None] + span] != numbers[at[lead[c]][:, None] + span]).any(axis=1) | (g[own[c]] != g[own[lead[c]]])
-    for first in np.unique(lead[unlike]).tolist():  # different words with one hash
-        by: dict[tuple, int] = {}
-        for c in range(first, len(h)):
-            if h[c] != h[first]:
-                break
-            lead[c] = by.setdefault((int(g[own[c]]), numbers[at[c] : at[c] + window].tobytes()), c)
+    node = doubled(word_ids(data, starts, ends), np.repeat(first[1:], size) - np.arange(len(starts)), window)[first[own] + j]
+    order = np.lexsort((s[own] + j, rank[own], node))
+    own, j, node = own[order], j[order], node[order]
+    same = np.append(False, node[1:] == node[:-1])
+    lead = np.flatnonzero(~same)[np.cumsum(~same) - 1]  # the earliest leaf of the node
     behind = (rank[own] != rank[own[lead]]) | (s[own] + j != s[own[lead]] + j[lead])
-    out = np.zeros(len(g), np.int64)
+    out = np.zeros(len(s), np.int64)
     np.add.at(out, own[behind], np.int64(1) << j[behind])
     return out
 
 
-def _subtrees(suffixes: DataFrame, id_type: str, window: int, most: int, bits: int) -> DataFrame:
-    """(_row, _id, s, mask, words): windows that are repeats (``words`` null), or rows of groups beyond memory, as they are."""
+def _groups(suffixes: DataFrame, id_type: str, window: int) -> DataFrame:
+    """(_row, _id, s, mask): windows that are not the earliest of their words, from a stream of whole groups."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        rank = pc.rank(t.column("_id").combine_chunks(), sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+        mask = deep_nodes(rank, t.column("s").to_numpy().astype(np.int64), t.column("live").to_numpy(), t.column("words").combine_chunks(), window)
+        some = np.flatnonzero(mask)
+        t = t.select(["_row", "_id", "s"]).take(pa.array(some)).append_column("mask", pa.array(mask[some]))
+        return t.combine_chunks().to_batches(max_chunksize=max(1, len(some)))[0] if len(some) else pa.RecordBatch.from_pylist([], schema=t.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            rank = pc.rank(t.column("_id").combine_chunks(), sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
-            g, s, live = (t.column(c).to_numpy() for c in ("g", "s", "live"))
-            mask = deep_nodes(g, rank, s.astype(np.int64), live, t.column("words").combine_chunks(), window, bits)
-            return made(t, mask, False)
-
-        def made(t: pa.Table, mask: np.ndarray, whole: bool) -> pa.RecordBatch:
-            some = np.flatnonzero(mask)
-            t = t.take(pa.array(some))
-            words = t.column("words") if whole else pa.chunked_array([pa.nulls(len(some), pa.binary())])
-            out = pa.Table.from_arrays([t.column("_row"), t.column("_id"), t.column("s"), pa.chunked_array([pa.array(mask[some])]), words], ["_row", "_id", "s", "mask", "words"])
-            return out.combine_chunks().to_batches(max_chunksize=max(1, len(some)))[0] if len(some) else pa.RecordBatch.from_pylist([], schema=out.schema)
-
-        held, n, large = [], 0, None  # rows of groups that may go on; the group that is beyond memory
+        held, n = [], 0  # rows of groups that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             n += batch.num_rows
-            last = batch.column(0)[-1].as_py()
-            if large is None and n < TOGETHER:
+            if n < TOGETHER:
                 continue
             t = pa.Table.from_batches(held)
             g = t.column("g").to_numpy()
-            if large is not None:
-                end = int(np.searchsorted(g != large, True)) if g[0] == large else 0
-                if end:
-                    part = t.slice(0, end)
-                    yield made(part, part.column("live").to_numpy(), True)
-                    t, g = t.slice(end), g[end:]
-                large = large if not len(g) else None
-            open_at = int(np.flatnonzero(g != last)[-1]) + 1 if len(g) and g[0] != last else 0
+            open_at = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
             if open_at:
                 yield solve(t.slice(0, open_at))
                 t = t.slice(open_at)
-            if t.num_rows > most:
-                large = last
-                yield made(t, t.column("live").to_numpy(), True)
-                t = t.slice(0, 0)
             held, n = t.to_batches(), t.num_rows
-        if held and n:
+        if n:
             yield solve(pa.Table.from_batches(held))
 
     n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return suffixes.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, f"_row bigint, _id {id_type}, s int, mask bigint, words binary")
-
-
-def _by_whole_prefix(large: DataFrame, id_type: str, window: int) -> DataFrame:
-    """(_row, _id, s, mask) of the repeats in groups beyond memory: split by all ``window`` words, a row each."""
+    return suffixes.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, f"_row bigint, _id {id_type}, s int, mask bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s, live, words = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            rows = [(k, s[k] + j, w[4 * j : 4 * (j + window)]) for k, w in enumerate(words) for j in range(len(w) // 4 - window + 1) if live[k] >> j & 1]
-            take = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["_row", "_id", "s", "words"])
 
-    each = large.select("_row", "_id", "s", "mask", "words").mapInArrow(run, f"_row bigint, _id {id_type}, s int, words binary")
+def _by_whole_window(ws: Workspace, each: DataFrame) -> DataFrame:
+    """(_row, _id, s, mask) of the repeats among windows of hot prefixes, a row each; ``words`` is the digest of all their words."""
     each = each.withColumn("place", F.struct(F.col("_id").isNull(), "_id", "s"))
-    first = each.groupBy("words").agg(F.min("place").alias("first"))
-    return each.join(first, "words").where("place > first").select("_row", "_id", "s", F.lit(1).cast("long").alias("mask"))
+    first = ws.save(each.groupBy("words").agg(F.min("place").alias("first")), "earliest")
+    found = join_facts(each, first, ["words"], F.xxhash64("_row", "s"), "inner")
+    return found.where("place > first").select("_row", "_id", "s", F.lit(1).cast("long").alias("mask"))
 
 
 def _covered(x: Layout, flagged: np.ndarray, window: int) -> np.ndarray:
@@ -325,12 +383,18 @@ def _searched(docs: DataFrame, id_col: str, text_col: str, window: int, prefix:
     )
     kind = docs.schema[id_col].dataType.simpleString()
     dealt = named.repartition(n, "_row")
-    known = _repeated(_first_level(named, window, prefix)).groupBy("_row").agg(F.collect_list("p").alias("_at"))
-    suffixes = _suffixes(dealt.join(known, "_row", "left"), kind, window, prefix)
-    trees = ws.save(_subtrees(suffixes, kind, window, most, bits), "trees")
-    found, large = trees.where("words is null").drop("words"), trees.where("words is not null")
-    if not large.isEmpty():
-        found = found.unionByName(_by_whole_prefix(large, kind, window))
+    repeated = ws.save(_repeated(_first_level(named, window, prefix, bits), most), "repeated")
+    grams = repeated.where("hot is not null")
+    hot = b"" if grams.isEmpty() else bytes(bounded_ids(grams, "hot", HOT, lambda c: F.pmod(F.col(c), F.lit(HOT))))
+    known = repeated.where("hot is null").groupBy("_row").agg(F.collect_list("p").alias("_at"))
+    suffixes = _suffixes(dealt.join(known, "_row", "left"), kind, window, prefix, bits, hot)
+    if hot:
+        suffixes = ws.save(suffixes, "suffixes")
+        found = _groups(suffixes.where("g is not null"), kind, window).unionByName(_by_whole_window(ws, suffixes.where("g is null")))
+    else:
+        found = _groups(suffixes, kind, window)
+    found = ws.save(found, "found")
+    ws.drop("repeated", "suffixes", "earliest")
     # joined by row number alone, so that texts stay where they are dealt; two rows that share a number differ in id
     flags = found.groupBy("_row").agg(F.collect_list(F.struct(F.col("_id").alias("of"), "s", "mask")).alias("_all"))
     own = F.transform(F.filter("_all", lambda x: x["of"].eqNullSafe(F.col("_id"))), lambda x: F.struct(x["s"].alias("s"), x["mask"].alias("mask")))
@@ -354,11 +418,11 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in T.slices(batch.column(1), SLICE):
-                x = Layout(data, offsets, window, prefix)
+                x = Layout(data, offsets, window, prefix, bits)
                 row, s = _starts(batch.column(2).slice(a, b - a))
                 flagged = x.first[row] + s
                 if len(x.anchors):
-                    at, _, key = x.windows(x.repeats, window)
+                    at, _, key = x.windows(x.repeats)
                     flagged = np.append(flagged, at[x.later(at, key)])
                 gone = _covered(x, flagged, window)
                 run_ = np.append(0, np.cumsum(gone))
@@ -390,7 +454,7 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int
 def removal_report(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, most: int = MOST, bits: int = 64) -> DataFrame:
     """id, n_words, n_removed and kept_sha256 (of the kept words, joined by one blank) of each row.
 
-    ``most``: anchors of a subtree in memory; ``bits``: of the hash by which its suffixes are sorted (fewer only cost time).
+    ``most``: anchors of a group in memory; ``bits``: of the words' hashes by which rows are dealt out (fewer only cost time).
     """
     return _apply(docs, id_col, text_col, window, prefix, False, most=most, bits=bits)
 

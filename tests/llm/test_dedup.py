@@ -123,9 +123,34 @@ def test_substring_random(spark):
         df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
         want = sorted((i, n, g, hashlib.sha256(kept).hexdigest()) for (i, _), (n, g, kept) in zip(texts, removed(texts, window), strict=True))
         assert sorted(tuple(r) for r in substring.removal_report(df, window).collect()) == want
-        # forced collisions of the sorting hash, and groups beyond memory
-        assert sorted(tuple(r) for r in substring.removal_report(df, window, bits=3).collect()) == want
-        assert sorted(tuple(r) for r in substring.removal_report(df, window, most=4).collect()) == want
+        # word hashes of a few bits, and groups beyond memory
+        for bits, most in ((3, 50_000), (1, 50_000), (64, 4), (3, 4)):
+            assert sorted(tuple(r) for r in substring.removal_report(df, window, bits=bits, most=most).collect()) == want
+
+
+def test_substring_of_words_with_equal_hashes(spark):
+    """Passages that differ in one word stay, whatever the words' hashes."""
+    words = [f"{k:07d}" for k in range(40)]
+    texts = []
+    for k in range(12):
+        own = list(words[:20])
+        own[(0, 19, 7)[k % 3]] = f"9{k:06d}"
+        texts.append((k, " ".join(own)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for bits, most in ((64, 50_000), (1, 50_000), (2, 50_000), (1, 3)):
+        assert {r["n_removed"] for r in substring.removal_report(df, bits=bits, most=most).collect()} == {0}
+
+
+def test_doubled_ranks_are_those_of_suffixes():
+    rng = np.random.default_rng(6)
+    size = [int(x) for x in rng.integers(1, 60, 30)]
+    ids = rng.integers(0, 3, sum(size))
+    left = np.concatenate([np.arange(n, 0, -1) for n in size])
+    for window in (1, 2, 3, 7, 8, 20):
+        keys = [tuple(ids[i : i + min(window, left[i])]) for i in range(len(ids))]
+        order = {k: r for r, k in enumerate(sorted(set(keys)))}
+        got = substring.doubled(ids, left, window)
+        assert len(set(zip(got.tolist(), keys, strict=True))) == len(order) and [order[k] for k in keys] == (np.unique(got, return_inverse=True)[1]).tolist()
 
 
 def test_lines(spark, docs, none):
