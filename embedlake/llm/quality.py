@@ -3,10 +3,12 @@
 Base figures come from one pass over the texts. In place of fixed cutoffs, each figure of a document is held
 against the fence that its own language and source set: the third quartile of the group and ``FENCE``
 interquartile ranges beyond it, both from mergeable sketches (KLL, merged across tasks), one per group and
-figure. Quartiles of mostly clean groups hardly move with their bad documents. Where three quarters of a
-group share one value the fence is that value, so a document counts as beyond a fence only if it is so by
-more than ``ERRORS`` standard errors of its own figure: one repeated line of ten says little, a third of
-symbols among a thousand characters much. No figure has a cutoff of its own.
+figure. Quartiles of mostly clean groups hardly move with their bad documents. Shares are taken as logarithms of
+(count + 1) / (all + 1), so that a group whose documents hold none at all still has quartiles and a spread of its
+own: what so many characters, lines or words without any say about the rate. No fence is a count or a share of
+its own. A figure is beyond its fence if it is so by more than ``ERRORS`` standard errors of its own count:
+one repeated line of ten says little, a third of symbols among a thousand characters much, and ten symbols in
+a book nothing.
 A document that passes the base rules is rejected if any figure lies beyond its fence; ``beyond`` names them.
 Groups with fewer than ``MIN_GROUP`` documents take the fences of their language, and those of rare languages
 the fences of all.
@@ -30,7 +32,7 @@ WORD, SYMBOLS = r"[^\x20\x09-\x0D]", "#*$%&|<>"
 MIN_GROUP = 30
 SALTS = 16
 #: Interquartile ranges beyond the third quartile of its group, and standard errors beyond that, that a figure may have.
-FENCE, ERRORS = 3.0, 3.0
+FENCE, ERRORS = 2.0, 2.0
 #: Size of the sketches: quantiles are exact up to so many documents of a group, and within 0.3 % of rank beyond.
 SKETCH = 1024
 #: Words of the smallest repeat (a window of three, twice): they count as one event.
@@ -98,20 +100,19 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
 
 
 def _shares() -> dict[str, Column]:
-    """Symbols a word character, repeated lines a line, repeated words a word, word characters a word."""
-    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    """Logarithms of symbols a word character, repeated lines a line and repeated words a word; word characters a word."""
+    rate = lambda a, b: F.log((F.col(a) + 1) / (F.col(b) + 1))
     return {
-        "symbol_share": part("n_symbols", "word_chars"), "dup_line_share": part("n_dup_lines", "n_lines"),
-        "repeat_share": part("n_repeat_words", "n_words"), "long_words": part("word_chars", "n_words"),
+        "symbol_share": rate("n_symbols", "word_chars"), "dup_line_share": rate("n_dup_lines", "n_lines"), "repeat_share": rate("n_repeat_words", "n_words"),
+        "long_words": F.when(F.col("n_words") > 0, F.col("word_chars") / F.col("n_words")).otherwise(0.0),
     }
 
 
 def _errors() -> dict[str, Column]:
-    """Standard errors of the figures: of a share of so many events, and of a mean of so many counts."""
-    events = {"symbol_share": F.col("word_chars"), "dup_line_share": F.col("n_lines"), "repeat_share": F.col("n_words") / REPEAT_WORDS}
-    share = lambda x, n: F.sqrt(F.greatest(F.col(x) * (1 - F.col(x)), F.lit(0.0)) / F.greatest(n.cast("double"), F.lit(1.0)))
+    """Standard errors of the figures: of the logarithm of a count of events, and of a mean of so many counts."""
+    of = lambda events: 1 / F.sqrt(events + 1)
     mean = F.sqrt(F.col("long_words") / F.greatest(F.col("n_words").cast("double"), F.lit(1.0)))
-    return {x: share(x, n) for x, n in events.items()} | {"long_words": mean}
+    return {"symbol_share": of(F.col("n_symbols")), "dup_line_share": of(F.col("n_dup_lines")), "repeat_share": of(F.col("n_repeat_words") / REPEAT_WORDS), "long_words": mean}
 
 
 def fences(measured: DataFrame, keys: list[str]) -> DataFrame:

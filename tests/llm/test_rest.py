@@ -202,6 +202,18 @@ def test_quality_fences_follow_the_group(spark):
     assert all(got[k] for k in range(80)) and all(got[100 + k] for k in range(80)) and not got[200] and not got[201]
 
 
+def test_quality_length_decides_nothing(spark):
+    """Ten symbols in 20,000 words stay where a group has none; a tenth of symbols goes, in long and short documents."""
+    rnd = random.Random(4)
+    data = [(k, prose(k, rnd.choice([60, 90, 200, 400, 900])), "en", "calm") for k in range(80)]
+    book = " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.randrange(999)) for _ in range(20_000))  # hardly any window twice
+    data += [(100, book + " # $ & | % * # $ & |", "en", "calm"), (101, " &".join(book.split()), "en", "calm"), (102, prose(702, 60) + " &" * 40, "en", "calm"), (103, prose(703, 300) + " &", "en", "calm")]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k]["kept"] for k in range(80)) and got[100]["kept"] and got[103]["kept"]
+    assert "symbol_share" in got[101]["beyond"] and "symbol_share" in got[102]["beyond"]
+    assert not got[100]["beyond"]
+
+
 def test_quality_verdicts_equal_exact_quantiles(spark):
     """``kept`` and ``beyond`` of whole tables against quantiles of sorted lists; no figure has a cutoff of its own."""
     import math
@@ -211,10 +223,10 @@ def test_quality_verdicts_equal_exact_quantiles(spark):
     for r in docs.collect():
         n, chars, symbols, dups, repeats = figures(r["text"])
         lines = sum(any(not c in " \t\n\x0b\f\r" for c in x) for x in (r["text"] or "").split("\n"))
-        share = lambda a, b: a / b if b else 0.0
-        error = lambda p, n: math.sqrt(max(p * (1 - p), 0) / max(n, 1))
-        p = [share(symbols, chars), share(dups, lines), share(repeats, n), share(chars, n)]
-        own[r["doc_id"]] = (r["lang"], r["source"], n < 50 or 100 * repeats > 50 * n, p, [error(p[0], chars), error(p[1], lines), error(p[2], n / 6), math.sqrt(p[3] / max(n, 1))])
+        rate = lambda a, b: math.log((a + 1) / (b + 1))
+        error = lambda events: 1 / math.sqrt(events + 1)
+        p = [rate(symbols, chars), rate(dups, lines), rate(repeats, n), chars / n if n else 0.0]
+        own[r["doc_id"]] = (r["lang"], r["source"], n < 50 or 100 * repeats > 50 * n, p, [error(symbols), error(dups), error(repeats / 6), math.sqrt(p[3] / max(n, 1))])
     passed = [v for v in own.values() if not v[2]]
 
     def fence(lang, source, k):
@@ -222,14 +234,14 @@ def test_quality_verdicts_equal_exact_quantiles(spark):
             if len(group) >= quality.MIN_GROUP or group is passed:
                 x = sorted(v[3][k] for v in group)
                 q = lambda p: x[max(0, math.ceil(p * len(x)) - 1)]
-                return q(0.75) + 3 * (q(0.75) - q(0.25))
+                return q(0.75) + 2 * (q(0.75) - q(0.25))
 
     want, limits = {}, {}
     for i, (lang, source, failed, p, e) in own.items():
         over = []
         for k, name in enumerate(quality.FIGURES):
             limit = limits.setdefault((lang, source, k), fence(lang, source, k))
-            if not failed and p[k] - 3 * e[k] > limit:
+            if not failed and p[k] - 2 * e[k] > limit:
                 over.append(name)
         want[i] = (not failed and not over, over)
     got = {r["doc_id"]: (r["kept"], r["beyond"]) for r in quality.quality(docs).collect()}
