@@ -12,7 +12,7 @@ from embedlake import config as C
 from embedlake.functions import models, providers
 from embedlake.functions import vector as V
 from embedlake.functions.template import format_column
-from embedlake.operators import chunk, ivf, knn
+from embedlake.operators import ann, chunk, codes, ivf, knn
 from embedlake.plans import cdc
 from embedlake.plans.pipeline import Pipeline, embedding_view, plan, with_column
 from embedlake.semantic.catalog import Catalog, content
@@ -139,6 +139,40 @@ def vec_ivf_search(spark, d):
     return found.select(F.col("query_id").alias("query_vec_id"), "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query()
+def vec_graph_search(spark, d):
+    """Search by graphs in cells for every twentieth vector; recall, and what the parameters do, are measured in the tests."""
+    e, index = table(spark, d, "embeddings"), ann.Index(spark, _scratch(spark, "graph"), ["vec_id"])
+    index.build(e)
+    found = index.search_many(e.where("vec_id % 20 = 0"), 10, "vec_id")
+    return found.select(F.col("query_id").alias("query_vec_id"), "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query()
+def vec_graph_changes(spark, d):
+    """The same after a segment in which some vectors are replaced by others' and some are gone; tests compare with exact search."""
+    e, index = table(spark, d, "embeddings"), ann.Index(spark, _scratch(spark, "graph"), ["vec_id"])
+    index.build(e)
+    index.upsert(e.where("vec_id % 7 = 1").withColumn("embedding", F.reverse("embedding")), e.where("vec_id % 11 = 2").select("vec_id"))
+    found = index.search_many(e.where("vec_id % 20 = 0"), 10, "vec_id")
+    return found.select(F.col("query_id").alias("query_vec_id"), "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"""
+    WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+    c AS (SELECT vec_id, unnest(e) AS x, unnest(range(64)) AS i FROM x),
+    t AS (SELECT i, (i % 7 - 3) / 3.0::DOUBLE AS q, round(avg(x) + stddev_pop(x) * -0.4307272992954576, 6) AS a, round(avg(x) + stddev_pop(x) * 0.4307272992954576, 6) AS b FROM c GROUP BY i),
+    h AS (SELECT vec_id, sum(((x > a) <> (q > a))::INT + ((x > b) <> (q > b))::INT) AS bits FROM c JOIN t USING (i) GROUP BY vec_id),
+    near AS (SELECT vec_id FROM h ORDER BY bits, vec_id LIMIT 100)
+    SELECT vec_id, round({COSINE}, 6) AS distance FROM embeddings WHERE vec_id IN (SELECT vec_id FROM near) ORDER BY {COSINE}, vec_id LIMIT 10""")
+def vec_code_topk(spark, d):
+    """Codes of two bits a dimension, scanned by Hamming distance, and the exact ranking of the nearest hundred."""
+    e = table(spark, d, "embeddings")
+    cuts = codes.thresholds(e, bits=2)
+    found = codes.search(e.withColumn("code", codes.code("embedding", cuts)), QUERY, cuts, 10, ["vec_id"], candidates=100)
+    return found.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 MD5_4 = "round(((('0x' || substr(md5(coalesce(text, '') || ':0'), 1, 8))::UBIGINT / 2147483647.5::DOUBLE) - 1)::FLOAT::DOUBLE, 4)"
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from embedlake.operators.knn import QUERY_BYTES, top_k
+from embedlake.operators.knn import QUERY_BYTES, _distances, top_k
 
 #: Rows that centroids are fitted on, at most, and bytes of them; every row is indexed.
 SAMPLE, SAMPLE_BYTES = 100_000, 64 << 20
@@ -110,54 +110,76 @@ def search(spark: SparkSession, path: str, query: Sequence[float], k: int, keys:
     return top_k(cells, query, k, keys, vector_col, meta["metric"], **more)
 
 
+def _cell_best(q, x, ids, k: int, metric: str) -> list[list]:
+    """For each query (distance, id) of its ``k`` nearest rows of a cell; ties by id."""
+    import numpy as np
+
+    d = _distances(q, x, metric)
+    return [[(float(row[j]), ids[j]) for j in np.lexsort((ids, row))[:k] if np.isfinite(row[j])] for row in d]
+
+
 def search_many(spark: SparkSession, path: str, queries: DataFrame, k: int, key: str, query_key: str, probes: int | None = None, vector_col: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, key, distance, rank): for each query the ``k`` nearest rows in its own nearest cells; ties by key.
 
-    Queries are held in blocks of at most ``query_bytes``; a task compares a cell's rows with the queries that probe it.
+    Queries of less than ``query_bytes`` go to every task, which compares a cell's rows with the queries that probe
+    it. More of them meet rows by the number of the cell, in blocks of a cell's queries and slices of its rows.
     """
     import numpy as np
+    import pandas as pd
 
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     c, metric, p = np.array(meta["centroids"]), meta["metric"], probes or meta["probes"]
-    cells = spark.read.parquet(f"{path}/cells")
+    cells = spark.read.parquet(f"{path}/cells").select(key, vector_col, "cell")
     qk, sk = queries.schema[query_key].dataType.simpleString(), cells.schema[key].dataType.simpleString()
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(query_key).alias("_q"), F.col(vector_col).cast("array<double>").alias("_v"))
+    schema, own = f"_q {qk}, _k {sk}, distance double", (c * c).sum(axis=1)[None, :]
 
-    def scan(block: list) -> DataFrame:
-        qids, q = [r[0] for r in block], np.array([r[1] for r in block], float)
-        near = np.argsort((c * c).sum(axis=1)[None, :] - 2 * (_unit(q) if metric == "vector_cosine_ops" else q) @ c.T, axis=1, kind="stable")[:, :p]
-        asks = {int(j): np.flatnonzero((near == j).any(axis=1)) for j in np.unique(near)}
+    def near(q):
+        return np.argsort(own - 2 * (_unit(q) if metric == "vector_cosine_ops" else q) @ c.T, axis=1, kind="stable")[:, :p]
 
-        def run(batches: Iterator) -> Iterator:
-            import pandas as pd
+    matrix = lambda column: np.stack(column.to_numpy()).astype(float)
+    rows = lambda found: pd.DataFrame(found, columns=["_q", "_k", "distance"])
+    size = 8 * c.shape[1] + 64
+    if asked.count() * size <= query_bytes:
+        block = asked.collect()  # bounded by ``query_bytes``
+        qids, q = [r[0] for r in block], np.array([r[1] for r in block], float).reshape(len(block), c.shape[1])
+        at = near(q)
+        asks = {int(j): np.flatnonzero((at == j).any(axis=1)) for j in np.unique(at)}
 
+        def run(batches: Iterator) -> Iterator:
             best: dict[int, list] = {}
             for pdf in batches:
-                for cell, own in pdf.groupby("cell"):
-                    x, ids, asked = np.stack(own[vector_col].to_numpy()).astype(float), own[key].to_numpy(), asks.get(int(cell), ())
-                    for i in asked:
-                        if metric == "vector_cosine_ops":
-                            with np.errstate(all="ignore"):
-                                d = 1 - (x @ q[i]) / (np.linalg.norm(x, axis=1) * np.linalg.norm(q[i]))
-                        elif metric == "vector_ip_ops":
-                            d = -(x @ q[i])
-                        elif metric == "vector_l1_ops":
-                            d = np.abs(x - q[i]).sum(axis=1)
-                        else:
-                            d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-                        top = [j for j in np.lexsort((ids, d))[:k] if np.isfinite(d[j])]
-                        best[i] = sorted(best.get(i, []) + [(float(d[j]), ids[j]) for j in top])[:k]
-            yield pd.DataFrame([(qids[i], j, d) for i, b in best.items() for d, j in b], columns=["_q", "_k", "distance"])
-
-        return cells.where(F.col("cell").isin(list(asks))).select(key, vector_col, "cell").mapInPandas(run, f"_q {qk}, _k {sk}, distance double")
-
-    found, block, held = spark.createDataFrame([], f"_q {qk}, _k {sk}, distance double"), [], 0
-    for row in queries.select(query_key, vector_col).where(F.col(vector_col).isNotNull()).toLocalIterator():
-        block.append(tuple(row))
-        held += 8 * len(row[1]) + 64
-        if held >= query_bytes:
-            found, block, held = found.unionByName(scan(block)), [], 0
-    if block:
-        found = found.unionByName(scan(block))
+                for cell, part in pdf.groupby("cell"):
+                    x, ids, who = matrix(part[vector_col]), part[key].to_numpy(), asks.get(int(cell), ())
+                    for i, found in zip(who, _cell_best(q[who], x, ids, k, metric) if len(who) else (), strict=True):
+                        best[i] = sorted(best.get(i, []) + found)[:k]
+            yield rows([(qids[i], j, d) for i, b in best.items() for d, j in b])
+
+        found = cells.where(F.col("cell").isin(list(asks))).mapInPandas(run, schema)
+    else:
+
+        def route(batches: Iterator) -> Iterator:
+            for pdf in batches:
+                if len(pdf):
+                    at = near(matrix(pdf["_v"]))
+                    take = np.repeat(np.arange(len(pdf)), at.shape[1])
+                    yield pdf.iloc[take].assign(cell=at.ravel().astype("int32"))
+
+        asks = asked.mapInPandas(route, f"_q {qk}, _v array<double>, cell int")
+        pieces = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") * size / query_bytes).cast("int").alias(name))
+        plan = F.broadcast(pieces(asks, "blocks").join(pieces(cells, "slices"), "cell"))  # a row a cell
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        left = asks.join(plan, "cell").select("_q", "_v", "cell", deal("_q", "blocks").alias("_b"), every("slices").alias("_s"))
+        right = cells.join(plan, "cell").select(F.col(key).alias("_k"), F.col(vector_col).alias("_v"), "cell", deal(key, "slices").alias("_s"), every("blocks").alias("_b"))
+
+        def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return rows([])
+            best = _cell_best(matrix(a["_v"]), matrix(b["_v"]), b["_k"].to_numpy(), k, metric)
+            return rows([(i, j, d) for i, own in zip(a["_q"], best, strict=True) for d, j in own])
+
+        found = left.groupBy("cell", "_b", "_s").cogroup(right.groupBy("cell", "_b", "_s")).applyInPandas(tile, schema)
     rank = F.row_number().over(Window.partitionBy("_q").orderBy("distance", "_k"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias("query_id"), F.col("_k").alias(key), "distance", "rank")
 

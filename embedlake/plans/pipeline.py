@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from embedlake.config import executions, validate
 from embedlake.functions.models import embed
 from embedlake.functions.template import format_column
-from embedlake.operators import ivf
+from embedlake.operators import ann, ivf
 from embedlake.operators.chunk import explode_chunks
 from embedlake.plans import cdc
 from embedlake.plans.store import BUCKETS, Table
@@ -186,18 +186,19 @@ class Pipeline:
         return self.spark.createDataFrame([row], "name string, source_table string, target_table string, view string, embedding_column string, pending_items long, disabled boolean")
 
     def maybe_index(self, path: str) -> bool:
-        """Build the index if its policy allows; True if it was built."""
+        """Build the index, with the configuration's parameters, if its policy allows; True if it was built.
+
+        Readers see an index when it is whole. An index that is there is left as it is.
+        """
         i = self.config["indexing"]
         if i["implementation"] == "none" or not self.table("store").exists():
             return False
         store, q = self.table("store").read(), self._queue()
         least = i.get("min_rows", 100_000)
-        rows = store.limit(least).count()
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
-        exists = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        if not ivf.may_build(rows, 0 if q is None else cdc.pending(q), exists, least, i.get("create_when_queue_empty", True)):
+        index = ann.Index(self.spark, path, [*self.config["keys"], "chunk_seq"])
+        if not ivf.may_build(store.limit(least).count(), 0 if q is None else cdc.pending(q), index.exists(), least, i.get("create_when_queue_empty", True)):
             return False
-        ivf.build(store, path, metric=i.get("opclass", "vector_cosine_ops"))
+        index.build(store, i.get("opclass", "vector_cosine_ops"), ann.Options.of(i))
         return True
 
     def executions(self) -> int:
