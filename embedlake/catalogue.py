@@ -12,12 +12,15 @@ from embedlake import config as C
 from embedlake.functions import models, providers
 from embedlake.functions import vector as V
 from embedlake.functions.template import format_column
-from embedlake.operators import ann, chunk, codes, ivf, knn
+from embedlake.operators import ann, chunk, codes, ivf, knn, sampling
+from embedlake.operators.words import WordIndex, fused
 from embedlake.plans import cdc
 from embedlake.plans.pipeline import Pipeline, embedding_view, plan, with_column
 from embedlake.semantic.catalog import Catalog, content
 from embedlake.session import shared_dir
 from embedlake.sources import dataset, loading
+from embedlake.semantic import keys
+from embedlake.streaming import worker
 from embedlake.streaming.worker import windowed_counts
 
 #: The query vector of the single-query searches: component i is (i % 7 - 3) / 3.
@@ -542,3 +545,106 @@ def pipeline_recursive(spark, d):
     docs = table(spark, d, "documents")
     config = C.vectorizer("default.documents", docs.schema, ["doc_id"], C.loading_column("text"), C.embedding_hash(16), formatting=C.formatting_python_template("title: $source $chunk"))
     return plan(docs, config).select("doc_id", "chunk_seq", F.length("chunk").alias("n_chars"), F.round(F.col("embedding")[0].cast("double"), 4).alias("e0"))
+
+
+@query(f"""
+    WITH c AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS id, lower(n_name) AS name, n_regionkey AS r, 'tpch.' || lower(n_name) || ' nation of region ' || n_regionkey AS content FROM nation),
+    s AS (SELECT id, name, list_cosine_distance({_HASH4.format('content', '::FLOAT::DOUBLE')}, {_HASH4.format("'which nation'", '')}) AS dist FROM c WHERE r = 3)
+    SELECT id, name, round(dist, 5) AS distance FROM s ORDER BY dist, id LIMIT 5""")
+def catalog_allowed(spark, d):
+    """The nearest objects among those that may be seen, of which there are fewer than near ones."""
+    c = _nations(spark, d)
+    c.vectorize("emb1")
+    return c.search_owners("emb1", "which nation", 5, allowed=F.col("description") == "nation of region 3").select("id", "name", F.round("distance", 5).alias("distance"))
+
+
+#: Scores of documents by words; {words} are those of the query.
+WORDS_SQL = """
+    t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
+    p AS (SELECT id, len(w) AS n, unnest(w) AS term FROM t),
+    tf AS (SELECT id, n, term, count(*) AS tf FROM p WHERE term IN ({words}) GROUP BY id, n, term),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    m AS (SELECT count(*) AS texts, sum(len(w)) AS words FROM t),
+    said AS (SELECT id, round(sum(ln(1 + (texts - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / (words::DOUBLE / texts)))), 6) AS score
+             FROM tf JOIN df USING (term), m GROUP BY id)""".replace("\\\\", "\\")
+ASKED = "Licensed under the terms of 2019"
+ASKED_SQL = ", ".join(f"'{w}'" for w in ASKED.lower().split())
+
+
+def _words(spark, d) -> WordIndex:
+    index = WordIndex(spark, _scratch(spark, "words"))
+    index.build(table(spark, d, "documents"), "doc_id", "text")
+    return index
+
+
+@query("WITH " + WORDS_SQL.format(words=ASKED_SQL) + "SELECT id AS doc_id, score FROM said ORDER BY score DESC, id LIMIT 25")
+def words_ranked(spark, d):
+    """Documents by words, from postings."""
+    return _words(spark, d).search(ASKED, 25).withColumnRenamed("id", "doc_id")
+
+
+@query("WITH " + WORDS_SQL.format(words=ASKED_SQL) + f""",
+    a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM said ORDER BY score DESC, id LIMIT 40),
+    b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {COSINE}, vec_id) AS r FROM embeddings WHERE embedding IS NOT NULL ORDER BY {COSINE}, vec_id LIMIT 40)
+    SELECT id AS doc_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY score DESC, id LIMIT 20""")
+def words_and_vectors(spark, d):
+    """The fusion of a ranking by words with one by vectors of the same ids."""
+    said = _words(spark, d).search(ASKED, 40).select("id", (-F.col("score")).alias("_by"))
+    near = knn.top_k(table(spark, d, "embeddings"), QUERY, 40, ["vec_id"]).select(F.col("vec_id").alias("id"), F.col("distance").alias("_by"))
+    return fused([said, near], "id", 20).withColumnRenamed("id", "doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100")
+def sample_seeded(spark, d):
+    """A hundred random documents."""
+    return sampling.sample(table(spark, d, "documents"), 100, ["doc_id"], 7).select("doc_id", "lang")
+
+
+@query("SELECT lang, source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY md5('3:' || doc_id), doc_id) <= 2")
+def sample_by_source(spark, d):
+    """Two random documents of each language and source."""
+    return sampling.sample_by(table(spark, d, "documents"), 2, ["lang", "source"], ["doc_id"], 3).select("lang", "source", "doc_id")
+
+
+#: Columns that can be keys, by type.
+KEYABLE = {
+    "INTEGER": ["region.r_regionkey", "nation.n_nationkey", "nation.n_regionkey", "customer.c_nationkey", "supplier.s_nationkey", "part.p_size"],
+    "BIGINT": ["customer.c_custkey", "supplier.s_suppkey", "part.p_partkey", "orders.o_orderkey", "orders.o_custkey"],
+    "VARCHAR": ["region.r_name", "nation.n_name", "customer.c_name", "customer.c_mktsegment", "supplier.s_name", "part.p_name", "part.p_brand", "part.p_type", "orders.o_orderstatus", "orders.o_orderpriority"],
+}
+
+
+def _keys_sql() -> str:
+    unique = "(SELECT count(*) > 0 AND count(*) = count(DISTINCT {1}) FROM {0})"
+    out = []
+    for columns in KEYABLE.values():
+        pairs = [c.split(".") for c in columns]
+        out += [f"SELECT '{t}' AS tab, '{c}' AS col, NULL AS other, NULL AS other_col WHERE {unique.format(t, c)}" for t, c in pairs]
+        out += [
+            f"SELECT '{s}', '{x}', '{t}', '{y}' WHERE {unique.format(t, y)} AND EXISTS (SELECT 1 FROM {s} WHERE {x} IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM {s} ANTI JOIN {t} ON {s}.{x} = {t}.{y} WHERE {s}.{x} IS NOT NULL)"
+            for s, x in pairs for t, y in pairs if s != t
+        ]
+    return " UNION ALL ".join(out)
+
+
+@query(_keys_sql())
+def keys_found(spark, d):
+    """Unique columns, and columns whose values are all those of a unique one of another table."""
+    names = sorted({c.split(".")[0] for columns in KEYABLE.values() for c in columns})
+    tables = {n: table(spark, d, n) for n in names}
+    rows = [(n, c, None, None) for n, df in tables.items() for c in keys.unique_columns(keys.profile(df))] + keys.references(tables)
+    return spark.createDataFrame(rows, "tab string, col string, other string, other_col string")
+
+
+@query(f"""
+    SELECT doc_id, 0 AS chunk_seq, length(text) AS n_chunk, {MD5_4} AS e0
+    FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0) WHERE coalesce(text, '') <> ''""")
+def stream_changes(spark, d):
+    """A pipeline's store behind a replayed stream of all documents, and of updates and deletions of some."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text"), _scratch(spark, "stream")
+    p = _pipeline(spark, docs.schema)
+    changed = docs.where("doc_id % 7 = 0 or doc_id % 11 = 0").select("doc_id", F.concat("text", F.lit("!")).alias("text"), F.when(F.col("doc_id") % 11 == 0, "delete").otherwise("update").alias("op"), F.lit(2).alias("version"))
+    for log in (docs.select("*", F.lit("insert").alias("op"), F.lit(1).alias("version")), changed):  # one behind the other, to one checkpoint
+        log.write.mode("append").parquet(f"{path}/log")
+        worker.start(p, spark.readStream.schema(log.schema).parquet(f"{path}/log"), f"{path}/checkpoint", once=True).awaitTermination()
+    return p.table("store").read().select("doc_id", "chunk_seq", F.length("chunk").cast("bigint").alias("n_chunk"), F.round(F.col("embedding")[0].cast("double"), 4).alias("e0"))

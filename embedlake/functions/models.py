@@ -40,6 +40,24 @@ def embed(text: Column | str, config: dict, most: int | None = None) -> Column:
     return run(F.col(text) if isinstance(text, str) else text)
 
 
+def try_embed(text: Column | str, config: dict, most: int | None = None) -> Column:
+    """Structs of a vector or the error of its request; as ``embed`` else."""
+
+    @F.arrow_udf("struct<value: array<float>, error: string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        source, within = P.provider(config), P.limits(config)
+        if most:
+            within = P.Limits(min(most, within.chunks), within.tokens)
+        for batch in batches:
+            texts = batch.to_pylist()
+            some = [t for t in texts if t is not None]
+            got = iter(P.embed_each(source, some, within) if some else [])
+            rows = [(None, None) if t is None else next(got) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([v for v, _ in rows], pa.list_(pa.float32())), pa.array([e for _, e in rows], pa.string())], ["value", "error"])
+
+    return run(F.col(text) if isinstance(text, str) else text)
+
+
 def query_vector(text: str, config: dict, input_type: str = "query") -> list[float]:
     """A question's vector, asked for once on the driver."""
     own = dict(config)

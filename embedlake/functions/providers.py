@@ -7,6 +7,8 @@ import hashlib
 import json
 import os
 import re
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -48,29 +50,30 @@ SPLIT_PATTERN = r"""(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{
 def truncation(model: str | None, tokenizer: str | None, most: int):
     """A function that cuts a text to at most ``most`` tokens of the model.
 
-    ``tokenizer`` is a rank file; without one the model's own encoding is asked for. Where that can't be had, a
-    text is cut to ``most`` bytes, which are never more tokens than that.
+    ``tokenizer`` is a rank file; without one the model's own encoding is asked for, which needs a network once.
+    Texts of at most ``most`` bytes never have more tokens and need neither; a longer one raises where the encoding
+    can't be had, so that what is embedded doesn't depend on the machine.
     """
-    import tiktoken
 
-    coder = None
-    try:
+    @functools.cache
+    def coder():
+        import tiktoken
+
         if tokenizer:
             from tiktoken.load import load_tiktoken_bpe
 
-            coder = tiktoken.Encoding("own", pat_str=SPLIT_PATTERN, mergeable_ranks=load_tiktoken_bpe(tokenizer), special_tokens={})
-        elif model:
-            coder = tiktoken.encoding_for_model(model)
-    except Exception:  # no such model, or no network
-        coder = None
+            return tiktoken.Encoding("own", pat_str=SPLIT_PATTERN, mergeable_ranks=load_tiktoken_bpe(tokenizer), special_tokens={})
+        try:
+            return tiktoken.encoding_for_model(model)
+        except Exception as e:  # no such model, or no network
+            raise ValueError(f"no encoding for the model {model!r}, which a text of more than {most} bytes has to be cut by: name a rank file as tokenizer") from e
 
     def cut(text: str) -> str:
         if len(text.encode()) <= most:
             return text
-        if coder is None:
-            return text.encode()[:most].decode("utf-8", "ignore")
-        ids = coder.encode_ordinary(text)
-        return text if len(ids) <= most else coder.decode_bytes(ids[:most]).decode("utf-8", "ignore")
+        own = coder()
+        ids = own.encode_ordinary(text)
+        return text if len(ids) <= most else own.decode_bytes(ids[:most]).decode("utf-8", "ignore")
 
     return cut
 
@@ -180,9 +183,11 @@ class HttpProvider:
             try:
                 with urllib.request.urlopen(urllib.request.Request(url, body, head), timeout=120) as r:
                     return json.loads(r.read())
-            except OSError:
-                if k == self.retries:
+            except OSError as e:
+                # an answer of the 400s is the same next time, but for those that say "later"
+                if k == self.retries or (isinstance(e, urllib.error.HTTPError) and e.code < 500 and e.code not in (408, 429)):
                     raise
+                time.sleep(self.config.get("retry_seconds", 1.0) * 2**k)
         raise AssertionError
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
@@ -242,3 +247,17 @@ def embed_batches(source: Provider, texts: Sequence[str], within: Limits) -> lis
             raise ValueError(f"{b - a} texts gave {len(got)} embeddings")
         out += got
     return out
+
+
+def embed_each(source: Provider, texts: Sequence[str], within: Limits) -> list[tuple[list[float] | None, str | None]]:
+    """(vector, error) of each text, in requests within limits; a request that fails costs its own texts only."""
+    out: list[tuple[list[float] | None, str | None]] = []
+    for a, b in batch_indices([estimated_tokens(t) for t in texts], within.chunks, within.tokens):
+        try:
+            got = source.embed(texts[a:b])
+            if len(got) != b - a:
+                raise ValueError(f"{b - a} texts gave {len(got)} embeddings")
+            out += [(v, None) for v in got]
+        except Exception as e:
+            out += [(None, f"{type(e).__name__}: {e}"[:2000])] * (b - a)
+    return out

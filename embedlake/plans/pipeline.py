@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedlake.config import executions, validate
-from embedlake.functions.models import embed
+from embedlake.functions.models import embed, try_embed
 from embedlake.functions.template import format_column
 from embedlake.operators import ann, ivf
 from embedlake.operators.chunk import explode_chunks
@@ -17,17 +17,11 @@ from embedlake.plans import cdc
 from embedlake.plans.store import BUCKETS, Table
 from embedlake.sources.loading import payload
 
-ERRORS = "name string, message string, details string, recorded timestamp"
-PROGRESS = "name string, at timestamp, success_count long, error_count long, last_error string"
 
-
-def plan(df: DataFrame, config: dict) -> DataFrame:
-    """One lazy chain from source rows to (keys, chunk_seq, chunk, embedding).
-
-    Rows whose loading failed, and rows without chunks, give nothing here.
-    """
+def chunked(loaded: DataFrame, config: dict) -> DataFrame:
+    """(keys, chunk_seq, chunk, _text) of rows with ``_payload``; those whose loading failed, or without chunks, give nothing."""
     keys, formatting, chunking = config["keys"], config["formatting"], config["chunking"]
-    loaded = payload(df, config["loading"], config["parsing"]).where("_load_error is null")
+    loaded = loaded.where("_load_error is null")
     options = {k: v for k, v in chunking.items() if k not in ("implementation", "config_type")}
     if chunking["implementation"] == "none":
         cut = loaded.where("_payload <> ''").select("*", F.lit(0).alias("chunk_seq"), F.col("_payload").alias("chunk"))
@@ -36,15 +30,22 @@ def plan(df: DataFrame, config: dict) -> DataFrame:
     text = F.col("chunk") if formatting["implementation"] == "chunk_value" else format_column(cut, formatting["template"])
     width = config["processing"].get("concurrency")
     ready = cut.select(*keys, "chunk_seq", "chunk", text.alias("_text"))
-    if width:
-        ready = ready.repartition(width)  # at most so many requests at a time
-    most = config["processing"].get("batch_size")
-    return ready.select(*keys, "chunk_seq", "chunk", embed("_text", config["embedding"], most).alias("embedding"))
+    return ready.repartition(width) if width else ready  # at most so many requests at a time
 
 
-def failures(df: DataFrame, config: dict) -> DataFrame:
-    """(keys, error) of rows that don't load."""
-    return payload(df, config["loading"], config["parsing"]).where("_load_error is not null").select(*config["keys"], F.col("_load_error").alias("error"))
+def plan(df: DataFrame, config: dict) -> DataFrame:
+    """One lazy chain from source rows to (keys, chunk_seq, chunk, embedding).
+
+    Rows whose loading failed, and rows without chunks, give nothing here; a request that fails fails it all.
+    """
+    ready = chunked(payload(df, config["loading"], config["parsing"]), config)
+    return ready.select(*config["keys"], "chunk_seq", "chunk", embed("_text", config["embedding"], config["processing"].get("batch_size")).alias("embedding"))
+
+
+def attempts(loaded: DataFrame, config: dict) -> DataFrame:
+    """(keys, chunk_seq, chunk, embedding, error): as ``plan``, with the error of each request that failed in place of its vectors."""
+    tried = chunked(loaded, config).withColumn("_got", try_embed("_text", config["embedding"], config["processing"].get("batch_size")))
+    return tried.select(*config["keys"], "chunk_seq", "chunk", F.col("_got.value").alias("embedding"), F.col("_got.error").alias("error"))
 
 
 def embedding_view(store: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,71 +114,98 @@ class Pipeline:
         due = cdc.claim(queue, keys, now) if queue is not None else None
         work = self._keys(ops.where("op <> 'delete'"))
         retries = work.withColumn("loading_retries", F.lit(0))
-        retried = 0
+        retried, done = 0, {"failed": 0, "not_loaded": 0}
         if due is not None:
             again = due.join(work, keys, "left_anti")
             retried = again.count()
             retries = retries.unionByName(again.select(*keys, F.col("loading_retries").cast("int")))
         if counts or retried:
-            self._write(source, retries, self._keys(ops.where("op = 'delete'")), now, batch)
+            done = self._write(source, retries, self._keys(ops.where("op = 'delete'")), now, batch)
             state.upsert(ops.where("op <> 'delete'").select(*keys, "_h1", "_h2"), keys, ops.select(*keys), batch)
         ops.unpersist()
-        return {"insert": 0, "update": 0, "delete": 0} | counts | {"retried": retried}
+        return {"insert": 0, "update": 0, "delete": 0} | counts | {"retried": retried} | done
 
-    def _write(self, source: DataFrame, work: DataFrame, gone: DataFrame | None, now=None, batch: int | None = None, first: bool = False) -> None:
+    def _write(self, source: DataFrame, work: DataFrame, gone: DataFrame | None, now=None, batch: int | None = None, first: bool = False) -> dict:
         keys = self.config["keys"]
         rows = source.join(work.select(*keys).distinct(), keys, "left_semi")
-        uri = self.config["loading"]["implementation"] == "uri"
-        bad = failures(rows, self.config).persist() if uri else None
+        loaded = payload(rows, self.config["loading"], self.config["parsing"])
+        if self.config["loading"]["implementation"] == "uri":  # what is opened is opened once
+            table = self.table("loaded")
+            table.write(loaded, batch)
+            loaded = table.read()
+        tries = work if "loading_retries" in work.columns else work.withColumn("loading_retries", F.lit(0))
+        return self.commit(loaded, tries, gone, now, batch, first)
+
+    def commit(self, loaded: DataFrame, work: DataFrame, gone: DataFrame | None = None, now=None, batch: int | None = None, first: bool = False, unloaded: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> dict:
+        """Embed ``loaded`` (source rows, _payload, _load_error), keep what went well, and queue and record the rest.
+
+        ``work``: (keys, loading_retries) of all rows tried. Requests are made once: their vectors and errors lie in
+        a table before anything else changes. Keys with a failed request keep the chunks that they had, and are due
+        again at once. With ``batch`` each table takes a batch's rows once, so a batch may run again. ``unloaded``:
+        what failed to load and was settled elsewhere, as rows for the queue, dead letters, and (keys, error, loading_retries).
+        """
+        keys, tried = self.config["keys"], self.table("attempts")
         try:
-            new = plan(rows, self.config)
-            store = self.table("store")
-            # rows without chunks lose their old ones too
-            drop = work.select(*keys) if gone is None else work.select(*keys).unionByName(gone.select(*keys))
-            if first:
-                store.write(new, batch, keys)
-            else:
-                store.upsert(new, keys, drop, batch)
-            column = self.config["destination"].get("embedding_column")
-            if column:
-                own = with_column(rows, store.read().where("chunk_seq = 0"), keys, column)
-                target = self.table("target")
-                if first:
-                    target.write(own, batch, keys)
-                else:
-                    target.upsert(own, keys, drop, batch)
-            self._progress(work.count(), 0, None)
+            if batch is None or not tried.exists() or tried.batch() != batch:
+                tried.write(attempts(loaded, self.config), batch)
         except Exception as e:
             self._error("vectorizer failed with unexpected error", {"error_reason": str(e)[:2000]})
-            self._progress(0, 1, type(e).__name__)
+            self._progress(0, work.count(), type(e).__name__)
             raise
-        if bad is not None:
-            self._settle(work, bad, now)
-            bad.unpersist()
-
-    def _settle(self, work: DataFrame, bad: DataFrame, now) -> None:
-        keys = self.config["keys"]
-        tries = work if "loading_retries" in work.columns else work.withColumn("loading_retries", F.lit(0))
-        failed = tries.join(bad, keys)
-        again, dead = cdc.settle(failed, keys, self.config["loading"]["retries"], now)
-        queue = self._queue()
-        kept = queue.join(work.select(*keys), keys, "left_anti") if queue is not None else None
-        again = again.withColumn("loading_retries", F.col("loading_retries").cast("int"))
-        self.table("queue").write(again if kept is None else kept.unionByName(again))
+        made = tried.read()
+        failed = self._keys(made.where("error is not null"))
+        new = made.where("error is null").drop("error").join(failed, keys, "left_anti")
+        settled = work.select(*keys).join(failed, keys, "left_anti")
+        # rows without chunks lose their old ones too
+        drop = settled if gone is None else settled.unionByName(gone.select(*keys))
+        store = self.table("store")
+        if first:
+            store.write(new, batch, keys)
+        else:
+            store.upsert(new, keys, drop, batch)
+        column = self.config["destination"].get("embedding_column")
+        if column:
+            source = loaded.drop("_payload", "_load_error").join(failed, keys, "left_anti")
+            own = with_column(source, store.read().where("chunk_seq = 0"), keys, column)
+            target = self.table("target")
+            if first:
+                target.write(own, batch, keys)
+            else:
+                target.upsert(own, keys, drop, batch)
+        limit = self.config["loading"].get("retries", 0)
+        if unloaded is None:
+            bad = work.join(loaded.where("_load_error is not null").select(*keys, F.col("_load_error").alias("error")), keys)
+            later, dead = cdc.settle(bad, keys, limit, now)
+        else:
+            later, dead, bad = unloaded
+        later = later.select(*keys, F.col("loading_retries").cast("int").alias("loading_retries"), "loading_retry_after")
+        again = failed.join(work, keys).select(*keys, F.col("loading_retries").cast("int").alias("loading_retries"), F.lit(None).cast("timestamp").alias("loading_retry_after"))
+        later, queue = later.unionByName(again), self.table("queue")
+        if queue.exists() or not later.isEmpty():
+            done = work.select(*keys)
+            queue.upsert(later, keys, done if gone is None else done.unionByName(gone.select(*keys)), batch)
         if not dead.isEmpty():
-            self.table("dead").append(dead)
-        if not bad.isEmpty():
-            limit = self.config["loading"]["retries"]
-            details = F.to_json(F.struct(F.lit("loading").alias("step"), F.col("error").alias("error_reason"), (F.col("loading_retries") < limit).alias("is_retryable"), *[F.col(k) for k in keys]))
-            self.table("errors").append(failed.select(F.lit(self.config["name"]).alias("name"), F.lit("loading failed").alias("message"), details.alias("details"), F.current_timestamp().alias("recorded")))
+            self.table("dead").append(dead, batch)
+        total, n_bad, n_failed = work.count(), bad.count(), failed.count()
+        if n_bad or n_failed:
+            loading = F.to_json(F.struct(F.lit("loading").alias("step"), F.col("error").alias("error_reason"), (F.col("loading_retries") < limit).alias("is_retryable"), *[F.col(k) for k in keys]))
+            asked = F.to_json(F.struct(F.lit(self.config["embedding"]["implementation"]).alias("provider"), F.col("error").alias("error_reason"), F.col("n").alias("chunks")))
+            reasons = made.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
+            self._record(bad.select(F.lit("loading failed").alias("message"), loading.alias("details")).unionByName(reasons.select(F.lit("embedding provider failed").alias("message"), asked.alias("details"))), batch)
+        last = "embedding provider failed" if n_failed else "loading failed" if n_bad else None
+        self._progress(total - n_bad - n_failed, n_bad + n_failed, last, batch)
+        return {"failed": n_failed, "not_loaded": n_bad}
+
+    def _record(self, rows: DataFrame, batch: int | None = None) -> None:
+        """Add ``rows`` (message, details) to the errors."""
+        self.table("errors").append(rows.select(F.lit(self.config["name"]).alias("name"), "message", "details", F.current_timestamp().alias("recorded")), batch)
 
     def _error(self, message: str, details: dict) -> None:
-        row = self.spark.createDataFrame([(self.config["name"], message, json.dumps(details))], "name string, message string, details string").withColumn("recorded", F.current_timestamp())
-        self.table("errors").append(row)
+        self._record(self.spark.createDataFrame([(message, json.dumps(details))], "message string, details string"))
 
-    def _progress(self, ok: int, bad: int, error: str | None) -> None:
+    def _progress(self, ok: int, bad: int, error: str | None, batch: int | None = None) -> None:
         row = self.spark.createDataFrame([(self.config["name"], ok, bad, error)], "name string, success_count long, error_count long, last_error string")
-        self.table("progress").append(row.select("name", F.current_timestamp().alias("at"), "success_count", "error_count", "last_error"))
+        self.table("progress").append(row.select("name", F.current_timestamp().alias("at"), "success_count", "error_count", "last_error"), batch)
 
     def status(self) -> DataFrame:
         """name, source, target, view, embedding column, pending, disabled."""

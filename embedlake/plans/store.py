@@ -8,8 +8,10 @@ What a change replaces stays readable until the next change.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +28,20 @@ class Table:
 
     def _pointer(self) -> dict | None:
         name = self._path(f"{self.path}/_current")
-        if not self._fs.exists(name):
-            return None
-        stream = self._fs.open(name)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        for left in range(20, -1, -1):
+            if not self._fs.exists(name):
+                return None
+            stream = self._fs.open(name)
+            try:
+                return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            except Py4JJavaError as e:
+                # a local file system moves a file's checksum in a step of its own, which a reader can meet
+                if not left or "ChecksumException" not in str(e.java_exception):
+                    raise
+                time.sleep(0.05)
+            finally:
+                stream.close()
+        return None
 
     def exists(self) -> bool:
         return self._pointer() is not None
@@ -94,11 +103,14 @@ class Table:
         now = {"keys": keys, "buckets": self.buckets, "parts": parts, "batch": batch, "schema": json.loads(df.schema.json())}
         self._publish(old, now, list(old["parts"].values()) if old else [])
 
-    def append(self, df: DataFrame) -> None:
+    def append(self, df: DataFrame, batch: int | None = None) -> None:
+        """Add rows; nothing if ``batch`` was the last that was written."""
         old = self._pointer()
+        if old is not None and batch is not None and old.get("batch") == batch:
+            return
         if old is None or old["keys"] or len(old["parts"]) >= PARTS:
-            return self.write(self.read().unionByName(df) if old else df, keys=old and old["keys"])
-        self._publish(old, {k: v for k, v in old.items() if k != "gone"} | {"parts": old["parts"] | self._lay(df, None, 0)}, [])
+            return self.write(self.read().unionByName(df) if old else df, batch, old and old["keys"])
+        self._publish(old, {k: v for k, v in old.items() if k != "gone"} | {"parts": old["parts"] | self._lay(df, None, 0), "batch": batch}, [])
 
     def upsert(self, new: DataFrame, keys: list[str], gone: DataFrame | None = None, batch: int | None = None) -> None:
         """Replace all rows of the keys in ``new`` and in ``gone`` by those of ``new``, which is worked out once."""

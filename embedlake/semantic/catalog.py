@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from embedlake.functions.models import embed, query_vector
 from embedlake.operators.knn import top_k
+from embedlake.operators.words import WordIndex, fused
 from embedlake.plans.store import Table
 
 NAME = re.compile(r"[a-z][a-z_0-9]*")
@@ -81,11 +82,18 @@ class Catalog:
                 t.write(t.read().drop(name))
 
     def _merge(self, kind: str, new: DataFrame, on: Sequence[str]) -> None:
-        """Upsert by ``on``; what is embedded anew loses its vectors, compared null-safely."""
+        """Upsert by ``on``; what is embedded anew loses its vectors, compared null-safely. New ids follow the order of ``new``."""
         old = self.rows(kind)
         cols = [c for c in new.columns if c != "id"]
         start = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-        fresh = self.spark.createDataFrame([(start + k + 1, *[r[c] for c in cols]) for k, r in enumerate(new.collect())], "id long, " + ", ".join(f"`{c}` {new.schema[c].dataType.simpleString()}" for c in cols))
+        # numbers in the order of rows: positions within partitions, and how many rows the partitions before have
+        placed = self._table(f"{kind}-new")
+        placed.write(new.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+        counts, before = {r["_p"]: r["count"] for r in placed.read().groupBy("_p").count().collect()}, {}
+        for part in sorted(counts):  # a number a partition
+            before[part] = start + 1 + sum(counts[q] for q in before)
+        first = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_p")) if before else F.lit(0)
+        fresh = placed.read().select((first + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"), *cols)
         o, n = old.alias("o"), fresh.alias("n")
         cond = F.lit(True)
         for c in on:
@@ -162,17 +170,15 @@ class Catalog:
             done += n
         return done
 
-    def search(self, kind: str, name: str, query: str | Sequence[float], limit: int = 5, exclude: Sequence[int] = (), max_distance: float | None = None) -> DataFrame:
-        """The nearest rows of a kind."""
+    def search(self, kind: str, name: str, query: str | Sequence[float], limit: int = 5, exclude: Sequence[int] = (), max_distance: float | None = None, allowed: Column | None = None) -> DataFrame:
+        """The nearest rows of a kind, of those that are ``allowed``."""
         q = query_vector(query, self.embeddings[name]) if isinstance(query, str) else query
         rows = self.rows(kind).where(F.col(name).isNotNull())
-        return top_k(rows, q, limit, ["id"], name, exclude=list(exclude), max_distance=max_distance)
+        return top_k(rows, q, limit, ["id"], name, where=allowed, exclude=list(exclude), max_distance=max_distance)
 
     def search_owners(self, name: str, query: str | Sequence[float], limit: int = 5, max_distance: float | None = None, allowed: Column | None = None) -> DataFrame:
         """Objects that own the nearest objects or columns, once each."""
-        hits = self.search("objects", name, query, limit, max_distance=max_distance)
-        if allowed is not None:
-            hits = hits.where(allowed)
+        hits = self.search("objects", name, query, limit, max_distance=max_distance, allowed=allowed)
         owners = hits.groupBy(F.col("schema_name").alias("s"), F.col("name").alias("n")).agg(F.min("distance").alias("distance"))
         rows = self.rows("objects").where("column_name is null")
         return rows.join(owners, (rows["schema_name"] == owners["s"]) & (rows["name"] == owners["n"])).drop("s", "n").orderBy("distance", "id")
@@ -183,6 +189,19 @@ class Catalog:
         rank = sum((F.when(text.rlike(rf"(?i)(?<!\w){re.escape(w)}(?!\w)"), 1).otherwise(0) for w in words), F.lit(0))
         return self.rows(kind).withColumn("rank", rank).where("rank > 0").orderBy(F.desc("rank"), "id").limit(limit)
 
+    def index_words(self, kind: str) -> WordIndex:
+        """Write the postings of a kind's texts anew."""
+        index = WordIndex(self.spark, f"{self.path}/words-{kind}")
+        index.build(self.rows(kind).select("id", content(kind).alias("text")), "id", "text")
+        return index
+
+    def search_ranked(self, kind: str, name: str, query: str, limit: int = 5, allowed: Column | None = None) -> DataFrame:
+        """Rows by both rankings, by vector and by the words of ``query`` in the index of ``index_words``; with ``score``."""
+        ids = None if allowed is None else self.rows(kind).where(allowed).select("id")
+        near = self.search(kind, name, query, 4 * limit, allowed=allowed).select("id", F.col("distance").alias("_by"))
+        said = WordIndex(self.spark, f"{self.path}/words-{kind}").search(query, 4 * limit, only=ids).select("id", (-F.col("score")).alias("_by"))
+        return self.rows(kind).join(fused([near, said], "id", limit), "id").orderBy(F.desc("score"), "id")
+
     def search_hybrid(self, kind: str, name: str, query: str, words: Sequence[str], limit: int = 5) -> DataFrame:
         """Rows near by vector or by words, once each."""
         a = self.search(kind, name, query, limit).drop("distance")

@@ -71,6 +71,20 @@ def load(spark: SparkSession, name: str, descriptions: dict[str | None, str] | N
     return Relation(space or "default", own, columns, "view" if view else "table", 0, about.get(None), info.get("View Text"), sample=sample(df, name, sample_size) if sample_size else None)
 
 
+def load_all(spark: SparkSession, names: list[str], descriptions: dict[str, dict[str | None, str]] | None = None, sample_size: int = 0) -> list[Relation]:
+    """Relations with the keys and references that their rows show, see ``keys.constraints``."""
+    from embedlake.semantic import keys
+
+    found = keys.constraints({n: spark.table(n) for n in names})
+    out = []
+    for n in names:
+        r = load(spark, n, (descriptions or {}).get(n), sample_size)
+        own = n.rpartition(".")[2]
+        r.constraints = [(f"{own}_{'key' if d.startswith('UNIQUE') else 'fk'}{k}", d) for k, d in enumerate(found[n], 1)]
+        out.append(r)
+    return out
+
+
 def _sql_value(v) -> str:
     if v is None:
         return "NULL"

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from pyspark.sql import functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from embedlake.functions.models import query_vector
@@ -81,7 +82,7 @@ def _render(catalog: Catalog, kind: str, rows, renderers: dict) -> dict[int, str
         elif r["objtype"] in ("table", "view", "column", "view column"):
             full = f"{r['schema_name']}.{r['name']}"
             if catalog.spark.catalog.tableExists(full):
-                about = {x["column_name"]: x["description"] for x in catalog.rows("objects").where(f"schema_name = '{r['schema_name']}' and name = '{r['name']}'").collect()}
+                about = {x["column_name"]: x["description"] for x in catalog.rows("objects").where((F.col("schema_name") == r["schema_name"]) & (F.col("name") == r["name"])).collect()}
                 shown = D.load(catalog.spark, full, about, renderers.get("sample_size", 0))
                 shown.id = r["id"]
                 out[r["id"]] = D.render_relation(shown)

@@ -153,6 +153,146 @@ def test_stream_is_idempotent(spark, folder):
     assert {r[0] for r in go()} == {1}
 
 
+@pytest.fixture
+def model():
+    """A model server that refuses requests with ``bad`` in a text; its address, what it was sent, and a switch."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    sent, mended = [], threading.Event()
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+            sent.append(texts)
+            bad = not mended.is_set() and any("bad" in t for t in texts)
+            body = b"{}" if bad else json.dumps({"data": [{"index": k, "embedding": [float(len(t)), 1.0]} for k, t in enumerate(texts)]}).encode()
+            self.send_response(400 if bad else 200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", sent, mended
+    server.shutdown()
+
+
+def refusing(df, url):
+    embedding = C.embedding_openai("none-such", 2) | {"base_url": url, "api_key": "k"}
+    return C.vectorizer("default.blog", df.schema, ["id"], C.loading_column("body"), embedding, chunking=C.chunking_none(), formatting=C.formatting_python_template("$chunk"), processing=C.processing_default(batch_size=2))
+
+
+def test_a_failed_request_costs_its_own_batch(spark, folder, model):
+    url, sent, mended = model
+    df = blog(spark, [(k, f"{'bad' if k == 5 else 'good'} text {k}", "n") for k in range(8)]).coalesce(1)
+    p = Pipeline(spark, refusing(df, url), folder)
+    done = p.run(df)
+    assert done["insert"] == 8 and done["failed"] == 2 and [len(t) for t in sent] == [2] * 4
+    assert sorted(r["id"] for r in p.table("store").read().collect()) == [0, 1, 2, 3, 6, 7]
+    e = p.table("errors").read().collect()
+    assert [(r["message"], "400" in r["details"], '"chunks":2' in r["details"]) for r in e] == [("embedding provider failed", True, True)]
+    last = p.table("progress").read().first()
+    assert (last["success_count"], last["error_count"], last["last_error"]) == (6, 2, "embedding provider failed")
+    assert p.status().first()["pending_items"] == 2
+    mended.set()
+    done = p.run(df)  # what failed is sent again, and nothing else
+    assert sent[4:] == [["good text 4", "bad text 5"]] and done["retried"] == 2 and done["failed"] == 0
+    assert p.table("store").read().count() == 8 and p.table("queue").read().count() == 0
+    mended.clear()
+    p.run(blog(spark, [(1, "bad news", "n")]))  # the old chunk stays until the new one is embedded; the others are gone
+    assert [(r["id"], r["chunk"]) for r in p.table("store").read().collect()] == [(1, "good text 1")]
+
+
+def test_a_stream_keeps_what_was_refused(spark, folder, model):
+    url, sent, mended = model
+    df = blog(spark, [(1, "x", "n")])
+    p = Pipeline(spark, refusing(df, url), folder)
+    schema = "id int, body string, note string, op string, version long"
+    batch = lambda rows, n: worker.apply_changes(p, spark.createDataFrame(rows, schema).coalesce(1), n)
+    chunks = lambda: sorted((r["id"], r["chunk"]) for r in p.table("store").read().collect())
+    batch([(1, "good one", "n", "insert", 1), (2, "also good", "n", "insert", 1), (3, "bad three", "n", "insert", 1), (4, "bad four", "n", "insert", 1)], 0)
+    assert chunks() == [(1, "good one"), (2, "also good")] and p.status().first()["pending_items"] == 2
+    again = len(sent)
+    batch([(1, "good one", "n", "insert", 1), (2, "also good", "n", "insert", 1), (3, "bad three", "n", "insert", 1), (4, "bad four", "n", "insert", 1)], 0)
+    assert len(sent) == again and p.table("errors").read().count() == 1 and p.table("progress").read().count() == 1  # the same batch again
+    mended.set()
+    batch([(4, None, None, "delete", 2), (5, "five", "n", "insert", 1)], 1)
+    assert chunks() == [(1, "good one"), (2, "also good"), (3, "bad three"), (5, "five")] and p.status().first()["pending_items"] == 0
+
+
+def test_requests_fail_in_arrow_batches(spark):
+    from embedlake.functions import models
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, t string")
+    bad = {"implementation": "openai", "model": "m", "base_url": "http://127.0.0.1:9", "retry_seconds": 0.0}
+    got = {r["id"]: r["x"] for r in df.select("id", models.try_embed("t", bad).alias("x")).collect()}
+    assert got[1]["value"] is None and "refused" in got[1]["error"] and got[2]["error"] is None
+    good = {r["id"]: r["x"] for r in df.select("id", models.try_embed("t", {"implementation": "hash", "dimensions": 3}).alias("x")).collect()}
+    assert len(good[1]["value"]) == 3 and good[1]["error"] is None and good[2]["value"] is None
+
+
+def test_counts_say_what_failed_to_load(spark, folder, tmp_path):
+    (tmp_path / "there.txt").write_text("here it is")
+    df = spark.createDataFrame([(1, str(tmp_path / "there.txt")), (2, str(tmp_path / "none.txt"))], "id int, url string")
+    p = make(spark, folder, df, loading=C.loading_uri("url", retries=2))
+    assert p.run(df)["not_loaded"] == 1
+    last = p.table("progress").read().first()
+    assert (last["success_count"], last["error_count"]) == (1, 1) and {r["id"] for r in p.table("store").read().collect()} == {1}
+
+
+def test_stream_retries_what_does_not_load(spark, folder, tmp_path):
+    """A missing file waits in the query's state; it is opened again by a timer, and given up after its retries."""
+    import time
+
+    (tmp_path / "there.txt").write_text("here it is")
+    schema = "id int, url string, op string, version long"
+    rows = [(1, str(tmp_path / "there.txt"), "insert", 1), (2, str(tmp_path / "late.txt"), "insert", 1), (3, str(tmp_path / "never.txt"), "insert", 1), (4, str(tmp_path / "never.txt"), "insert", 1)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/log")
+    df = spark.createDataFrame([(1, "x")], "id int, url string")
+    p = make(spark, f"{folder}/p", df, loading=C.loading_uri("url", retries=2))
+    q = worker.start(p, spark.readStream.schema(schema).parquet(f"{folder}/log"), f"{folder}/check", poll="1 second", retry_minutes=0.05)
+
+    def until(what, most=90):
+        end = time.time() + most
+        while time.time() < end:
+            assert q.isActive, q.exception()
+            try:
+                if what():
+                    return
+            except Exception as e:  # a table that was replaced twice while it was read
+                if "FILE_NOT_EXIST" not in str(e) and "PATH_NOT_FOUND" not in str(e):
+                    raise
+            time.sleep(0.5)
+        raise AssertionError("not in time")
+
+    table = lambda name: p.table(name).read() if p.table(name).exists() else spark.range(0).withColumn("error_count", F.lit(0))
+    ids = lambda name: sorted({r["id"] for r in table(name).collect()})
+    try:
+        until(lambda: p.table("progress").exists())
+        first = p.table("progress").read().orderBy("at").first()
+        assert (first["success_count"], first["error_count"]) == (1, 3) and ids("store") == [1]
+        assert set(ids("queue")) <= {2, 3, 4} and "is_retryable" in table("errors").first()["details"]
+        (tmp_path / "late.txt").write_text("here too")
+        spark.createDataFrame([(4, None, "delete", 2)], schema).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        until(lambda: ids("store") == [1, 2] and ids("dead") == [3] and ids("queue") == [])
+        tried = lambda: [r["details"] for r in table("errors").where("details like '%\"id\":3%'").collect()]
+        until(lambda: len(tried()) == 3)
+        reasons = tried()
+        assert sum('"is_retryable":false' in r for r in reasons) == 1
+        # a stop marker ends the query behind a batch; heartbeats and progress are on record
+        worker.request_stop(p)
+        assert worker.watch(p, q, 0.5, 60) and not q.isActive and not worker.stop_requested(p)
+        events = [r["event"] for r in p.table("workers").read().orderBy("at").collect()]
+        assert events[0] == "started" and events[-1] == "stopped"
+    finally:
+        q.stop()
+
+
 def test_dataset(spark, folder):
     assert dataset.table_name("hub/Rotten-Tomatoes", "v1") == "rotten_tomatoes_v1"
     long = dataset.table_name("a_" + "b" * 40 + "_" + "c" * 40)
