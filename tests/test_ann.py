@@ -140,7 +140,7 @@ def test_recall_of_codes(spark, sf):
 def test_pipeline_builds_its_index(spark, folder):
     docs = spark.createDataFrame([(k, f"text {k}") for k in range(60)], "id long, body string")
     for i, (made, o) in enumerate([(C.indexing_diskann(min_rows=50, num_neighbors=7, search_list_size=9, max_alpha=1.5, num_bits_per_dimension=3), (7, 9, 1.5, 3, "memory_optimized")), (C.indexing_hnsw(min_rows=50, m=4, ef_construction=20), (8, 100, 1.0, 0, "plain"))]):
-        c = C.vectorizer("default.t", docs.schema, ["id"], C.loading_column("body"), C.embedding_hash(8), chunking=C.chunking_none(), formatting=C.formatting_python_template("$chunk"), indexing=made)
+        c = C.vectorizer("default.t", docs.schema, ["id"], C.loading_column("body"), C.embedding_hash(8), chunking=C.chunking_none(), formatting=C.formatting_python_template("$chunk"), indexing=made, scheduling=C.scheduling_periodic())
         p = Pipeline(spark, c, f"{folder}/p{i}")
         assert not p.maybe_index(f"{folder}/ix{i}")
         p.run(docs)
