@@ -298,6 +298,7 @@ def trie(rows: DataFrame) -> DataFrame:
     seqs = ws.save(sequences(rows), "sequences")
     found = ws.save(_ranges(ws, seqs).groupBy("range").applyInArrow(_range_nodes, Y.StructType([
         Y.StructField(f.name, {pa.binary(): Y.BinaryType(), pa.int64(): Y.LongType(), pa.string(): Y.StringType()}[f.type]) for f in NODE])), "nodes")
+    ws.drop("sequences", "placed", "range-ends")
     sums = ["n_convs", "n_children", "n_leaves", "saved_tokens"]
     edges = found.where("id is not null").groupBy("id").agg(F.first("parent_id").alias("parent_id"), F.first("depth").alias("depth"), F.min("conv_id").alias("conv_id"), *[F.sum(c).alias(c) for c in sums], F.max("ends").alias("ends"))
     edges = ws.save(edges, "edges")

@@ -136,6 +136,7 @@ def judge(
     found = scores(ws, seeds, edges, damping, rounds)
     excess = found.groupBy("host").agg(F.sum(-F.col("kind") * F.col("score")).alias("excess"))
     blocked = ws.save(excess.where(F.col("excess") > round(limit * UNIT)).select("host", F.lit(True).alias("blocked")), "blocked")
+    ws.drop("links", "rules", "seeds", "totals", "arcs")
     out = join_facts(judged, blocked, ["host"], F.xxhash64("_id", "path"))
     verdict = F.coalesce("ruled", F.when(F.col("blocked"), "block").otherwise("allow"))
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))
