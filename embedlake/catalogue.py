@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -208,8 +209,6 @@ def emb_column_dest(spark, d):
 
 
 def _scratch(spark, name: str) -> str:
-    import uuid
-
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -648,3 +647,12 @@ def stream_changes(spark, d):
         log.write.mode("append").parquet(f"{path}/log")
         worker.start(p, spark.readStream.schema(log.schema).parquet(f"{path}/log"), f"{path}/checkpoint", once=True).awaitTermination()
     return p.table("store").read().select("doc_id", "chunk_seq", F.length("chunk").cast("bigint").alias("n_chunk"), F.round(F.col("embedding")[0].cast("double"), 4).alias("e0"))
+
+
+@query("SELECT doc_id, lang, source, length(text) AS n_text FROM documents")
+def dataset_commits(spark, d):
+    """All documents from files, loaded two files a commit."""
+    path, name = _scratch(spark, "dataset"), f"documents_{uuid.uuid4().hex}"
+    table(spark, d, "documents").select("doc_id", "lang", "source", "text").repartition(5, "doc_id").write.parquet(path)
+    dataset.load_dataset(spark, path, table=name, commit_every_n_batches=2)
+    return spark.table(name).select("doc_id", "lang", "source", F.length("text").cast("bigint").alias("n_text"))

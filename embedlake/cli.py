@@ -19,6 +19,13 @@ def _parser() -> argparse.ArgumentParser:
     w.add_argument("--path", required=True, help="folder of the pipeline's tables")
     w.add_argument("--once", action="store_true")
     w.add_argument("--poll-interval", type=float, default=300.0)
+    m = sub.add_parser("workers", help="look after all pipelines of a registry")
+    m.add_argument("--path", required=True, help="folder of the registry")
+    m.add_argument("--pipeline", action="append", help="number or name; all unless given")
+    m.add_argument("--once", action="store_true")
+    m.add_argument("--poll-interval", type=float, default=300.0)
+    m.add_argument("--concurrency", type=int, default=4)
+    m.add_argument("--exit-on-error", action="store_true")
     s = sub.add_parser("search", help="nearest chunks of a store")
     s.add_argument("--config", required=True)
     s.add_argument("--path", required=True)
@@ -46,6 +53,15 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = session()
+    if args.command == "workers":
+        from embedlake.plans.poll import Worker
+        from embedlake.plans.registry import Registry
+
+        which = [int(w) if w.isdigit() else w for w in args.pipeline] if args.pipeline else None
+        error = Worker(Registry(spark, args.path), None, which, args.poll_interval, args.concurrency, args.exit_on_error).run(args.once)
+        if error:
+            print(error, file=sys.stderr)
+        return 1 if error else 0
     if args.command in ("worker", "search"):
         from embedlake.plans.pipeline import Pipeline
 
