@@ -20,7 +20,7 @@ from embedlake.plans.pipeline import Pipeline, embedding_view, plan, with_column
 from embedlake.semantic.catalog import Catalog, content
 from embedlake.session import shared_dir
 from embedlake.sources import dataset, loading
-from embedlake.semantic import keys
+from embedlake.semantic import keys, renames
 from embedlake.streaming import worker
 from embedlake.streaming.worker import windowed_counts
 
@@ -656,3 +656,35 @@ def dataset_commits(spark, d):
     table(spark, d, "documents").select("doc_id", "lang", "source", "text").repartition(5, "doc_id").write.parquet(path)
     dataset.load_dataset(spark, path, table=name, commit_every_n_batches=2)
     return spark.table(name).select("doc_id", "lang", "source", F.length("text").cast("bigint").alias("n_text"))
+
+
+#: Relations before and after, with their keys; columns that have new names, of one type side by side.
+MOVED = {"tpch.customer": ("shop.clients",), "tpch.orders": ("shop.sales",), "tpch.supplier": ("shop.vendors", "shop.vendors_copy")}
+KEY = {"customer": "c_custkey", "orders": "o_orderkey", "supplier": "s_suppkey"}
+RECALLED = {"customer": {"c_name": "full_name", "c_acctbal": "balance", "c_mktsegment": "segment"}, "orders": {"o_custkey": "buyer", "o_totalprice": "total", "o_orderpriority": "urgency"}}
+
+
+def _renames_sql() -> str:
+    same = "NOT EXISTS (SELECT {1} FROM {0} EXCEPT SELECT {3} FROM {2}) AND NOT EXISTS (SELECT {3} FROM {2} EXCEPT SELECT {1} FROM {0})"
+    pairs = [(a, b, c, d) for a, olds in MOVED.items() for c, news in MOVED.items() for d in news for b in [a.rpartition(".")[2]]]
+    relations = [f"SELECT '{a}' AS old, '{d}' AS new WHERE {same.format(b, KEY[b], c.rpartition('.')[2], KEY[c.rpartition('.')[2]])}" for a, b, c, d in pairs]
+    columns = [
+        f"SELECT '{MOVED['tpch.' + t][0]}' AS relation, 'rename' AS kind, '{x}' AS old, '{names[y]}' AS new WHERE (SELECT any_value(typeof({x})) = any_value(typeof({y})) FROM {t}) AND {same.format(t, x, t, y)}"
+        for t, names in RECALLED.items() for x in names for y in names
+    ]
+    both = f"SELECT '' AS relation, CASE WHEN count(*) = 1 THEN 'rename' ELSE 'ambiguous' END AS kind, old, CASE WHEN count(*) = 1 THEN max(new) END AS new FROM ({' UNION ALL '.join(relations)}) GROUP BY old"
+    return " UNION ALL ".join([both, *columns])
+
+
+@query(_renames_sql())
+def catalog_renames(spark, d):
+    """Relations and columns under new names, and one relation of which there are two copies, by snapshots of their rows."""
+    old = {a: table(spark, d, a.rpartition(".")[2]) for a in MOVED}
+    new = {n: old[a].withColumnsRenamed(RECALLED.get(a.rpartition(".")[2], {})) for a, names in MOVED.items() for n in names}
+    path = _scratch(spark, "renames")
+    for side, tables in (("old", old), ("new", new)):
+        renames.snapshot(spark, tables).write.parquet(f"{path}/{side}")
+    before, after = spark.read.parquet(f"{path}/old"), spark.read.parquet(f"{path}/new")
+    moved = renames.relations(before, after)
+    own = renames.columns(before, after, moved.where("kind = 'rename'").select("old", "new"))
+    return moved.select(F.lit("").alias("relation"), "kind", "old", "new").unionByName(own)

@@ -18,6 +18,7 @@ from embedlake.functions.models import embed, query_vector
 from embedlake.operators.knn import top_k
 from embedlake.operators.words import WordIndex, fused
 from embedlake.plans.store import Table
+from embedlake.semantic import describe, renames
 
 NAME = re.compile(r"[a-z][a-z_0-9]*")
 SCHEMA_VERSION = "1"
@@ -257,18 +258,89 @@ class Catalog:
             self._merge("facts", self.spark.createDataFrame(facts, "description string"), ["description"])
         return len(docs) - 1
 
+    def _described(self) -> list[str]:
+        rows = self.rows("objects").where(F.col("objtype").isin("table", "view", "column", "view column"))
+        return [f"{r[0]}.{r[1]}" for r in rows.select("schema_name", "name").distinct().orderBy("schema_name", "name").collect()]
+
+    def remember(self, names: Sequence[str] | None = None) -> None:
+        """Keep what relations look like, all that are described unless named, so that ``refresh`` knows them under other names."""
+        names = [n for n in (self._described() if names is None else names) if self.spark.catalog.tableExists(n)]
+        now = renames.snapshot(self.spark, {n: self.spark.table(n) for n in names})
+        t = self._table("relations")
+        if t.exists():
+            now = now.unionByName(t.read().where(~F.concat_ws(".", "schema_name", "name").isin(names)))
+        t.write(now)
+
+    def renamed(self) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
+        """(kind, old, new) of relations and (relation, kind, old, new) of columns since ``remember``; kinds are rename and ambiguous.
+
+        Also the names of relations that are gone, and of those that have other columns now.
+        """
+        before, there = self._table("relations").read(), self.spark.catalog.tableExists
+        full = F.concat_ws(".", "schema_name", "name")
+        known = {}
+        for r in before.groupBy(full.alias("full")).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "column_name", "type"))).alias("columns")).collect():
+            known[r["full"]] = r["columns"]
+        gone = [n for n in known if not there(n)]
+        # relations that stay and have other columns now
+        seen = {n: self.spark.table(n) for n in known if n not in gone}
+        changed = {n: df for n, df in seen.items() if sorted(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) != known[n]}
+        new = {n: self.spark.table(n) for kind in ("table", "view") for n in describe.find(self.spark, kind) if n not in known} if gone else {}
+        t = self._table("relations-now")
+        t.write(renames.snapshot(self.spark, new | changed))
+        after = t.read()
+        moved = renames.relations(before.where(full.isin(gone)), after.where(full.isin(list(new)))).persist()
+        same = self.spark.createDataFrame([(n, n) for n in changed], "old string, new string")
+        return moved, renames.columns(before, after, moved.where("kind = 'rename'").select("old", "new").unionByName(same)), gone, list(changed)
+
+    def _rename(self, moved: DataFrame, columns: DataFrame) -> None:
+        """Give the described objects their new names; their texts have changed, so they are embedded anew."""
+        rows = self.rows("objects")
+        at = F.regexp_extract("new", r"^(.*)\.([^.]*)$", 1), F.regexp_extract("new", r"^(.*)\.([^.]*)$", 2)
+        of = moved.where("kind = 'rename'").select(F.col("old").alias("_full"), at[0].alias("_schema"), at[1].alias("_name"))
+        own = columns.where("kind = 'rename'").select(F.col("relation").alias("_now"), F.col("old").alias("_old"), F.col("new").alias("_column"))
+        watched = F.col("objtype").isin("table", "view", "column", "view column")
+        joined = rows.withColumn("_full", F.when(watched, F.concat_ws(".", "schema_name", "name"))).join(of, "_full", "left")
+        joined = joined.withColumn("_now", F.coalesce(F.when(F.col("_name").isNotNull(), F.concat_ws(".", "_schema", "_name")), "_full"))
+        joined = joined.join(own, (joined["_now"] == own["_now"]) & (joined["column_name"] == own["_old"]), "left")
+        new = {"schema_name": "_schema", "name": "_name", "column_name": "_column"}
+        touched = F.col("_name").isNotNull() | F.col("_column").isNotNull()
+        pick = [F.coalesce(new[c], c).alias(c) if c in new else F.when(~touched, F.col(c)).alias(c) if c in self.embeddings else F.col(c) for c in rows.columns]
+        self._table("objects").write(joined.select(*pick))
+
     def refresh(self, dry_run: bool = False) -> list[tuple[str, str]]:
-        """Reconcile with the session's catalogue: rows of tables and columns that are gone are dropped."""
+        """Reconcile with the session's catalogue: rows of tables and columns that are gone are dropped.
+
+        What ``remember`` has kept is looked for under other names first: renamed ones keep their descriptions, and
+        ambiguous ones are reported and stay.
+        """
         actions: list[tuple[str, str]] = []
-        keep = []
+        keep, spared = [], set()
+        if self._table("relations").exists():
+            moved, columns, gone, changed = self.renamed()
+            found = [(r["kind"], r["old"], r["new"]) for r in moved.orderBy("old").collect()]  # a row a change
+            back = {new: old for kind, old, new in found if kind == "rename"}
+            inner = [(r["kind"], r["relation"], r["old"], r["new"]) for r in columns.orderBy("relation", "old").collect()]
+            actions += [(kind, f"{old} -> {new}" if new else old) for kind, old, new in found]
+            actions += [(kind, f"{rel}.{old} -> {new}" if new else f"{rel}.{old}") for kind, rel, old, new in inner]
+            spared = {old for kind, old, new in found if kind == "ambiguous" or dry_run} | {f"{rel}.{old}" for kind, rel, old, _ in inner if kind == "ambiguous" or dry_run}
+            if not dry_run:
+                self._rename(moved, columns)
+                if gone:
+                    t = self._table("relations")
+                    t.write(t.read().where(~F.concat_ws(".", "schema_name", "name").isin([n for n in gone if n not in spared])))
+                if back or changed:
+                    self.remember([*back, *changed])
+            moved.unpersist()
         for r in self.rows("objects").where(F.col("objtype").isin("table", "view", "column", "view column")).collect():
             full = f"{r['schema_name']}.{r['name']}"
             there = self.spark.catalog.tableExists(full)
-            if there and (r["column_name"] is None or r["column_name"] in self.spark.table(full).columns):
+            column = f"{full}.{r['column_name']}" if r["column_name"] else full
+            if full in spared or column in spared or there and (r["column_name"] is None or r["column_name"] in self.spark.table(full).columns):
                 keep.append(r["id"])
             else:
-                actions.append(("delete", f"{full}.{r['column_name']}" if r["column_name"] else full))
-        if actions and not dry_run:
+                actions.append(("delete", column))
+        if any(a == "delete" for a, _ in actions) and not dry_run:
             rows = self.rows("objects")
             watched = F.col("objtype").isin("table", "view", "column", "view column")
             self._table("objects").write(rows.where(~watched | F.col("id").isin(keep)))
