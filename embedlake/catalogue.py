@@ -651,10 +651,10 @@ def stream_changes(spark, d):
 
 @query("SELECT doc_id, lang, source, length(text) AS n_text FROM documents")
 def dataset_commits(spark, d):
-    """All documents from files, loaded two files a commit."""
+    """All documents from files of at most 20,000 rows, loaded eight files a commit."""
     path, name = _scratch(spark, "dataset"), f"documents_{uuid.uuid4().hex}"
-    table(spark, d, "documents").select("doc_id", "lang", "source", "text").repartition(5, "doc_id").write.parquet(path)
-    dataset.load_dataset(spark, path, table=name, commit_every_n_batches=2)
+    table(spark, d, "documents").select("doc_id", "lang", "source", "text").write.option("maxRecordsPerFile", 20_000).parquet(path)
+    dataset.load_dataset(spark, path, table=name, commit_every_n_batches=8)
     return spark.table(name).select("doc_id", "lang", "source", F.length("text").cast("bigint").alias("n_text"))
 
 
