@@ -6,7 +6,8 @@ a dimension. Edges of the graph are near vectors and some far ones, pruned so th
 one, shorter by the factor ``max_alpha``, leads past. A search walks the graphs of a query's nearest cells from some
 entries on, always from the nearest vector that it has not left yet, and keeps ``search_list_size`` vectors; with the
 layout ``memory_optimized`` it walks by the codes and works out distances of the vectors that it has kept at the end.
-All queries of a block walk at once. Copies of a vector are one node with several keys.
+All queries of a block walk at once. Copies of a vector are one node with several keys. A leaf of which a walk would meet
+most vectors anyway is compared whole, which also finds the nearest of it for certain.
 
 The table has one pointer that a rename replaces, so a reader sees an index as it was before a change or after it.
 An upsert appends a segment: leaves of the new rows, by the same centroids, and the keys that are no longer valid in
@@ -34,7 +35,9 @@ from embedlake.operators.knn import QUERY_BYTES, _distances
 from embedlake.plans.store import Table
 
 #: Rows and bytes of vectors of a leaf, about; bytes that a step of a walk or of a build works on; queries of a block.
-LEAF_ROWS, LEAF_BYTES, WORK, BLOCK = 4096, 8 << 20, 32 << 20, 512
+LEAF_ROWS, LEAF_BYTES, WORK, BLOCK = 4096, 8 << 20, 8 << 20, 512
+#: A leaf of at most so many times ``search_list_size`` vectors is compared whole.
+WHOLE = 8
 #: Vectors from which a walk starts, and far candidates of a node.
 ENTRIES, FAR = 32, 16
 #: Share of rows taken back from which an index should be built anew.
@@ -198,6 +201,8 @@ class Leaf:
             d = -np.einsum("rd,rcd->rc", asked[rows], base[ids])
             return d if metric != "vector_l2_ops" else 2 * d + (base[ids] ** 2).sum(axis=2)
 
+        if len(base) <= WHOLE * width:
+            return self._whole(q, metric, width)
         step = max(1, WORK // (8 * max(1, self.graph.shape[1], ENTRIES) * base.shape[1]))
         ids, compared = np.full((len(q), width), -1, np.int64), 0
         for at in range(0, len(q), step):
@@ -211,6 +216,17 @@ class Leaf:
         order = np.argsort(exact, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(exact, order, 1), compared
 
+    def _whole(self, q: np.ndarray, metric: str, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """As ``search``, by the distances to all vectors."""
+        n = len(self.vectors)
+        ids, exact, step = np.empty((len(q), width), np.int64), np.empty((len(q), width)), max(1, WORK // (8 * n))
+        for at in range(0, len(q), step):
+            d = _distances(q[at : at + step].astype(float), self.vectors.astype(float), metric)
+            near = np.sort(np.argpartition(d, width - 1, axis=1)[:, :width], axis=1)
+            order = np.argsort(own := np.take_along_axis(d, near, 1), axis=1, kind="stable")
+            ids[at : at + step], exact[at : at + step] = np.take_along_axis(near, order, 1), np.take_along_axis(own, order, 1)
+        return ids, exact, len(q) * n
+
 
 def _matrix(column: pa.Array, dims: int, kind: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dims)
@@ -359,6 +375,12 @@ class Index:
         meta = self.meta()
         return self.build(self.rows(), meta["metric"], Options(**meta["options"]))
 
+    @staticmethod
+    def _blocks(asks: DataFrame) -> DataFrame:
+        """(cell, _b, _asks): the queries (_q, _v, cell) of each cell, in as few blocks of ``BLOCK`` or so as hold them."""
+        many = asks.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("many"))  # a row a cell
+        return asks.join(F.broadcast(many), "cell").groupBy("cell", F.pmod(F.xxhash64("_q"), "many").alias("_b")).agg(F.collect_list(F.struct("_q", "_v")).alias("_asks"))
+
     def search_many(self, queries: DataFrame, k: int, query_key: str, query_vector: str = "embedding", probes: int | None = None, query_bytes: int = QUERY_BYTES, counts: bool = False, **options) -> DataFrame:
         """(query_id, keys, distance, rank): for each query the ``k`` nearest rows that the walks in its nearest cells meet.
 
@@ -385,11 +407,14 @@ class Index:
         qtype = queries.schema[query_key].dataType
         asks = asked.mapInArrow(route, T.StructType([T.StructField("_q", qtype), T.StructField("_v", T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType())]))
         n = asked.count()
-        blocks = asks.groupBy("cell", F.pmod(F.xxhash64("_q"), F.lit(max(1, -(-n // BLOCK)))).alias("_b")).agg(F.collect_list(F.struct("_q", "_v")).alias("_asks"))
+        blocks = self._blocks(asks)
         leaves = self.table.read().where("kind = 'leaf'").select("seq", "cell", "keys", "owner", "vectors", "graph", "codes")
         if n * p * (8 * dims + 64) <= query_bytes:
             cells = [r[0] for r in blocks.select("cell").distinct().collect()]  # at most as many as there are centroids
             leaves, blocks = leaves.where(F.col("cell").isin(cells)), F.broadcast(blocks)
+        else:  # walks cost more than their rows' bytes say, by which partitions would be put together
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            leaves, blocks = leaves.repartition(parts, "cell"), blocks.repartition(parts, "cell")
         key = leaves.schema["keys"].dataType.elementType
         fields = [("_q", qtype), ("_k", key), ("distance", T.DoubleType()), ("seq", T.IntegerType()), ("compared", T.LongType())]
         out = T.StructType([T.StructField(a, b) for a, b in fields])

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from embedlake import config as C
 from embedlake.catalogue import QUERIES
@@ -66,6 +67,23 @@ def test_walks_compare_less_than_scans():
     assert found["four bits"][0] > found["one bit"][0] and found["codes"][0] >= 0.8
 
 
+def test_small_leaves_are_compared_whole():
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(600, 24)).astype("f4"), rng.normal(size=(30, 24))
+    for metric in ("vector_cosine_ops", "vector_l2_ops", "vector_ip_ops", "vector_l1_ops"):
+        o = ann.Options()
+        leaf = ann.Leaf.build(x, o, ann.thresholds(x.astype(float), 2), metric)
+        ids, d, compared = leaf.search(q, metric, o, ann.thresholds(x.astype(float), 2))
+        want = np.sort(knn._distances(q, leaf.vectors.astype(float), metric), axis=1)[:, :100]
+        assert compared == 30 * 600 and np.allclose(d, want) and all(len(set(i)) == 100 for i in ids.tolist())
+
+
+def test_queries_of_a_cell_share_blocks(spark):
+    asks = spark.range(3000).select(F.col("id").alias("_q"), F.array(F.lit(1.0)).alias("_v"), F.when(F.col("id") < 1200, 99).otherwise(F.col("id") % 30).cast("int").alias("cell"))
+    got = [(r["cell"], r["n"]) for r in ann.Index._blocks(asks).select("cell", F.size("_asks").alias("n")).collect()]
+    assert sum(n for _, n in got) == 3000 and sum(c != 99 for c, _ in got) == 30 and sum(c == 99 for c, _ in got) == 3
+
+
 def test_build_holds_all_keys_and_copies(spark, folder):
     rows = [(k, f"g{k % 3}", [float(k % 5), 1.0, float(k % 7)]) for k in range(300)] + [(500, "x", None), (501, "x", [1.0]), (502, "x", [float("nan"), 0.0, 0.0]), (503, "x", [None, 0.0, 1.0])]
     df = spark.createDataFrame(rows, "a int, b string, v array<double>").repartition(3)
