@@ -1,7 +1,8 @@
 """Search by words over postings, ranked by how rare a word is and how often a text has it; and the fusion of rankings.
 
-Postings are rows (term, id, tf, len) in Parquet, in folders by a hash of the term and in the order of terms within
-files, so a search reads the folders of its terms and skips the rest of their rows by statistics. Texts are not read.
+Postings are lists (ids, tfs, lens) of a term in a batch of texts, counted where the texts are read, so that no word is
+shuffled on its own. They lie in Parquet, in folders by a hash of the term and in the order of terms within files, so a
+search reads the folders of its terms and skips the rest of their rows by statistics. Texts are not read.
 """
 
 from __future__ import annotations
@@ -9,8 +10,11 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ K1, B = 1.2, 0.75
 DIGITS = 6
 #: Added to ranks in a fusion; the usual value.
 RANK = 60
+#: Words that a task counts at once, about.
+WORK = 1 << 20
 
 
 def terms(text):
@@ -31,6 +37,34 @@ def terms(text):
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
 
 
+def postings(words: DataFrame) -> DataFrame:
+    """(term, ids, tfs, lens, words) of ``words`` (id, _w): a row for each term of some texts that a task reads one behind the other."""
+    names, kind = ["term", "ids", "tfs", "lens", "words"], words.schema["id"].dataType.simpleString()
+
+    def count(part: pa.RecordBatch) -> pa.RecordBatch:
+        held, n = part.column(1), part.num_rows
+        size = pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int32)
+        coded = held.flatten().dictionary_encode()
+        at, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), size), return_counts=True)
+        term, text = at // n, at % n
+        begin = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+        ends = pa.array(np.append(begin, len(at)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, v) for v in (part.column(0).take(pa.array(text)), pa.array(tf.astype(np.int32)), pa.array(size[text]))]
+        return pa.RecordBatch.from_arrays([coded.dictionary, *lists, pa.array(np.add.reduceat(tf, begin).astype(np.int64))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            so_far = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            first = 0
+            while first < batch.num_rows and so_far[-1] > (done := so_far[first - 1] if first else 0):
+                last = max(first + 1, int(np.searchsorted(so_far, done + WORK, side="right")))
+                if so_far[last - 1] > done:
+                    yield count(batch.slice(first, last - first))
+                first = last
+
+    return words.select("id", "_w").mapInArrow(run, f"term string, ids array<{kind}>, tfs array<int>, lens array<int>, words bigint")
+
+
 class WordIndex:
     """An index below ``path``; building it anew replaces it by one rename."""
 
@@ -43,14 +77,14 @@ class WordIndex:
 
     def build(self, rows: DataFrame, id_col: str, text_col: str) -> dict:
         """Index the texts of ``rows``; ids should be unique. A text without words counts as one of length 0."""
-        words = rows.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("_w")).withColumn("len", F.size("_w"))
-        n, total = words.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
-        posted = words.select("id", "len", F.explode("_w").alias("term")).groupBy("term", "id", "len").agg(F.count("*").cast("int").alias("tf"))
-        meta = {"texts": n, "words": total}
+        words = rows.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("_w"))
+        posted = postings(words)
         laid = posted.withColumn("bucket", self._bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         version = f"v-{uuid.uuid4().hex}"
         laid.write.partitionBy("bucket").parquet(f"{self.path}/{version}")
-        head = meta | {"version": version, "id": posted.schema["id"].dataType.simpleString()}
+        total = self.spark.read.schema(posted.schema).parquet(f"{self.path}/{version}").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+        meta = {"texts": rows.count(), "words": total}
+        head = meta | {"version": version, "id": words.schema["id"].dataType.simpleString()}
         self.table.write(self.spark.createDataFrame([(json.dumps(head),)], "meta string").coalesce(1))
         return meta
 
@@ -65,8 +99,10 @@ class WordIndex:
             return self.spark.createDataFrame([], f"id {meta['id']}, score double")
         wanted = F.array(*[F.lit(w) for w in asked])
         buckets = [r[0] for r in self.spark.range(1).select(F.explode(F.array_distinct(F.transform(wanted, lambda w: self._bucket(w))))).collect()]
-        schema = f"term string, id {meta['id']}, len int, tf int, bucket int"
-        found = self.spark.read.schema(schema).parquet(f"{self.path}/{meta['version']}").where(F.col("bucket").isin(buckets) & F.col("term").isin(asked))
+        schema = f"term string, ids array<{meta['id']}>, tfs array<int>, lens array<int>, words bigint, bucket int"
+        lists = self.spark.read.schema(schema).parquet(f"{self.path}/{meta['version']}").where(F.col("bucket").isin(buckets) & F.col("term").isin(asked))
+        each = lists.select("term", F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("p")).select("term", F.col("p.ids").alias("id"), F.col("p.lens").alias("len"), F.col("p.tfs").alias("tf"))
+        found = each.repartition("id").groupBy("term", "id", "len").agg(F.sum("tf").alias("tf"))  # repeated ids count as one text
         df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row a word of the query
         rare = F.log(1 + (meta["texts"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
         mean = meta["words"] / meta["texts"] or 1.0
