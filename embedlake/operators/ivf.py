@@ -14,7 +14,7 @@ from embedlake.operators.knn import QUERY_BYTES, _distances, top_k
 #: Rows that centroids are fitted on, at most, and bytes of them; every row is indexed.
 SAMPLE, SAMPLE_BYTES = 100_000, 64 << 20
 #: Bytes of distances that are worked out at once.
-WORK_BYTES = 32 << 20
+WORK_BYTES = 8 << 20
 MAX_CELLS = 4096
 #: Probes are chosen at the build so that this share of the nearest rows of sampled queries is found.
 RECALL, ASKED, NEAREST = 0.97, 256, 10

@@ -78,6 +78,18 @@ def test_small_leaves_are_compared_whole():
         assert compared == 30 * 600 and np.allclose(d, want) and all(len(set(i)) == 100 for i in ids.tolist())
 
 
+def test_cells_are_assigned_in_small_pieces():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x, c = rng.normal(size=(10_000, 16)), rng.normal(size=(600, 16))
+    tracemalloc.start()
+    at = ivf._assign(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20 and (at[::500] == ((x[::500, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
+
+
 def test_queries_of_a_cell_share_blocks(spark):
     asks = spark.range(3000).select(F.col("id").alias("_q"), F.array(F.lit(1.0)).alias("_v"), F.when(F.col("id") < 1200, 99).otherwise(F.col("id") % 30).cast("int").alias("cell"))
     got = [(r["cell"], r["n"]) for r in ann.Index._blocks(asks).select("cell", F.size("_asks").alias("n")).collect()]
