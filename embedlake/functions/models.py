@@ -8,7 +8,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,21 @@ TASKS = {
 }
 
 
+#: Bytes of texts that a task holds as Python's strings at once, about; a request is never larger than what it holds.
+HELD = 4 << 20
+
+
+def _pieces(batch: pa.Array, most: int) -> Iterator[list[str | None]]:
+    """The texts of a batch in runs of at most ``most`` texts and ``HELD`` bytes, or of one text."""
+    so_far = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(batch):
+        last = int(np.searchsorted(so_far, (so_far[first - 1] if first else 0) + HELD, side="right"))
+        last = min(max(first + 1, last), first + most)
+        yield batch.slice(first, last - first).to_pylist()
+        first = last
+
+
 def embed(text: Column | str, config: dict, most: int | None = None) -> Column:
     """Vectors of a text column; null for null text. ``most``: texts of a request at most, if its provider takes as many."""
 
@@ -32,10 +49,12 @@ def embed(text: Column | str, config: dict, most: int | None = None) -> Column:
         if most:
             within = P.Limits(min(most, within.chunks), within.tokens)
         for batch in batches:
-            texts = batch.to_pylist()
-            some = [t for t in texts if t is not None]
-            got = iter(P.embed_batches(source, some, within) if some else [])
-            yield pa.array([None if t is None else next(got) for t in texts], pa.list_(pa.float32()))
+            out = []
+            for texts in _pieces(batch, within.chunks):
+                some = [t for t in texts if t is not None]
+                got = iter(P.embed_batches(source, some, within) if some else [])
+                out.append(pa.array([None if t is None else next(got) for t in texts], pa.list_(pa.float32())))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float32()))
 
     return run(F.col(text) if isinstance(text, str) else text)
 
@@ -49,11 +68,15 @@ def try_embed(text: Column | str, config: dict, most: int | None = None) -> Colu
         if most:
             within = P.Limits(min(most, within.chunks), within.tokens)
         for batch in batches:
-            texts = batch.to_pylist()
-            some = [t for t in texts if t is not None]
-            got = iter(P.embed_each(source, some, within) if some else [])
-            rows = [(None, None) if t is None else next(got) for t in texts]
-            yield pa.StructArray.from_arrays([pa.array([v for v, _ in rows], pa.list_(pa.float32())), pa.array([e for _, e in rows], pa.string())], ["value", "error"])
+            vectors, errors = [], []
+            for texts in _pieces(batch, within.chunks):
+                some = [t for t in texts if t is not None]
+                got = iter(P.embed_each(source, some, within) if some else [])
+                rows = [(None, None) if t is None else next(got) for t in texts]
+                vectors.append(pa.array([v for v, _ in rows], pa.list_(pa.float32())))
+                errors.append(pa.array([e for _, e in rows], pa.string()))
+            both = [pa.concat_arrays(vectors), pa.concat_arrays(errors)] if vectors else [pa.array([], pa.list_(pa.float32())), pa.array([], pa.string())]
+            yield pa.StructArray.from_arrays(both, ["value", "error"])
 
     return run(F.col(text) if isinstance(text, str) else text)
 
