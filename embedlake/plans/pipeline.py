@@ -154,8 +154,9 @@ class Pipeline:
             raise
         made = tried.read()
         failed = self._keys(made.where("error is not null"))
-        new = made.where("error is null").drop("error").join(failed, keys, "left_anti")
-        settled = work.select(*keys).join(failed, keys, "left_anti")
+        new, settled = made.where("error is null").drop("error"), work.select(*keys)
+        if not made.where("error is not null").isEmpty():  # else texts would be shuffled for nothing
+            new, settled = new.join(failed, keys, "left_anti"), settled.join(failed, keys, "left_anti")
         # rows without chunks lose their old ones too
         drop = settled if gone is None else settled.unionByName(gone.select(*keys))
         store = self.table("store")

@@ -1,7 +1,7 @@
 """Versioned Parquet tables: folders of files, and a pointer to those that count, which a rename replaces. One writer a table.
 
 A table with keys is laid out in buckets of their hash: an upsert rewrites the buckets that it touches and no
-other. A table without keys takes appends as further folders, which are put together when they get many.
+other, and lays its own rows beside them in a second folder of the bucket (``+`` in the pointer). A table without keys takes appends as further folders, which are put together when they get many.
 What a change replaces stays readable until the next change.
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of a keyed table unless it is made with another number, and folders of one without keys before they are put together.
 BUCKETS, PARTS = 16, 32
+#: Replaced keys that are broadcast at most; beyond it they and the rows of their buckets are shuffled.
+FEW = 1_000_000
 
 
 class Table:
@@ -71,13 +73,14 @@ class Table:
     def _bucket(self, keys: list[str], buckets: int):
         return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-    def _lay(self, df: DataFrame, keys: list[str] | None, buckets: int) -> dict[str, str]:
-        """Write ``df`` to a folder of its own; the parts by bucket, or one part."""
+    def _lay(self, df: DataFrame, keys: list[str] | None, buckets: int, deal: bool = True) -> dict[str, str]:
+        """Write ``df`` to a folder of its own; the parts by bucket, or one part. Without ``deal`` tasks write the buckets that they have."""
         folder = f"v-{uuid.uuid4().hex}"
         if not keys:
             df.write.parquet(f"{self.path}/{folder}")
             return {folder: folder}
-        df.withColumn("_bucket", self._bucket(keys, buckets)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        placed = df.withColumn("_bucket", self._bucket(keys, buckets))
+        (placed.hint("rebalance", "_bucket") if deal else placed).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}"))]
         return {n.partition("=")[2]: f"{folder}/{n}" for n in names if n.startswith("_bucket=")}
 
@@ -129,15 +132,17 @@ class Table:
         touched = set(staged)
         if gone is not None:
             touched |= {str(r[0]) for r in gone.select(self._bucket(keys, p["buckets"])).distinct().collect()}  # a row a bucket at most
-        before = {b: f for b, f in p["parts"].items() if b in touched}
-        kept = {b: f for b, f in p["parts"].items() if b not in touched}
-        replaced = list(before.values())
+        before = {b: f for b, f in p["parts"].items() if b.rstrip("+") in touched}
+        kept = {b: f for b, f in p["parts"].items() if b.rstrip("+") not in touched}
+        now = {f"{b}+": f for b, f in staged.items()}
         if before:
             old = self._read(list(before.values()), schema)
             same = [old[k].eqNullSafe(out_keys[k]) for k in keys]
             on = same[0]
             for s in same[1:]:
                 on = on & s
-            replaced += list(staged.values())
-            staged = self._lay(old.join(out_keys.distinct(), on, "left_anti").unionByName(rows), keys, p["buckets"])
-        self._publish(p, {"keys": keys, "buckets": p["buckets"], "parts": kept | staged, "batch": batch, "schema": p["schema"]}, replaced)
+            out = out_keys.distinct()
+            few = out.limit(FEW + 1).count() <= FEW
+            # rows that stay lie by bucket already: with few keys to compare they need no shuffle
+            now |= self._lay(old.join(F.broadcast(out) if few else out, on, "left_anti"), keys, p["buckets"], deal=not few)
+        self._publish(p, {"keys": keys, "buckets": p["buckets"], "parts": kept | now, "batch": batch, "schema": p["schema"]}, list(before.values()))

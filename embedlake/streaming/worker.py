@@ -152,8 +152,9 @@ def _commit(pipeline: Pipeline, loaded: DataFrame, work: DataFrame, gone: DataFr
         work = work.unionByName(rejoined.read().select(*keys, F.lit(0).alias("loading_retries")))
     pipeline.commit(loaded, work, gone, batch=batch, unloaded=unloaded)
     failed = pipeline.table("attempts").read().where("error is not null").select(*keys).distinct()
-    kept = loaded.join(failed, keys, "left_semi")
-    if waiting.exists() or not kept.isEmpty():
+    some = not failed.isEmpty()
+    kept = loaded.join(failed, keys, "left_semi") if some else loaded.limit(0)
+    if waiting.exists() or some and not kept.isEmpty():
         waiting.write(kept, batch, keys) if waiting.batch() != batch else None
 
 

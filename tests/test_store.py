@@ -3,6 +3,23 @@
 import pyarrow as pa
 
 from embedlake.functions import models
+from embedlake.plans import store
+
+
+def test_upsert_lays_new_rows_beside_old_ones(spark, folder, monkeypatch):
+    for name, few in (("a", 1_000_000), ("b", 0)):  # by broadcast, and by a shuffle
+        monkeypatch.setattr(store, "FEW", few)
+        t, want = store.Table(spark, f"{folder}/{name}", 4), {k: "old" for k in range(60)}
+        t.write(spark.createDataFrame(list(want.items()), "k int, v string"), keys=["k"])
+        for step in range(3):
+            new = {k: f"new{step}" for k in range(step, 60, 7)}
+            gone = list(range(step, 60, 11))
+            want = {k: v for k, v in want.items() if k not in gone} | new
+            t.upsert(spark.createDataFrame(list(new.items()), "k int, v string"), ["k"], spark.createDataFrame([(k,) for k in gone], "k int"))
+            assert {r["k"]: r["v"] for r in t.read().collect()} == want and t.read().count() == len(want)
+            parts = t._pointer()["parts"]
+            beside = spark.read.parquet(*[f"{t.path}/{f}" for b, f in parts.items() if b.endswith("+")])
+            assert {r["v"] for r in beside.collect()} == {f"new{step}"}  # written once, not again with the old ones
 
 
 def test_texts_are_held_in_pieces(spark, monkeypatch):
