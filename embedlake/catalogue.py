@@ -631,7 +631,8 @@ def keys_found(spark, d):
     """Unique columns, and columns whose values are all those of a unique one of another table."""
     names = sorted({c.split(".")[0] for columns in KEYABLE.values() for c in columns})
     tables = {n: table(spark, d, n) for n in names}
-    rows = [(n, c, None, None) for n, df in tables.items() for c in keys.unique_columns(keys.profile(df))] + keys.references(tables)
+    unique, within = keys.found(tables)
+    rows = [(n, c, None, None) for n, columns in unique.items() for c in columns] + within
     return spark.createDataFrame(rows, "tab string, col string, other string, other_col string")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 #: Relative error of the count sketches, with which a column may still be unique or lie within another.
 ERROR = 0.02
-#: Values with the smallest hashes that stand for a column before its exact check.
+#: Values that stand for a column before its exact check, out of one in so many by their hashes.
 PROBES = 64
 KINDS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.DateType, T.DecimalType)
 
@@ -22,6 +22,7 @@ class Profile:
     df: DataFrame
     rows: int
     columns: dict[str, dict]
+    probes: dict[str, list] = field(default_factory=dict)
 
 
 def profile(df: DataFrame) -> Profile:
@@ -45,25 +46,34 @@ def unique_columns(p: Profile) -> list[str]:
     return [n for n in near if not _repeats(p.df, n)]
 
 
-def _within(a: Profile, x: str, b: Profile, y: str) -> bool:
-    """Whether all values of column ``x`` are among those of ``y``: by types, ranges and counts, then some values, then all."""
+def _within(a: Profile, x: str, b: Profile, y: str, unique: list[str]) -> bool:
+    """Whether all values of column ``x`` are among those of ``y``: by types, ranges and counts, then some values, then all.
+
+    ``unique``: columns of ``a`` in which no value stands twice.
+    """
     one, two = a.columns[x], b.columns[y]
     if one["type"] != two["type"] or not one["values"] or not two["values"]:
         return False
     if one["least"] < two["least"] or one["most"] > two["most"] or one["distinct"] > (1 + 6 * ERROR) * two["distinct"]:
         return False
-    mine, theirs = a.df.select(F.col(f"`{x}`").alias("v")).where("v is not null").distinct(), b.df.select(F.col(f"`{y}`").alias("v"))
-    few = mine.orderBy(F.xxhash64("v"), "v").limit(PROBES)
-    if not few.join(theirs, "v", "left_anti").isEmpty():
+    mine, theirs = a.df.select(F.col(f"`{x}`").alias("v")).where("v is not null"), b.df.select(F.col(f"`{y}`").alias("v"))
+    if x not in a.probes:
+        a.probes[x] = [r[0] for r in mine.where(F.pmod(F.xxhash64("v"), F.lit(PROBES)) == 0).limit(PROBES).distinct().collect()]
+    if a.probes[x] and theirs.where(F.col("v").isin(a.probes[x])).select("v").distinct().count() < len(a.probes[x]):
         return False
-    return mine.join(theirs, "v", "left_anti").isEmpty()
+    return (mine if x in unique else mine.distinct()).join(theirs, "v", "left_anti").isEmpty()
 
 
 def references(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, str]]:
     """(table, column, other table, unique column) wherever all values of a column are those of a unique one of another table."""
+    return found(tables)[1]
+
+
+def found(tables: dict[str, DataFrame]) -> tuple[dict[str, list[str]], list[tuple[str, str, str, str]]]:
+    """The unique columns of each table, and what ``references`` gives; each table is profiled and each column grouped once."""
     known = {n: profile(df) for n, df in tables.items()}
     unique = {n: unique_columns(p) for n, p in known.items()}
-    return [(s, x, t, y) for s, a in known.items() for x in a.columns for t, ys in unique.items() if t != s for y in ys if _within(a, x, known[t], y)]
+    return unique, [(s, x, t, y) for s, a in known.items() for x in a.columns for t, ys in unique.items() if t != s for y in ys if _within(a, x, known[t], y, unique[s])]
 
 
 def _stem(column: str) -> str:
@@ -75,8 +85,9 @@ def constraints(tables: dict[str, DataFrame]) -> dict[str, list[str]]:
 
     Of several columns that a column lies within, only those of the same name behind the last ``_`` are likely.
     """
-    found = {n: [f"UNIQUE ({c})" for c in unique_columns(profile(df))] for n, df in tables.items()}
-    for s, x, t, y in references(tables):
+    unique, within = found(tables)
+    out = {n: [f"UNIQUE ({c})" for c in columns] for n, columns in unique.items()}
+    for s, x, t, y in within:
         if _stem(x) == _stem(y):
-            found[s].append(f"FOREIGN KEY ({x}) REFERENCES {t} ({y})")
-    return found
+            out[s].append(f"FOREIGN KEY ({x}) REFERENCES {t} ({y})")
+    return out

@@ -4,6 +4,7 @@ import pyarrow as pa
 
 from embedlake.functions import models
 from embedlake.plans import store
+from embedlake.semantic import keys
 
 
 def test_upsert_lays_new_rows_beside_old_ones(spark, folder, monkeypatch):
@@ -32,3 +33,11 @@ def test_texts_are_held_in_pieces(spark, monkeypatch):
     config = {"implementation": "hash", "dimensions": 3}
     rows = df.select("k", "t", models.embed("t", config).alias("a"), models.try_embed("t", config).alias("b")).collect()
     assert all(r["a"] == (r["b"] or {"value": None})["value"] and (r["a"] is None) == (r["t"] is None) for r in rows)
+
+
+def test_tables_are_profiled_once(spark, monkeypatch):
+    a = spark.createDataFrame([(k, k % 7) for k in range(50)], "a_key int, a_small int")
+    b = spark.createDataFrame([(k, k % 50) for k in range(90)], "b_id int, b_key int")
+    own, seen = keys.profile, []
+    monkeypatch.setattr(keys, "profile", lambda df: seen.append(df) or own(df))
+    assert keys.constraints({"a": a, "b": b}) == {"a": ["UNIQUE (a_key)"], "b": ["UNIQUE (b_id)", "FOREIGN KEY (b_key) REFERENCES a (a_key)"]} and len(seen) == 2
