@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from embedlake import config as C
-from embedlake.operators import sampling
+from embedlake.operators import sampling, words
 from embedlake.operators.words import WordIndex, fused
 from embedlake.semantic import describe, keys
 from embedlake.semantic.catalog import Catalog
@@ -36,6 +36,22 @@ def test_words(spark, folder):
     assert [r["id"] for r in fused([a, b], "id", 3).collect()] == [3, 1, 2]
 
 
+def test_postings_are_counted_without_a_shuffle(spark, folder, monkeypatch):
+    texts = [(1, ["b", "a", "b"]), (2, []), (3, ["a"]), (4, ["ä", "b"]), (5, [])]
+    df = spark.createDataFrame(texts, "id long, _w array<string>").coalesce(1)
+    assert "Exchange" not in words.postings(df)._jdf.queryExecution().executedPlan().toString()
+    for work, most in ((1 << 20, 3), (1, 6)):  # a row a term, or one for each text
+        monkeypatch.setattr(words, "WORK", work)
+        rows = words.postings(df).collect()
+        got = sorted((r["term"], *x) for r in rows for x in zip(r["ids"], r["tfs"], r["lens"], strict=True))
+        assert got == [("a", 1, 1, 3), ("a", 3, 1, 1), ("b", 1, 2, 3), ("b", 4, 1, 2), ("ä", 4, 1, 2)]
+        assert len(rows) <= most and sum(r["words"] for r in rows) == 6
+    ix = WordIndex(spark, folder)
+    ix.build(spark.createDataFrame([(1, "red wine"), (1, "red beer"), (2, "ale")], "i int, t string").repartition(3), "i", "t")
+    twice = ix.search("red", 5).collect()
+    assert len(twice) == 1 and twice[0]["score"] > 0
+
+
 def test_samples_merge_and_dont_depend_on_partitions(spark):
     df = spark.range(2000).withColumn("g", F.col("id") % 3)
     one = [r["id"] for r in sampling.sample(df.repartition(7), 50, ["id"], 4).collect()]
